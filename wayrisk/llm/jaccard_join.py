@@ -1,8 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes (operator 3).
 
 A text's tokens are its distinct word shingles, as 64-bit hashes. Tokens are in
-two classes: frequent ones (held by at least 1/FREQUENT of the documents; heavy
-hitters of every chunk of the corpus, summed) and rare ones. The global order
+two classes: frequent ones (counted at least FREQUENT times; the heavy hitters
+of every chunk of the corpus, summed) and rare ones. The global order
 puts rare tokens first. Of each set as long a prefix is indexed as makes its
 coverage reach the number of tokens that a partner may lack, plus one: a rare
 token covers 1 and is indexed alone; frequent tokens, dealt to GROUPS groups by
@@ -13,12 +13,16 @@ tokens would be missing than may be. Sets of up to SMALL tokens cannot be
 covered by pairs; they (and, so that sizes overlap, sets up to SMALL / 0.8) are
 indexed by single tokens in a space of their own.
 
-Equal sets are one class, so copies never meet. Candidates are verified on the
-whole texts. As a result a component of links is wanted, not each link: in each
-round an index entry's first class (its pivot) meets those of its other classes
-that are not yet connected with it, and entries whose classes are connected go.
-When what is left is small, all its pairs across components are verified at
-once, so no link between components is lost and a group of near copies costs in
+Equal sets are one class, so copies never meet. Candidates whose parity bitmaps
+differ in more bits than two linked sets may differ in tokens are dropped; the
+others are verified on the whole texts. The components of links are wanted, not
+each link: in each round an index entry's pivot (the class of its largest
+component so far that has the most entries, as an original has more than its
+altered copies) meets those of its other classes that are not yet connected
+with it, and entries whose classes are all connected go. After the first round,
+entries with few pairs across components are settled by verifying all of these,
+and after PIVOT_ROUNDS all entries are.
+So no link between components is lost, and a group of near copies costs in
 proportion to its size.
 
 Defined results: words are runs of other than ASCII white space with A-Z
@@ -42,11 +46,15 @@ from pyspark.sql import functions as F
 
 from wayrisk.llm.shared import shared_table
 
-FREQUENT = 200  # a token is frequent from 1/FREQUENT of the documents on, so there are at most FREQUENT x mean set size
+FREQUENT = 32  # a token is frequent from this count on, or from a higher one that leaves at most MOST_FREQUENT
+MOST_FREQUENT = 1 << 21  # which are broadcast, 8 bytes each
+BITMAP = 512
+SETTLE = 32  # an entry is settled at once when it has at most this many pairs across components for each of its classes
+PIVOT_ROUNDS = 4  # after which all entries that are left are settled
 GROUPS = 16
 SMALL = 24  # above it, pairs always suffice: size - GROUPS >= size - ceil(0.8 * size) + 1
 CHUNK_TOKENS = 4_000_000
-CHUNK_LEAST = 4
+CHUNK_LEAST = 3
 MEMO_WORDS = 300_000
 MEMO_CLASSES = 200_000
 BROADCAST_ROWS = 1_000_000  # of two or three numbers each; larger sides are shuffled
@@ -193,6 +201,19 @@ def _index(n: int, percent: int, frequent):
     return run
 
 
+def _with_bits(n: int):
+    """(class, text) to (class, size, bits, text); bits: the parity of tokens by BITMAP hash values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingles(t.as_py(), n, hashes) for t in b.column(1)]
+            bits = [np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).view(np.int64) for s in sets]
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.list_(pa.int64())), b.column(1)], ["class", "size", "bits", "text"])
+
+    return run
+
+
 def _verified(n: int, percent: int):
     """(a, b, text of a, text of b) to the linked (a, b)."""
 
@@ -218,9 +239,9 @@ def _verified(n: int, percent: int):
     return run
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df to be broadcast if its counted rows are few; else shuffled."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, width: int = 1) -> DataFrame:
+    """df to be broadcast if its counted rows (of `width` times two numbers) are few; else shuffled."""
+    return F.broadcast(df) if rows * width <= BROADCAST_ROWS else df
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,10 +264,10 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id that links reach) of every row.
 
-    percent: least Jaccard similarity of a link, at least 80. pivot_rounds: rounds before the rest may be done at once.
+    percent: least Jaccard similarity of a link, at least 80.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
@@ -255,9 +276,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
     sets = shared_table(given.mapInArrow(_sets(n), f"id {id_type}, size int, class long, tokens array<long>, counts array<long>"), "sets")
     narrow = sets.select("id", "size", "class")
-    least = max(2, sets.where("class is not null").count() / FREQUENT)
-    often = sets.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n")).where(F.col("n") >= least)
-    frequent = np.sort(np.array([r.token for r in often.collect()], np.int64).view(np.uint64))
+    counts = sets.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n")).where(F.col("n") >= FREQUENT)
+    often = counts.orderBy(F.desc("n"), "token").select("token").limit(MOST_FREQUENT)
+    frequent = np.sort(np.array([r.token for r in often.toLocalIterator()], np.int64).view(np.uint64))
 
     index = given.where("id is not null").select("text").mapInArrow(_index(n, percent, spark.sparkContext.broadcast(frequent)), "sig long, class long, size int")
     shared = index.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("sig")
@@ -267,42 +288,50 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = shared_table(narrow.where("id is not null and class is not null").groupBy("class").agg(F.min("id").alias("id")), "classes")
     wanted = rows.select("class").distinct().join(classes, "class")
     wanted = shared_table(wanted, "candidates")
-    texts = shared_table(given.join(_small(wanted, wanted.count()), "id").select("class", "text").dropDuplicates(["class"]), "candidate-texts")
+    candidates = wanted.count()
+    texts = given.join(_small(wanted, candidates), "id").select("class", "text").dropDuplicates(["class"])
+    texts = shared_table(texts.mapInArrow(_with_bits(n), "class long, size int, bits array<long>, text string"), "candidate-texts")
+
+    def side(name: str, *cols: str) -> DataFrame:
+        return texts.select(F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
+
+    def may_link(a: str, b: str):
+        differ = F.aggregate(F.zip_with(f"bits_{a}", f"bits_{b}", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+        return differ * (100 + percent) <= (F.col(f"size_{a}") + F.col(f"size_{b}")) * (100 - percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-        met = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
+        able = pairs.join(_small(side("b", "size", "bits"), candidates, 8), "b").join(_small(side("a", "size", "bits"), candidates, 8), "a")
+        met = able.where(may_link("a", "b")).select("a", "b").join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "text_a", "text_b")
         return met.mapInArrow(_verified(n, percent), "a long, b long")
 
     def alike(x: str, y: str):
         return F.least(x, y) * 100 >= percent * F.greatest(x, y)
 
     links = spark.createDataFrame([], "a long, b long")
-    at = rows.withColumn("component", F.col("class"))
-    done = 0
+    degree = rows.groupBy("class").agg(F.count("*").alias("degree"))
+    at, done = rows.join(_small(degree, candidates), "class").withColumn("component", F.col("class")), 0
     while True:
-        count = at.groupBy("sig", "component").agg(F.countDistinct("class").alias("n"), F.min("class").alias("pivot"))
+        count = at.groupBy("sig", "component").agg(F.countDistinct("class").alias("n"), F.min(F.struct(-F.col("degree"), "class", "size")).alias("pivot"))
         heads = count.groupBy("sig").agg(F.min(F.struct(-F.col("n"), "pivot", "component")).alias("head"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        heads = shared_table(heads.where("parts > 1").select("sig", F.col("head.pivot").alias("pivot"), F.col("head.component").alias("own"), "all", "squares"), "entries")
-        left = heads.agg(F.count("*").alias("n"), F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
+        few = (F.col("all") * F.col("all") - F.col("squares")) / 2 <= SETTLE * F.col("all")
+        heads = heads.where("parts > 1").select("sig", F.col("head.pivot.class").alias("pivot"), F.col("head.pivot.size").alias("pivot_size"), F.col("head.component").alias("own"), (few & F.lit(done > 0) | F.lit(done >= PIVOT_ROUNDS)).alias("few"))
+        heads = shared_table(heads, "entries")
+        left = heads.agg(F.count("*").alias("n"), F.count_if(~F.col("few")).alias("pivots")).first()
         if not left.n:
             break
         live = shared_table(at.join(_small(heads, left.n), "sig"), "live")
-        last = done >= pivot_rounds and left.pairs <= 4 * left.rows
-        if last:
-            x, y = live.select("sig", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa")), live.select("sig", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"))
-            pairs = x.join(y, "sig").where((F.col("ca") < F.col("cb")) & alike("sa", "sb")).select("a", "b")
-        else:
-            sizes = live.where("class = pivot").groupBy("sig").agg(F.min("size").alias("ps"))
-            pairs = live.where("component <> own").join(sizes, "sig").where(alike("size", "ps")).select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        found = shared_table(verify(shared_table(pairs.distinct(), "pairs")), "found")
-        links = links.unionByName(found)
-        if last:
-            break
+        pairs = live.where("not few and component <> own").where(alike("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+        if left.n > left.pivots:
+            x, y = (live.where("few").select("sig", F.col("class").alias(c), F.col("component").alias(f"c_{c}")).join(_small(side(c, "size", "bits"), candidates, 8), c) for c in "ab")
+            across = x.join(y, (x["sig"] == y["sig"]) & (F.col("c_a") < F.col("c_b")) & alike("size_a", "size_b") & may_link("a", "b")).select("a", "b")
+            pairs = pairs.unionByName(across)
+        links = links.unionByName(shared_table(verify(shared_table(pairs.distinct(), "pairs")), "found"))
         done += 1
+        if not left.pivots:
+            break
         known = shared_table(components(links), "components")
-        at = live.where("class <> pivot").select("sig", "class", "size")
-        at = at.join(_small(known, known.count()), at["class"] == known["node"], "left").select("sig", "class", "size", F.coalesce("component", "class").alias("component"))
+        at = live.where("not few and class <> pivot").select("sig", "class", "size", "degree")
+        at = at.join(_small(known, known.count()), at["class"] == known["node"], "left").select("sig", "class", "size", "degree", F.coalesce("component", "class").alias("component"))
 
     known = components(links)
     by_class = classes.join(known, classes["class"] == known["node"], "left").select("class", "id", F.coalesce("component", "class").alias("component"))
