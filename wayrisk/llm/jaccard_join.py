@@ -49,6 +49,7 @@ from wayrisk.llm.shared import shared_table
 FREQUENT = 32  # a token is frequent from this count on, or from a higher one that leaves at most MOST_FREQUENT
 MOST_FREQUENT = 1 << 21  # which are broadcast, 8 bytes each
 BITMAP = 512
+BITS = [f"bits{i}" for i in range(BITMAP // 64)]
 SETTLE = 32  # an entry is settled at once when it has at most this many pairs across components for each of its classes
 PIVOT_ROUNDS = 4  # after which all entries that are left are settled
 GROUPS = 16
@@ -202,14 +203,14 @@ def _index(n: int, percent: int, frequent):
 
 
 def _with_bits(n: int):
-    """(class, text) to (class, size, bits, text); bits: the parity of tokens by BITMAP hash values."""
+    """(class, text) to (class, size, BITS, text); BITS: the parity of tokens by BITMAP hash values, in longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingles(t.as_py(), n, hashes) for t in b.column(1)]
-            bits = [np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).view(np.int64) for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.list_(pa.int64())), b.column(1)], ["class", "size", "bits", "text"])
+            bits = np.array([np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).view(np.int64) for s in sets], np.int64).reshape(-1, len(BITS))
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(c) for c in bits.T.copy()), b.column(1)], ["class", "size", *BITS, "text"])
 
     return run
 
@@ -290,17 +291,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     wanted = shared_table(wanted, "candidates")
     candidates = wanted.count()
     texts = given.join(_small(wanted, candidates), "id").select("class", "text").dropDuplicates(["class"])
-    texts = shared_table(texts.mapInArrow(_with_bits(n), "class long, size int, bits array<long>, text string"), "candidate-texts")
+    texts = shared_table(texts.mapInArrow(_with_bits(n), f"class long, size int, {', '.join(f'{c} long' for c in BITS)}, text string"), "candidate-texts")
 
     def side(name: str, *cols: str) -> DataFrame:
         return texts.select(F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
 
     def may_link(a: str, b: str):
-        differ = F.aggregate(F.zip_with(f"bits_{a}", f"bits_{b}", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+        differ = sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in BITS), F.lit(0))
         return differ * (100 + percent) <= (F.col(f"size_{a}") + F.col(f"size_{b}")) * (100 - percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        able = pairs.join(_small(side("b", "size", "bits"), candidates, 8), "b").join(_small(side("a", "size", "bits"), candidates, 8), "a")
+        able = pairs.join(_small(side("b", "size", *BITS), candidates, 8), "b").join(_small(side("a", "size", *BITS), candidates, 8), "a")
         met = able.where(may_link("a", "b")).select("a", "b").join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "text_a", "text_b")
         return met.mapInArrow(_verified(n, percent), "a long, b long")
 
@@ -322,7 +323,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         live = shared_table(at.join(_small(heads, left.n), "sig"), "live")
         pairs = live.where("not few and component <> own").where(alike("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("class").alias("b"))
         if left.n > left.pivots:
-            x, y = (live.where("few").select("sig", F.col("class").alias(c), F.col("component").alias(f"c_{c}")).join(_small(side(c, "size", "bits"), candidates, 8), c) for c in "ab")
+            x, y = (live.where("few").select("sig", F.col("class").alias(c), F.col("component").alias(f"c_{c}")).join(_small(side(c, "size", *BITS), candidates, 8), c) for c in "ab")
             across = x.join(y, (x["sig"] == y["sig"]) & (F.col("c_a") < F.col("c_b")) & alike("size_a", "size_b") & may_link("a", "b")).select("a", "b")
             pairs = pairs.unionByName(across)
         links = links.unionByName(shared_table(verify(shared_table(pairs.distinct(), "pairs")), "found"))
