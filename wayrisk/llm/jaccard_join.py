@@ -46,16 +46,18 @@ from pyspark.sql import functions as F
 
 from wayrisk.llm.shared import shared_table
 
-FREQUENT = 32  # a token is frequent from this count on, or from a higher one that leaves at most MOST_FREQUENT
+FREQUENT = 16  # a token is frequent from this count on, or from a higher one that leaves at most MOST_FREQUENT
 MOST_FREQUENT = 1 << 21  # which are broadcast, 8 bytes each
 BITMAP = 512
 BITS = [f"bits{i}" for i in range(BITMAP // 64)]
+WIDE = 8192  # bits of a second bitmap, for sets that are too large for the first
+WIDE_FROM = 900
 SETTLE = 32  # an entry is settled at once when it has at most this many pairs across components for each of its classes
-PIVOT_ROUNDS = 4  # after which all entries that are left are settled
+PIVOT_ROUNDS = 2  # after which all entries that are left are settled
 GROUPS = 16
 SMALL = 24  # above it, pairs always suffice: size - GROUPS >= size - ceil(0.8 * size) + 1
 CHUNK_TOKENS = 4_000_000
-CHUNK_LEAST = 3
+CHUNK_LEAST = 2
 MEMO_WORDS = 300_000
 MEMO_CLASSES = 200_000
 BROADCAST_ROWS = 1_000_000  # of two or three numbers each; larger sides are shuffled
@@ -203,14 +205,18 @@ def _index(n: int, percent: int, frequent):
 
 
 def _with_bits(n: int):
-    """(class, text) to (class, size, BITS, text); BITS: the parity of tokens by BITMAP hash values, in longs."""
+    """(class, text) to (class, size, BITS, wide, text): the parity of tokens by BITMAP hash values, and by WIDE ones for large sets."""
+
+    def parity(s: np.ndarray, bits: int) -> np.ndarray:
+        return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingles(t.as_py(), n, hashes) for t in b.column(1)]
-            bits = np.array([np.packbits(np.bincount((s & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).view(np.int64) for s in sets], np.int64).reshape(-1, len(BITS))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(c) for c in bits.T.copy()), b.column(1)], ["class", "size", *BITS, "text"])
+            bits = np.array([parity(s, BITMAP) for s in sets], np.int64).reshape(-1, len(BITS))
+            wide = pa.array([parity(s, WIDE) if len(s) >= WIDE_FROM else [] for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(c) for c in bits.T.copy()), wide, b.column(1)], ["class", "size", *BITS, "wide", "text"])
 
     return run
 
@@ -282,6 +288,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     frequent = np.sort(np.array([r.token for r in often.toLocalIterator()], np.int64).view(np.uint64))
 
     index = given.where("id is not null").select("text").mapInArrow(_index(n, percent, spark.sparkContext.broadcast(frequent)), "sig long, class long, size int")
+    index = shared_table(index, "signatures")
     shared = index.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("sig")
     shared = shared_table(shared, "shared-sigs")
     rows = shared_table(index.join(_small(shared, shared.count()), "sig"), "index")
@@ -291,18 +298,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     wanted = shared_table(wanted, "candidates")
     candidates = wanted.count()
     texts = given.join(_small(wanted, candidates), "id").select("class", "text").dropDuplicates(["class"])
-    texts = shared_table(texts.mapInArrow(_with_bits(n), f"class long, size int, {', '.join(f'{c} long' for c in BITS)}, text string"), "candidate-texts")
+    texts = shared_table(texts.mapInArrow(_with_bits(n), f"class long, size int, {', '.join(f'{c} long' for c in BITS)}, wide array<long>, text string"), "candidate-texts")
 
     def side(name: str, *cols: str) -> DataFrame:
         return texts.select(F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
 
-    def may_link(a: str, b: str):
-        differ = sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in BITS), F.lit(0))
+    def near_enough(differ, a: str, b: str):
         return differ * (100 + percent) <= (F.col(f"size_{a}") + F.col(f"size_{b}")) * (100 - percent)
 
+    def may_link(a: str, b: str):
+        return near_enough(sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in BITS), F.lit(0)), a, b)
+
+    def may_link_widely(a: str, b: str):
+        both = F.zip_with(f"wide_{a}", f"wide_{b}", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        return (F.size(f"wide_{a}") != F.size(f"wide_{b}")) | near_enough(F.aggregate(both, F.lit(0), lambda t, x: t + x), a, b)
+
     def verify(pairs: DataFrame) -> DataFrame:
         able = pairs.join(_small(side("b", "size", *BITS), candidates, 8), "b").join(_small(side("a", "size", *BITS), candidates, 8), "a")
-        met = able.where(may_link("a", "b")).select("a", "b").join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "text_a", "text_b")
+        able = able.where(may_link("a", "b")).select("a", "b", "size_a", "size_b")
+        able = able.join(side("b", "wide"), "b").join(side("a", "wide"), "a").where(may_link_widely("a", "b")).select("a", "b")
+        met = able.join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "text_a", "text_b")
         return met.mapInArrow(_verified(n, percent), "a long, b long")
 
     def alike(x: str, y: str):
