@@ -103,6 +103,24 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)
+        ), e AS (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (
+            SELECT doc_id AS k, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.k = e.a
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON r.k = d.doc_id GROUP BY 1, 2
+    """,
     "op5_line_dedup": """
         WITH l AS (
             SELECT source, doc_id, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))) AS line FROM documents
