@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayrisk.llm.shared import shared_table
+
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
@@ -40,7 +42,8 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = 0.08
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, least_pages: int = 3) -> DataFrame:
     """docs with boilerplate lines taken out of text_col, and n_lines and n_dropped."""
-    gone = boilerplate(docs, F.col(host_col), F.col(text_col), ratio, least_pages)
+    # Written first, so that its true size decides whether texts are shuffled to meet it.
+    gone = shared_table(boilerplate(docs, F.col(host_col), F.col(text_col), ratio, least_pages), "boilerplate")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(host_col).isNull().alias("_none"))
     text = F.col("_row")[text_col]
     lines = F.when(text.isNotNull(), _lines(text))
