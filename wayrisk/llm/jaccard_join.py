@@ -297,7 +297,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     wanted = rows.select("class").distinct().join(classes, "class")
     wanted = shared_table(wanted, "candidates")
     candidates = wanted.count()
-    texts = given.join(_small(wanted, candidates), "id").select("class", "text").dropDuplicates(["class"])
+    texts = given.join(_small(wanted, candidates), "id").select("class", "text")
+    if not narrow.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["class"])
     texts = shared_table(texts.mapInArrow(_with_bits(n), f"class long, size int, {', '.join(f'{c} long' for c in BITS)}, wide array<long>, text string"), "candidate-texts")
 
     def side(name: str, *cols: str) -> DataFrame:
@@ -315,9 +317,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     def verify(pairs: DataFrame) -> DataFrame:
         able = pairs.join(_small(side("b", "size", *BITS), candidates, 8), "b").join(_small(side("a", "size", *BITS), candidates, 8), "a")
-        able = able.where(may_link("a", "b")).select("a", "b", "size_a", "size_b")
-        able = able.join(side("b", "wide"), "b").join(side("a", "wide"), "a").where(may_link_widely("a", "b")).select("a", "b")
-        met = able.join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "text_a", "text_b")
+        able = shared_table(able.where(may_link("a", "b")).select("a", "b", "size_a", "size_b"), "able")
+        # Only the texts of these pairs are shuffled.
+        needed = shared_table(able.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "needed")
+        some = texts.select("class", "wide", "text").join(_small(needed, needed.count()), "class", "left_semi")
+        a, b = (some.select(F.col("class").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
+        met = able.join(b, "b").join(a, "a").where(may_link_widely("a", "b")).select("a", "b", "text_a", "text_b")
         return met.mapInArrow(_verified(n, percent), "a long, b long")
 
     def alike(x: str, y: str):
