@@ -18,9 +18,17 @@ def db():
     return c
 
 
+def cell(v) -> str:
+    if v is None or pd.isna(v):
+        return "null"
+    if isinstance(v, bool) or isinstance(v, str):
+        return str(v)
+    return str(v)[:10] if hasattr(v, "year") else str(float(v))
+
+
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)].astype(object)
-    return sorted(tuple(str(float(v)) if isinstance(v, float | int) and not isinstance(v, bool) and not pd.isna(v) else "null" if v is None or v is pd.NaT or v != v else str(v)[:10] if hasattr(v, "year") else str(v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple(map(cell, r)) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
