@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     degree = rows.groupBy("class").agg(F.count("*").alias("degree"))
     at, done = rows.join(_small(degree, candidates), "class").withColumn("component", F.col("class")), 0
     while True:
-        count = at.groupBy("sig", "component").agg(F.countDistinct("class").alias("n"), F.min(F.struct(-F.col("degree"), "class", "size")).alias("pivot"))
+        count = at.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("degree"), "class", "size")).alias("pivot"))
         heads = count.groupBy("sig").agg(F.min(F.struct(-F.col("n"), "pivot", "component")).alias("head"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         few = (F.col("all") * F.col("all") - F.col("squares")) / 2 <= SETTLE * F.col("all")
         heads = heads.where("parts > 1").select("sig", F.col("head.pivot.class").alias("pivot"), F.col("head.pivot.size").alias("pivot_size"), F.col("head.component").alias("own"), (few & F.lit(done > 0) | F.lit(done >= PIVOT_ROUNDS)).alias("few"))
