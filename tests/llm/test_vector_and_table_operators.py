@@ -169,3 +169,15 @@ def test_distrust_spreads_to_those_who_link(spark):
             new[b] = new.get(b, 0) + 0.85 * rank.get(a, 0) * w
         rank = new
     assert got["fine.net"].trust == pytest.approx(rank["fine.net"]) and got["good.org"].trust == pytest.approx(rank["good.org"])
+
+
+def test_ranks_converge_over_long_chains(spark):
+    link = lambda h: f'<a href="http://{h}/p">x</a>'
+    n = 101  # hosts in the chain, the last one is blocked
+    chain = [(i, f"http://h{i}.net/", link(f"h{i + 1}.net" if i + 1 < n else "bad.com")) for i in range(n)]
+    loop = [(n, "http://good.org/", link("a.net")), (n + 1, "http://a.net/", link("b.net")), (n + 2, "http://b.net/", link("good.org")), (n + 3, "http://bad.com/de/", "")]
+    got = {r.host: r for r in url_filter.judge(spark.createDataFrame(chain + loop, "page_id long, url string, html string")).collect()}
+    assert all(got[f"h{i}.net"].verdict == "block" for i in range(n))
+    assert all(got[f"h{i}.net"].distrust == pytest.approx(0.15 * 0.85 ** (n - i), rel=1e-5, abs=0) for i in range(n))
+    ring = 0.15 / (1 - 0.85**3)  # good.org -> a.net -> b.net -> good.org, solved
+    assert [got[h].trust for h in ("good.org", "a.net", "b.net")] == pytest.approx([ring, 0.85 * ring, 0.85**2 * ring], rel=1e-5)

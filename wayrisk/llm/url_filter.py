@@ -49,20 +49,34 @@ def host_edges(pages: DataFrame, host: Column, html: Column) -> DataFrame:
     return n.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 8, save_every: int = 4) -> DataFrame:
-    """Personalised PageRank: host, score. seeds: host, mass (summing to 1); edges: src, dst, share."""
-    rank = seeds.select("host", F.col("mass").alias("score"))
-    for i in range(rounds):
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, save_every: int = 4, tolerance: float = 1e-6) -> DataFrame:
+    """Personalised PageRank: host, score. seeds: host, mass (summing to 1); edges: src, dst, share.
+
+    Without a number of rounds it goes on until, from one checkpoint to the
+    next, no host's score changes by more than `tolerance` of itself. A host
+    that is reached for the first time counts as changed, so distance is no
+    limit, and small scores are as exact as large ones.
+    """
+    rank = saved = seeds.select("host", F.col("mass").alias("score"))
+    i = 0
+    while rounds is None or i < rounds:
+        i += 1
         moved = rank.join(edges, rank.host == edges.src).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         kept = seeds.select("host", ((1 - damping) * F.col("mass")).alias("score"))
-        rank = kept.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if (i + 1) % save_every == 0 and i + 1 < rounds:
-            rank = rank.checkpoint()
+        both = kept.unionByName(moved)
+        if i % save_every or i == rounds:
+            rank = both.groupBy("host").agg(F.sum("score").alias("score"))
+            continue
+        old = saved.select("host", F.lit(0.0).alias("score"), F.col("score").alias("old"))
+        ranks = both.withColumn("old", F.lit(0.0)).unionByName(old).groupBy("host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")).checkpoint()
+        rank = saved = ranks.select("host", "score")
+        if rounds is None and ranks.where(F.abs(F.col("score") - F.col("old")) > tolerance * F.col("score")).isEmpty():
+            break
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, rounds: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id_col, host, path, rule, verdict, with the host's trust and distrust."""
+def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, rounds: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id_col, host, path, rule, verdict, with the host's trust and distrust (converged, or after `rounds` rounds if given)."""
     from wayrisk.llm.shared import shared_dir, shared_table
 
     shared_dir(pages.sparkSession)
