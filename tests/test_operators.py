@@ -153,3 +153,11 @@ def test_flow_total_is_tons_times_path_length(spark):
 def test_mismatch_report(spark):
     df = spark.createDataFrame([("a", "b", 10.0, 15.0), ("a", "b", 12.0, 30.0), ("a", "c", 10.0, 11.0)], "origin string, destination string, kms double, routed_km double")
     assert [tuple(r) for r in od.mismatch_report(df).collect()] == [("a", "b", 10.0, 15.0)]
+
+
+def test_closest_candidates_tries_all_pairs(spark):
+    edges = spark.createDataFrame([(1, 1, 9, 8.0), (2, 2, 9, 7.0), (3, 3, 9, 1.0), (4, 3, 150, 2.0)], "edge_id long, from_node long, to_node long, cost double")
+    stations = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)], "place string, origin_id long")
+    records = spark.createDataFrame([(1, "a", 10.0, 9), (2, "a", 2.0, 150), (3, "b", 9.0, 9), (3, "b", 9.0, 150), (4, "b", 9.0, 77)], "record long, place string, kms double, destination_id long")
+    got = {r.record: (r.origin_id, r.destination_id, r.routed_km, r.mismatch) for r in routing.closest_candidates(records, stations, edges, "record").collect()}
+    assert got == {1: (3, 9, 1.0, True), 2: (3, 150, 2.0, False), 3: (2, 9, 7.0, True)}

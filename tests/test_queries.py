@@ -1,10 +1,12 @@
 """Every query that has SQL against DuckDB, on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from wayrisk.queries import ORACLE, QUERIES
+from wayrisk.queries.base import EDGES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +50,28 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def least_costs(edges: pd.DataFrame, n: int) -> np.ndarray:
+    """Least costs between all of n nodes; the costs of these tables add up exactly."""
+    d = np.full((n + 1, n + 1), np.inf)
+    np.fill_diagonal(d, 0)
+    for a, b, c in zip(edges.from_node, edges.to_node, edges.cost, strict=True):
+        d[a, b] = d[b, a] = min(d[a, b], c)
+    for k in range(n + 1):
+        d = np.minimum(d, d[:, k, None] + d[k])
+    return d
+
+
+def test_nearest_of_all_candidates(spark):
+    folder, c = SF.replace("0.001", "0.01"), duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    d = least_costs(c.execute(f"WITH {EDGES} SELECT * FROM edges").df(), c.execute("SELECT max(s_suppkey) FROM supplier").fetchone()[0])
+    pairs = c.execute("SELECT DISTINCT c_custkey, s_suppkey, l_suppkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_nationkey = c_nationkey WHERE s_suppkey <> l_suppkey").fetchall()
+    best = {}
+    for k, o, e in pairs:
+        if np.isfinite(d[o, e]):
+            best[k] = min(best.get(k, (np.inf,)), (d[o, e], o, e))
+    got = {r.record: (r.routed_km, r.origin_id, r.destination_id) for r in QUERIES["n24_closest_candidates"](spark, folder).collect()}
+    assert got == best and max(v[2] for v in got.values()) > 97

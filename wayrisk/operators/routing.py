@@ -229,10 +229,18 @@ def speed_range(paths: DataFrame, path: str, speed: str) -> DataFrame:
     return paths.select(F.explode(path).alias("edge_id"), speed).groupBy("edge_id").agg(F.min(speed).alias("min_speed"), F.max(speed).alias("max_speed"))
 
 
-def closest_candidates(pairs: DataFrame, edges: DataFrame, record: str, cost: str = "cost", share: float = 0.2) -> DataFrame:
-    """Of each record's candidate station pairs the one with the shortest path, flagged when it is off the reported km by over `share`."""
-    routed = shortest_paths(pairs, edges, cost)
-    best = routed.where("reachable").groupBy(record).agg(F.min_by(F.struct("origin_id", "destination_id", F.col(cost).alias("routed_km"), "kms"), F.struct(cost, "origin_id", "destination_id")).alias("b")).select(record, "b.*")
+def closest_candidates(records: DataFrame, origins: DataFrame, edges: DataFrame, record: str, cost: str = "cost", share: float = 0.2) -> DataFrame:
+    """Of all candidate station pairs of each record the one with the shortest path, flagged when it is off the reported km by over `share`.
+
+    records: the record, its place, kms and a destination_id, a row for each
+    candidate destination; origins: the candidate stations (place, origin_id).
+    Each pair of stations is routed once; the nearest origin of a place and
+    destination serves all records that share them.
+    """
+    near = records.select("place", "destination_id").distinct().join(origins.distinct(), "place").where("origin_id <> destination_id")
+    routed = shortest_paths(near.select("origin_id", "destination_id").distinct(), edges, cost).where("reachable").select("origin_id", "destination_id", F.col(cost).alias("routed_km"))
+    nearest = near.join(routed, ["origin_id", "destination_id"]).groupBy("place", "destination_id").agg(F.min(F.struct("routed_km", "origin_id", "destination_id")).alias("o"))
+    best = records.join(nearest, ["place", "destination_id"]).groupBy(record).agg(F.min_by(F.struct("o.origin_id", "o.destination_id", "o.routed_km", "kms"), "o").alias("b")).select(record, "b.*")
     return best.withColumn("mismatch", F.abs(F.col("routed_km") - F.col("kms")) > share * F.col("kms"))
 
 

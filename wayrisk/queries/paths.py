@@ -143,11 +143,11 @@ def n22_extra_failures(t: Tables):
 
 @query()
 def n24_closest_candidates(t: Tables):
-    """Of each customer's candidate station pairs the nearest, and those far off the reported distance."""
-    k, c = F.col("c_custkey"), F.col("c_nationkey")
-    some = t.supplier.groupBy(F.col("s_nationkey").alias("n")).agg(F.slice(F.sort_array(F.collect_set("s_suppkey")), 1, 2).alias("s"))
-    pairs = t.customer.join(some, c == F.col("n")).select(k.alias("record"), F.explode("s").alias("origin_id"), F.abs("c_acctbal").alias("kms")).withColumn("destination_id", F.col("record") % 97 + 1)
-    return routing.closest_candidates(pairs.where("origin_id <> destination_id"), road_edges(t), "record")
+    """Of each customer's candidate station pairs (all suppliers of its nation, all suppliers of its orders) the nearest, and those far off the reported distance."""
+    served = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("record"), F.col("l_suppkey").alias("destination_id")).distinct()
+    records = t.customer.select(F.col("c_custkey").alias("record"), F.col("c_nationkey").alias("place"), F.abs("c_acctbal").alias("kms")).join(served, "record")
+    stations = t.supplier.select(F.col("s_nationkey").alias("place"), F.col("s_suppkey").alias("origin_id"))
+    return routing.closest_candidates(records, stations, road_edges(t), "record")
 
 
 @query("""SELECT 'rail' AS mode, count(*) AS n FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'road', count(*) FROM part""")
