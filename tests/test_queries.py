@@ -5,8 +5,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wayrisk.queries import ORACLE, QUERIES
-from wayrisk.queries.base import EDGES
+from wayrisk.queries import ORACLE, QUERIES, paths
+from wayrisk.queries.base import EDGES, Tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -75,3 +75,21 @@ def test_nearest_of_all_candidates(spark):
             best[k] = min(best.get(k, (np.inf,)), (d[o, e], o, e))
     got = {r.record: (r.routed_km, r.origin_id, r.destination_id) for r in QUERIES["n24_closest_candidates"](spark, folder).collect()}
     assert got == best and max(v[2] for v in got.values()) > 97
+
+
+def test_every_used_edge_fails(spark):
+    folder, c = SF.replace("0.001", "0.01"), duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    edges, n = c.execute(f"WITH {EDGES} SELECT * FROM edges").df(), c.execute("SELECT max(s_suppkey) FROM supplier").fetchone()[0]
+    used = {}
+    for r in paths.routed(Tables(spark, folder)).where("reachable and tons > 0").collect():
+        for e in r.path:
+            used.setdefault(e, set()).add((r.origin_id, r.destination_id))
+    got = {}
+    for r in QUERIES["n18_failures"](spark, folder).collect():
+        got.setdefault(r.scenario_id, {})[r.origin_id, r.destination_id] = np.inf if r.no_access else r.new_cost
+    assert {e: set(x) for e, x in got.items()} == used
+    for e, x in got.items():
+        d = least_costs(edges[edges.edge_id != int(e)], n)
+        assert x == {k: d[k] for k in x}

@@ -10,6 +10,7 @@ edge id.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ MOST_EDGES = 2_000_000  # of a broadcast graph: about 100 MB
 class Graph:
     """Adjacency arrays of an undirected multigraph."""
 
+    lists = None
+
     def __init__(self, nodes: np.ndarray, at: np.ndarray, to: np.ndarray, edge: np.ndarray, cost: np.ndarray):
         self.nodes, self.at, self.to, self.edge, self.cost = nodes, at, to, edge, cost
         self.index = {n: i for i, n in enumerate(nodes.tolist())}
@@ -47,9 +50,12 @@ class Graph:
 
     def tree(self, origin: int, without: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Costs from origin, and the edge and node before each node; edges in `without` are closed."""
-        cost, by, before = np.full(len(self.nodes), np.inf), np.full(len(self.nodes), -1), np.full(len(self.nodes), -1)
+        n = len(self.nodes)
+        cost, by, before = [math.inf] * n, [-1] * n, [-1] * n
         cost[origin], heap = 0.0, [(0.0, origin)]
-        at, to, edge, step = self.at, self.to, self.edge, self.cost
+        if self.lists is None:  # once a worker: the loop reads lists several times faster than arrays
+            self.lists = [x.tolist() for x in (self.at, self.to, self.edge, self.cost)]
+        at, to, edge, step = self.lists
         while heap:
             c, u = heapq.heappop(heap)
             if c > cost[u]:
@@ -61,7 +67,7 @@ class Graph:
                     if d < cost[v]:
                         heapq.heappush(heap, (d, v))
                     cost[v], by[v], before[v] = d, e, u
-        return cost, by, before
+        return np.array(cost), np.array(by), np.array(before)
 
     def path(self, tree, target: int) -> list[str]:
         _, by, before = tree
@@ -182,7 +188,9 @@ def failures(scenarios: DataFrame, paths: DataFrame, edges: DataFrame, cost: str
                 new.append(g.path(tree, j) if ok and keep_paths else None)
             yield b.drop(columns="closed").assign(no_access=np.array(access, np.int32), new_cost=pd.array(costs, "Float64"), new_path=new)
 
-    out = cut.repartition("scenario_id", "origin_id").sortWithinPartitions("scenario_id", "origin_id").mapInPandas(run, schema)
+    # A number of partitions, as few bytes mean much work here and would else be put into one task.
+    n = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = cut.repartition(n, "scenario_id", "origin_id").sortWithinPartitions("scenario_id", "origin_id").mapInPandas(run, schema)
     return out if keep_paths else out.drop("new_path")
 
 

@@ -83,12 +83,11 @@ def n14_path_assembly(t: Tables):
 
 @query()
 def n18_failures(t: Tables):
-    """The busiest edge of every brand fails; pairs on it are rerouted or cut off, with their losses."""
-    paths = routed(t).where("reachable").checkpoint()
-    used = routing.edge_flows(paths, "path", ["tons"]).withColumn("edge_id", F.col("edge_id").cast("long")).join(road_edges(t).select("edge_id", "brand"), "edge_id")
-    busiest = used.groupBy("brand").agg(F.max_by("edge_id", F.struct("tons", "edge_id")).alias("edge_id"))
-    scenarios = busiest.select(F.col("edge_id").cast("string").alias("scenario_id"), F.col("edge_id").cast("string").alias("edge_id"))
-    return routing.rerouting_losses(routing.failures(scenarios, paths, road_edges(t)))
+    """Every edge that carries flow fails on its own; pairs on it are rerouted or cut off, with their losses."""
+    paths = routed(t).where("reachable and tons > 0").checkpoint()
+    edges = road_edges(t)
+    used = routing.failure_set(edges.select(F.col("edge_id").cast("string").alias("edge_id")), routing.edge_flows(paths, "path", ["tons"]), "tons")
+    return routing.rerouting_losses(routing.failures(used.select(F.col("edge_id").alias("scenario_id"), "edge_id"), paths, edges))
 
 
 @query()
