@@ -161,3 +161,14 @@ def test_closest_candidates_tries_all_pairs(spark):
     records = spark.createDataFrame([(1, "a", 10.0, 9), (2, "a", 2.0, 150), (3, "b", 9.0, 9), (3, "b", 9.0, 150), (4, "b", 9.0, 77)], "record long, place string, kms double, destination_id long")
     got = {r.record: (r.origin_id, r.destination_id, r.routed_km, r.mismatch) for r in routing.closest_candidates(records, stations, edges, "record").collect()}
     assert got == {1: (3, 9, 1.0, True), 2: (3, 150, 2.0, False), 3: (2, 9, 7.0, True)}
+
+
+def test_relaxation_ends_only_when_no_cost_falls(spark):
+    chain = [(i, i + 1, 1.0) for i in range(14)] + [(0, 14, 20.0)]
+    edges = spark.createDataFrame([(i, *e) for i, e in enumerate(chain)], "edge_id long, from_node long, to_node long, cost double")
+    origin = spark.createDataFrame([(0,)], "origin_id long")
+    with pytest.raises(RuntimeError):
+        routing.relaxed_costs(origin, edges, most_rounds=5).collect()
+    assert {r.node: r.cost for r in routing.relaxed_costs(origin, edges).collect()} == {i: float(i) for i in range(15)}
+    with pytest.raises(ValueError):
+        routing.relaxed_costs(origin, edges.withColumn("cost", -F.col("cost")))

@@ -107,20 +107,30 @@ def shortest_paths(od: DataFrame, edges: DataFrame, cost: str = "cost", name: st
     return od.repartition("origin_id").sortWithinPartitions("origin_id").mapInPandas(run, schema)
 
 
-def relaxed_costs(origins: DataFrame, edges: DataFrame, cost: str = "cost", most_rounds: int = 200) -> DataFrame:
-    """N13 on DataFrames: (origin_id, node, cost) of all reachable nodes. Only nodes whose cost fell go on, and a checkpoint cuts each round's lineage."""
+def relaxed_costs(origins: DataFrame, edges: DataFrame, cost: str = "cost", most_rounds: int | None = None) -> DataFrame:
+    """N13 on DataFrames: (origin_id, node, cost) of all reachable nodes. Only nodes whose cost fell go on, and a checkpoint cuts each round's lineage.
+
+    Rounds go on until no cost falls, as many as the longest least path has
+    edges; a bound on them raises an error when it is hit. Negative costs are
+    refused, as they could fall for ever.
+    """
     arcs = edges.select(F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col(cost).alias("step"))
     arcs = arcs.unionByName(arcs.select(F.col("next").alias("node"), F.col("node").alias("next"), "step")).groupBy("node", "next").agg(F.min("step").alias("step"))
     best = origins.select("origin_id", F.col("origin_id").alias("node"), F.lit(0.0).alias("cost"))
     front = best
-    for _ in range(most_rounds):
+    if not arcs.where("step < 0").isEmpty():
+        raise ValueError("negative costs")
+    done = 0
+    while True:
         reach = front.join(arcs, "node").groupBy("origin_id", F.col("next").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("new"))
         both = best.join(reach, ["origin_id", "node"], "full").checkpoint()
         front = both.where("new is not null and (cost is null or new < cost)").select("origin_id", "node", F.col("new").alias("cost"))
         best = both.select("origin_id", "node", F.least("cost", "new").alias("cost"))
         if front.isEmpty():
-            break
-    return best
+            return best
+        done += 1
+        if done == most_rounds:
+            raise RuntimeError(f"costs still fall after {most_rounds} rounds")
 
 
 def with_path_sums(paths: DataFrame, edges: DataFrame, sums: list[str], key: list[str], name: str = "path") -> DataFrame:
