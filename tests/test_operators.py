@@ -172,3 +172,14 @@ def test_relaxation_ends_only_when_no_cost_falls(spark):
     assert {r.node: r.cost for r in routing.relaxed_costs(origin, edges).collect()} == {i: float(i) for i in range(15)}
     with pytest.raises(ValueError):
         routing.relaxed_costs(origin, edges.withColumn("cost", -F.col("cost")))
+
+
+def test_balance_never_returns_an_unbalanced_table(spark):
+    # One cell is missing, so that more than two rounds are needed.
+    cells = spark.createDataFrame([("r1", "c1", 1.0), ("r2", "c1", 1.0), ("r2", "c2", 1.0)], "row string, col string, value double")
+    rows = spark.createDataFrame([("r1", 1.0), ("r2", 1.2)], "row string, total double")
+    cols = spark.createDataFrame([("c1", 1.2), ("c2", 1.0)], "col string, total double")
+    with pytest.raises(RuntimeError):
+        macro.balance(cells, rows, cols, 1e-6, most_rounds=2)
+    sums = {r.row: r.t for r in macro.balance(cells, rows, cols, 1e-6).groupBy("row").agg(F.sum("value").alias("t")).collect()}
+    assert sums == {"r1": pytest.approx(1.0, abs=1e-4), "r2": pytest.approx(1.2, abs=1e-4)}

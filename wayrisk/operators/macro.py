@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -48,14 +49,16 @@ def trade_proxy(od: DataFrame, output: DataFrame) -> DataFrame:
     return shared.join(o, ["origin", "sector"]).join(d, ["destination", "sector"]).select("origin", "destination", "sector", (F.col("share") * F.least("_o", "_d")).alias("trade"))
 
 
-def balance(cells: DataFrame, rows: DataFrame, cols: DataFrame, eps: float = 1e-5, most_rounds: int = 200, save_every: int = 5) -> DataFrame:
+def balance(cells: DataFrame, rows: DataFrame, cols: DataFrame, eps: float = 1e-5, most_rounds: int = 100_000, save_every: int = 5) -> DataFrame:
     """M6: generalised RAS: (row, col, value) scaled to the given row and column totals (row, total), (col, total); negative cells keep their sign.
 
     A positive cell is multiplied by r and s, a negative one divided by them.
     Each round solves r, then s, from sums over rows or columns of the positive
     part P and the negative part N of the scaled cells:
     m = (t + sqrt(t^2 + 4 P N)) / (2 P), or -N / t without a positive part;
-    it stops when no multiplier changes by more than eps.
+    it stops when no multiplier changes by more than eps, and raises an error
+    if that is not so after `most_rounds` (the reference's bound) or if a
+    multiplier is not a number.
     """
     s = cols.select("col", F.lit(1.0).alias("s"))
     r = None
@@ -74,6 +77,10 @@ def balance(cells: DataFrame, rows: DataFrame, cols: DataFrame, eps: float = 1e-
         r, s = new_r, new_s
         if change is None or change <= eps:
             break
+        if math.isnan(change):
+            raise RuntimeError("a multiplier is not a number")
+    else:
+        raise RuntimeError(f"not balanced after {most_rounds} rounds: multipliers change by {change}")
     scaled = F.when(F.col("value") >= 0, F.col("value") * F.col("r") * F.col("s")).otherwise(F.col("value") / (F.col("r") * F.col("s")))
     return cells.join(r, "row").join(s, "col").select("row", "col", scaled.alias("value"))
 
