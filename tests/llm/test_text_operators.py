@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wayrisk.llm import jaccard_join, line_dedup, mixing, packing, quality, token_counts
@@ -122,8 +123,8 @@ def test_near_duplicates_equal_brute_force(spark, seed, monkeypatch):
         monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
         monkeypatch.setattr(jaccard_join, "CHUNK_LEAST", 2)
     if seed == 3:  # and let pivots do nearly all the work
-        monkeypatch.setattr(jaccard_join, "SETTLE", 0.1)
-        monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 9)
+        monkeypatch.setattr(jaccard_join, "AT_ONCE", 2)
+        monkeypatch.setattr(jaccard_join, "COPIED", 2)
     texts = near_copies(seed)
     sizes, want = brute(texts)
     got = {r.doc_id: r for r in jaccard_join.near_duplicates(docs(spark, texts).withColumnRenamed("lang", "class")).collect()}
@@ -148,7 +149,31 @@ def test_signatures_of_similar_sets_meet():
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         often = np.sort(rng.choice(pool, len(pool) * int(rng.integers(0, 4)) // 4, replace=False))
         if 100 * both >= 80 * either:
-            assert len(np.intersect1d(jaccard_join.signatures(a, often, 80), jaccard_join.signatures(b, often, 80)))
+            (p, early_p), (q, early_q) = (jaccard_join.signatures(x, often, 80) for x in (a, b))
+            # The smaller set's entry must be one of its shorter prefix.
+            p, q = p if len(a) >= len(b) else p[early_p], q if len(b) > len(a) else q[early_q]
+            assert len(np.intersect1d(p, q))
+
+
+def test_pages_that_share_most_of_their_text_without_linking_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    asked = []
+    verified = jaccard_join._Candidates.verified
+    monkeypatch.setattr(jaccard_join._Candidates, "verified", lambda self, pairs: (asked.append(pairs.distinct().count()), verified(self, pairs))[1])
+    # 82 % of each page's shingles are the same, which makes a similarity of 0.7.
+    common = " ".join(f"c{i}" for i in range(250))
+    texts = [common + "".join(f" p{k}x{i}" for i in range(54)) for k in range(2000)]
+    got = jaccard_join.near_duplicates(docs(spark, texts)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and sum(asked) < 2000
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b, c = ("one two three four five six seven", "other words that are here in this text", "third text of quite some other words")
+    rows = [(1, a), (1, b), (2, a), (2, c), (3, c), (3, c), (4, None), (4, ""), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("kept")).withColumn("id", F.lit(7))
+    got = jaccard_join.without_near_copies(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, a), (0, a), (1, a), (1, b), (2, c), (4, ""), (4, "")]
 
 
 def test_line_dedup_keeps_rows_and_other_columns(spark):
@@ -169,6 +194,10 @@ def test_quality_of_held_out_rows(spark):
     df = docs(spark, good + bad + [None, ""])
     labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300)] + [(5, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(df, labels, sample=200, dims=8)
+    assert quality.score(df.limit(0), model).count() == 0
+    one = next(i for i in range(300) if zlib.crc32(str(i).encode()) % 5)
+    same_id = docs(spark, good).withColumn("doc_id", F.lit(one).cast("long"))
+    assert len(quality.fit(same_id, labels.where(F.col("doc_id") == one), sample=20, dims=8).labels) == 20
     got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
     test = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(model.labels) <= 200 and all((got[i] >= 0.3) == (i < 150) for i in test) and got[300] == got[301] == 0

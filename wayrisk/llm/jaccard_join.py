@@ -1,34 +1,43 @@
 """N-gram Jaccard join with token-combination prefixes (operator 3).
 
 A text's tokens are its distinct word shingles, as 64-bit hashes. Tokens are in
-two classes: frequent ones (counted at least FREQUENT times; the heavy hitters
-of every chunk of the corpus, summed) and rare ones. The global order
-puts rare tokens first. Of each set as long a prefix is indexed as makes its
-coverage reach the number of tokens that a partner may lack, plus one: a rare
-token covers 1 and is indexed alone; frequent tokens, dealt to GROUPS groups by
-hash, cover one less than a group has in the prefix and are indexed as pairs of
-a group. Two sets that are similar enough then share an index entry: if none of
-the shorter prefix's rare tokens and at most one of each group were shared, more
-tokens would be missing than may be. Sets of up to SMALL tokens cannot be
-covered by pairs; they (and, so that sizes overlap, sets up to SMALL / 0.8) are
-indexed by single tokens in a space of their own.
-
-Equal sets are one class, so copies never meet. Candidates whose parity bitmaps
-differ in more bits than two linked sets may differ in tokens are dropped; the
-others are verified on the whole texts. The components of links are wanted, not
-each link: in each round an index entry's pivot (the class of its largest
-component so far that has the most entries, as an original has more than its
-altered copies) meets those of its other classes that are not yet connected
-with it, and entries whose classes are all connected go. After the first round,
-entries with few pairs across components are settled by verifying all of these,
-and after PIVOT_ROUNDS all entries are.
-So no link between components is lost, and a group of near copies costs in
-proportion to its size.
+two classes: frequent ones (the heavy hitters of every chunk of the corpus,
+summed; counted at least FREQUENT times, or more often where these would be over
+MOST_FREQUENT) and rare ones. The global order puts rare tokens first. Of each
+set as long a prefix is indexed as makes its coverage reach the number of tokens
+that a partner may lack, plus one: a rare token covers 1 and is indexed alone;
+frequent tokens, dealt to GROUPS groups by hash, cover one less than a group has
+in the prefix and are indexed as pairs of a group. Two sets that are similar
+enough then share an index entry: if none of the shorter prefix's rare tokens
+and at most one of each group were shared, more tokens would be missing than may
+be. A set lacks less in a partner that is no smaller, so the entries of its
+shorter prefix for that case are marked, and a pair is a candidate only where
+the smaller set's entry is marked. So pages that share a passage without being
+similar do not meet, however many they are, unless their sizes differ and bring
+the passage into both prefixes. Sets of up to SMALL tokens cannot be covered by
+pairs; they (and, so that sizes overlap, sets up to SMALL / 0.8) are indexed by
+single tokens in a space of their own.
+
+Equal sets are one class (128-bit digests), so copies never meet. Entries are
+shuffled once, by signature; windows over that one exchange drop repeated and
+lonely entries and pair the classes of entries of up to AT_ONCE classes.
+Distinct pairs are filtered by sizes and by parity bitmaps, which differ in at
+most as many bits as the sets in tokens; the others are verified on the whole
+texts. The components of links are wanted, not each link. So classes of larger
+entries meet in rounds: an entry's pivots (those of its classes that have the
+most such entries, as an original has more than its altered copies) meet its
+classes that they are not yet connected with, and leave. The number of pivots
+grows fourfold by round, entries whose classes are all connected go, and entries that
+are down to AT_ONCE classes are paired at once. So no link between components is
+lost, a group of near copies costs in proportion to its size, and rounds grow
+with the logarithm of the largest entry.
 
 Defined results: words are runs of other than ASCII white space with A-Z
 lowered; fewer than n words make one shingle; a null, empty or blank text has
 no shingles and is alone in its component. Rows with a null id have no
-component. Repeated rows are copies. An empty table gives no rows.
+component. Repeated rows are copies; rows that share an id but not a text count
+as separate texts of that id, each with its own component. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -36,31 +45,29 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import shared_table
+from wayrisk.llm.shared import Scratch, shared_table
 
 FREQUENT = 16  # a token is frequent from this count on, or from a higher one that leaves at most MOST_FREQUENT
 MOST_FREQUENT = 1 << 21  # which are broadcast, 8 bytes each
-BITMAP = 512
-BITS = [f"bits{i}" for i in range(BITMAP // 64)]
-WIDE = 8192  # bits of a second bitmap, for sets that are too large for the first
-WIDE_FROM = 900
-SETTLE = 32  # an entry is settled at once when it has at most this many pairs across components for each of its classes
-PIVOT_ROUNDS = 2  # after which all entries that are left are settled
+BITS = 512  # of a parity bitmap; WIDE_BITS for sets from WIDE_FROM tokens on
+WIDE_BITS, WIDE_FROM = 8192, 900
+AT_ONCE = 8  # an entry of at most so many classes has all its pairs verified
 GROUPS = 16
 SMALL = 24  # above it, pairs always suffice: size - GROUPS >= size - ceil(0.8 * size) + 1
 CHUNK_TOKENS = 4_000_000
 CHUNK_LEAST = 2
 MEMO_WORDS = 300_000
 MEMO_CLASSES = 200_000
+COPIED, MOST_COPIED = 64, 50_000  # of the most copied classes, from COPIED rows on, only one row is indexed
 BROADCAST_ROWS = 1_000_000  # of two or three numbers each; larger sides are shuffled
+SALTS = 32  # to which the classes of an entry are dealt while its pivots are sought
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,9 +99,10 @@ def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A set's class: a signed 64-bit digest of all its tokens."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
+def class_of(tokens: np.ndarray) -> tuple[int, int]:
+    """A set's class: two signed 64-bit halves of a digest of all its tokens."""
+    d = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 def lacking(size: int, percent: int) -> int:
@@ -102,9 +110,15 @@ def lacking(size: int, percent: int) -> int:
     return size - -(-percent * size // 100)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of a set; see the module's text."""
-    cover, out = lacking(len(tokens), percent) + 1, []
+def lacking_in_larger(size: int, percent: int) -> int:
+    """How many of its tokens a set may lack in a partner that is no smaller."""
+    return size - -(-2 * percent * size // (100 + percent))
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a set, and which of them its prefix for partners no smaller has; see the module's text."""
+    cover, short = lacking(len(tokens), percent) + 1, lacking_in_larger(len(tokens), percent) + 1
+    out, marked = [], []
     if len(frequent):
         often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
         ordered = np.concatenate([tokens[~often], tokens[often]])
@@ -113,24 +127,35 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
         ordered, rare = tokens, len(tokens)
     if 100 * SMALL >= percent * len(tokens):
         out.append(_mixed(ordered[:cover] ^ np.uint64(0x5851F42D4C957F2D)))
+        marked.append(np.arange(cover) < short)
     if len(tokens) > SMALL:
         out.append(ordered[: min(cover, rare)])
+        marked.append(np.arange(len(out[-1])) < short)
         if rare < cover:
             groups: list[list[int]] = [[] for _ in range(GROUPS)]
-            need = cover - rare
+            covered, pairs, early = rare, [], []
             for t in ordered[rare:].tolist():
+                if covered >= cover:
+                    break
                 group = groups[t >> 7 & (GROUPS - 1)]
-                need -= bool(group)
+                pairs += [(u, t) for u in group]
+                early += [covered < short] * len(group)
+                covered += bool(group)
                 group.append(t)
-                if not need:
-                    break
-            pairs = np.array([p for g in groups for p in combinations(g, 2)], np.uint64).reshape(-1, 2)
-            out.append(_mixed(pairs[:, 0] * _M + pairs[:, 1]))
-    return np.concatenate(out)
+            both = np.array(pairs, np.uint64).reshape(-1, 2)
+            out.append(_mixed(both[:, 0] * _M + both[:, 1]))
+            marked.append(np.array(early, bool))
+    return np.concatenate(out), np.concatenate(marked)
+
+
+def parity(tokens: np.ndarray) -> list[int]:
+    """The parity of the number of tokens by hash value, a bit each."""
+    bits = WIDE_BITS if len(tokens) >= WIDE_FROM else BITS
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64).tolist()
 
 
 def _sets(n: int):
-    """(id, text) to (id, size, class), and with some rows a chunk's most common tokens."""
+    """(id, text) to (id, size, hi, lo, bits), and with some rows a chunk's most common tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, gathered, many, seen = WordHashes(), [], 0, set()
@@ -144,11 +169,12 @@ def _sets(n: int):
             return token[keep].view(np.int64).tolist(), count[keep].tolist()
 
         for b in batches:
-            size, kind, tokens, counts = [], [], [], []
+            size, kind, bits, tokens, counts = [], [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), n, hashes)
                 size.append(len(s))
-                kind.append(class_of(s) if len(s) else None)
+                kind.append(class_of(s) if len(s) else (None, None))
+                bits.append(parity(s) if len(s) else None)
                 if len(s) and kind[-1] not in seen:
                     if len(seen) >= MEMO_CLASSES:
                         seen.clear()
@@ -164,37 +190,42 @@ def _sets(n: int):
                 # The rest of the batch is a chunk too.
                 got, many = common(), 0
                 tokens[-1], counts[-1] = tokens[-1] + got[0], counts[-1] + got[1]
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int32()), pa.array(kind, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["id", "size", "class", "tokens", "counts"])
+            longs = pa.list_(pa.int64())
+            yield pa.record_batch([b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in kind], pa.int64()), pa.array([k[1] for k in kind], pa.int64()), pa.array(bits, longs), pa.array(tokens, longs), pa.array(counts, longs)], ["id", "size", "hi", "lo", "bits", "tokens", "counts"])
 
     return run
 
 
-def _index(n: int, percent: int, frequent):
-    """(text) to (sig, class, size), once for each class that a task meets."""
+def _index(n: int, percent: int, frequent, copied):
+    """(id, text) to entries (sig, lo, mark), once for each class that a task meets; mark: twice the size, plus 1 if marked.
+
+    copied: classes of which only the row with the given id is indexed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often, seen = WordHashes(), frequent.value, set()
+        hashes, often, only, seen = WordHashes(), frequent.value, copied.value, set()
         for b in batches:
-            sigs, kinds, sizes = [], [], []
+            sigs, kinds, marks = [], [], []
 
             def rows() -> pa.RecordBatch:
                 n = [len(s) for s in sigs]
-                out = pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(kinds, np.int64), n)), pa.array(np.repeat(np.array(sizes, np.int32), n))], ["sig", "class", "size"])
-                sigs.clear(), kinds.clear(), sizes.clear()
+                out = pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(kinds, np.int64), n)), pa.array(np.concatenate(marks))], ["sig", "lo", "mark"])
+                sigs.clear(), kinds.clear(), marks.clear()
                 return out
 
             many = 0
-            for t in b.column(0):
+            for i, t in zip(b.column(0), b.column(1), strict=True):
                 s = shingles(t.as_py(), n, hashes)
-                if not len(s) or (kind := class_of(s)) in seen:
+                if not len(s) or (kind := class_of(s)) in seen or (kind in only and only[kind] != i.as_py()):
                     continue
                 if len(seen) >= MEMO_CLASSES:
                     seen.clear()
                 seen.add(kind)
-                sigs.append(np.unique(signatures(s, often, percent)))
-                kinds.append(kind)
-                sizes.append(len(s))
-                many += len(sigs[-1])
+                entries, marked = signatures(s, often, percent)
+                sigs.append(entries)
+                kinds.append(kind[1])
+                marks.append((2 * len(s) + marked).astype(np.int32))
+                many += len(entries)
                 if many > 200_000:
                     yield rows()
                     many = 0
@@ -204,19 +235,27 @@ def _index(n: int, percent: int, frequent):
     return run
 
 
-def _with_bits(n: int):
-    """(class, text) to (class, size, BITS, wide, text): the parity of tokens by BITMAP hash values, and by WIDE ones for large sets."""
-
-    def parity(s: np.ndarray, bits: int) -> np.ndarray:
-        return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
+def _classified(n: int):
+    """(id, text, row) to (id, hi, lo, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingles(t.as_py(), n, hashes) for t in b.column(1)]
-            bits = np.array([parity(s, BITMAP) for s in sets], np.int64).reshape(-1, len(BITS))
-            wide = pa.array([parity(s, WIDE) if len(s) >= WIDE_FROM else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(c) for c in bits.T.copy()), wide, b.column(1)], ["class", "size", *BITS, "wide", "text"])
+            kinds = [class_of(s) if len(s) else (None, None) for s in sets]
+            yield pa.record_batch([b.column(0), pa.array([k[0] for k in kinds], pa.int64()), pa.array([k[1] for k in kinds], pa.int64()), b.column(2)], ["id", "hi", "lo", "row"])
+
+    return run
+
+
+def _own_text(n: int):
+    """(class, hi, lo, text) to (class, text) where the text is of that class (rows may share an id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            same = [class_of(shingles(t.as_py(), n, hashes)) == (hi, lo) for t, hi, lo in zip(b.column(3), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield b.select([0, 3]).filter(pa.array(same, pa.bool_()))
 
     return run
 
@@ -251,112 +290,183 @@ def _small(df: DataFrame, rows: int, width: int = 1) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_ROWS else df
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (its smallest node) of the nodes of links (a, b), by contraction: every node joins its smallest neighbour's neighbour until no link is left."""
-    edges = shared_table(links.select("a", "b").where("a <> b").distinct(), "links")
+    edges = scratch.table(links.select("a", "b").where("a <> b").distinct(), "links")
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
-        parent = shared_table(parent, "parents")
+        parent = scratch.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parents")
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = shared_table(parent.join(up, "p").select(F.col("a").alias("node"), F.col("pp").alias("component")), "parents")
+        parent = scratch.table(parent.join(up, "p").select(F.col("a").alias("node"), F.col("pp").alias("component")), "parents")
         if labels is None:
             labels = parent
         else:
             step = parent.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            labels = shared_table(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+            labels = scratch.table(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("component").alias("x")), parent.select(F.col("node").alias("b"), F.col("component").alias("y"))
-        edges = shared_table(edges.join(pa_, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        edges = scratch.table(edges.join(pa_, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class _Candidates:
+    """Verification of candidate pairs (a, b: the classes' lo) of the sets of a table."""
+
+    def __init__(self, given: DataFrame, sets: DataFrame, classes: DataFrame, n: int, percent: int, scratch: Scratch):
+        self.given, self.sets, self.classes, self.n, self.percent, self.scratch = given, sets, classes, n, percent, scratch
+        self.id_type = given.schema["id"].dataType.simpleString()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The links (a, b) between classes among pairs (lo_a, lo_b), written."""
+        table, percent = self.scratch.table, self.percent
+        pairs = table(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return pairs.select(F.col("lo_a").alias("a"), F.col("lo_b").alias("b"))
+        named = pairs.select(F.explode(F.array("lo_a", "lo_b")).alias("lo")).distinct()
+        met = table(self.classes.join(named, "lo", "left_semi"), "met")
+        count = met.count()
+        own = self.sets.join(_small(met.select("class", "id", "hi", "lo"), count), ["id", "hi", "lo"]).select("class", "size", "lo", "bits").dropDuplicates(["class"])
+        own = table(own, "bits")
+        a, b = (own.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "lo", "bits"))) for c in "ab")
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+        able = (F.size("bits_a") != F.size("bits_b")) | (differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
+        able = table(pairs.join(_small(b, count, 8), "lo_b").join(_small(a, count, 8), "lo_a").where(able).select("a", "b"), "able")
+        if able.isEmpty():
+            return able
+        # Only the texts of these pairs are shuffled.
+        wanted = table(met.join(able.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi"), "wanted")
+        texts = self.given.join(_small(wanted, wanted.count()), "id").select("class", "hi", "lo", "text")
+        texts = table(texts.mapInArrow(_own_text(self.n), "class long, text string").dropDuplicates(["class"]), "texts")
+        a, b = (texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        both = able.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+        return table(both.mapInArrow(_verified(self.n, percent), "a long, b long"), "found")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id that links reach) of every row.
 
-    percent: least Jaccard similarity of a link, at least 80.
+    percent: least Jaccard similarity of a link, at least 80. class_col: name of
+    a further column, struct(hi, lo, component): the class of the row's set, and
+    a number of its component (ids can be shared, so component_id may not tell).
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sets = shared_table(given.mapInArrow(_sets(n), f"id {id_type}, size int, class long, tokens array<long>, counts array<long>"), "sets")
-    narrow = sets.select("id", "size", "class")
-    counts = sets.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n")).where(F.col("n") >= FREQUENT)
-    often = counts.orderBy(F.desc("n"), "token").select("token").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r.token for r in often.toLocalIterator()], np.int64).view(np.uint64))
-
-    index = given.where("id is not null").select("text").mapInArrow(_index(n, percent, spark.sparkContext.broadcast(frequent)), "sig long, class long, size int")
-    index = shared_table(index, "signatures")
-    shared = index.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("sig")
-    shared = shared_table(shared, "shared-sigs")
-    rows = shared_table(index.join(_small(shared, shared.count()), "sig"), "index")
-
-    classes = shared_table(narrow.where("id is not null and class is not null").groupBy("class").agg(F.min("id").alias("id")), "classes")
-    wanted = rows.select("class").distinct().join(classes, "class")
-    wanted = shared_table(wanted, "candidates")
-    candidates = wanted.count()
-    texts = given.join(_small(wanted, candidates), "id").select("class", "text")
-    if not narrow.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        texts = texts.dropDuplicates(["class"])
-    texts = shared_table(texts.mapInArrow(_with_bits(n), f"class long, size int, {', '.join(f'{c} long' for c in BITS)}, wide array<long>, text string"), "candidate-texts")
-
-    def side(name: str, *cols: str) -> DataFrame:
-        return texts.select(F.col("class").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
-
-    def near_enough(differ, a: str, b: str):
-        return differ * (100 + percent) <= (F.col(f"size_{a}") + F.col(f"size_{b}")) * (100 - percent)
-
-    def may_link(a: str, b: str):
-        return near_enough(sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in BITS), F.lit(0)), a, b)
-
-    def may_link_widely(a: str, b: str):
-        both = F.zip_with(f"wide_{a}", f"wide_{b}", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-        return (F.size(f"wide_{a}") != F.size(f"wide_{b}")) | near_enough(F.aggregate(both, F.lit(0), lambda t, x: t + x), a, b)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        able = pairs.join(_small(side("b", "size", *BITS), candidates, 8), "b").join(_small(side("a", "size", *BITS), candidates, 8), "a")
-        able = shared_table(able.where(may_link("a", "b")).select("a", "b", "size_a", "size_b"), "able")
-        # Only the texts of these pairs are shuffled.
-        needed = shared_table(able.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "needed")
-        some = texts.select("class", "wide", "text").join(_small(needed, needed.count()), "class", "left_semi")
-        a, b = (some.select(F.col("class").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
-        met = able.join(b, "b").join(a, "a").where(may_link_widely("a", "b")).select("a", "b", "text_a", "text_b")
-        return met.mapInArrow(_verified(n, percent), "a long, b long")
-
-    def alike(x: str, y: str):
-        return F.least(x, y) * 100 >= percent * F.greatest(x, y)
-
-    links = spark.createDataFrame([], "a long, b long")
-    degree = rows.groupBy("class").agg(F.count("*").alias("degree"))
-    at, done = rows.join(_small(degree, candidates), "class").withColumn("component", F.col("class")), 0
-    while True:
-        count = at.groupBy("sig", "component").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("degree"), "class", "size")).alias("pivot"))
-        heads = count.groupBy("sig").agg(F.min(F.struct(-F.col("n"), "pivot", "component")).alias("head"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        few = (F.col("all") * F.col("all") - F.col("squares")) / 2 <= SETTLE * F.col("all")
-        heads = heads.where("parts > 1").select("sig", F.col("head.pivot.class").alias("pivot"), F.col("head.pivot.size").alias("pivot_size"), F.col("head.component").alias("own"), (few & F.lit(done > 0) | F.lit(done >= PIVOT_ROUNDS)).alias("few"))
-        heads = shared_table(heads, "entries")
-        left = heads.agg(F.count("*").alias("n"), F.count_if(~F.col("few")).alias("pivots")).first()
-        if not left.n:
+    sets = shared_table(given.mapInArrow(_sets(n), f"id {id_type}, size int, hi long, lo long, bits array<long>, tokens array<long>, counts array<long>"), "sets")
+    narrow = sets.select("id", "size", "hi", "lo")
+    with Scratch(spark) as scratch:
+        components_of = _components_of(given, sets, n, percent, scratch)
+    out = narrow.join(components_of, ["hi", "lo"], "left")
+    more = [F.when(F.col("lo").isNotNull(), F.struct("hi", "lo", "component")).alias(class_col)] if class_col else []
+    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), *more)
+
+
+def _frequent(sets: DataFrame, scratch: Scratch) -> np.ndarray:
+    """The sorted frequent tokens."""
+    counts = sets.where(F.size("tokens") > 0).select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
+    counts = scratch.table(counts.groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
+    # By powers of two, so that the table of counts has some 40 rows.
+    least, total = FREQUENT, 0
+    for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("tokens")).orderBy(F.desc("power")).collect():
+        total += r.tokens
+        if total > MOST_FREQUENT:
+            least = 2 ** (r.power + 1)
             break
-        live = shared_table(at.join(_small(heads, left.n), "sig"), "live")
-        pairs = live.where("not few and component <> own").where(alike("size", "pivot_size")).select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-        if left.n > left.pivots:
-            x, y = (live.where("few").select("sig", F.col("class").alias(c), F.col("component").alias(f"c_{c}")).join(_small(side(c, "size", *BITS), candidates, 8), c) for c in "ab")
-            across = x.join(y, (x["sig"] == y["sig"]) & (F.col("c_a") < F.col("c_b")) & alike("size_a", "size_b") & may_link("a", "b")).select("a", "b")
-            pairs = pairs.unionByName(across)
-        links = links.unionByName(shared_table(verify(shared_table(pairs.distinct(), "pairs")), "found"))
-        done += 1
-        if not left.pivots:
-            break
-        known = shared_table(components(links), "components")
-        at = live.where("not few and class <> pivot").select("sig", "class", "size", "degree")
-        at = at.join(_small(known, known.count()), at["class"] == known["node"], "left").select("sig", "class", "size", "degree", F.coalesce("component", "class").alias("component"))
-
-    known = components(links)
-    by_class = classes.join(known, classes["class"] == known["node"], "left").select("class", "id", F.coalesce("component", "class").alias("component"))
+    found = counts.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _components_of(given: DataFrame, sets: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """hi, lo, component and component_id of every class, written."""
+    spark, table = given.sparkSession, scratch.table
+    known_rows = sets.where("id is not null and lo is not null")
+    classes = known_rows.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count("*").alias("n_rows"))
+    classes = table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    copied = {(r.hi, r.lo): r.id for r in classes.where(F.col("n_rows") >= COPIED).orderBy(F.desc("n_rows"), "hi", "lo").limit(MOST_COPIED).toLocalIterator()}
+    frequent, copied = spark.sparkContext.broadcast(_frequent(sets, scratch)), spark.sparkContext.broadcast(copied)
+
+    entries = given.where("id is not null").mapInArrow(_index(n, percent, frequent, copied), "sig long, lo long, mark int")
+    of_sig, in_order = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy("mark", "lo")
+    # One exchange by sig; the windows share it, and its sort by (mark, lo).
+    entries = entries.withColumn("last", F.lag("lo").over(in_order)).withColumn("low", F.min("lo").over(of_sig)).withColumn("high", F.max("lo").over(of_sig))
+    entries = entries.where("low <> high and (last is null or last <> lo)")
+    entries = entries.withColumn("m", F.count("*").over(of_sig)).withColumn("marked", F.max(F.col("mark") % 2).over(of_sig)).where("m > 1 and marked = 1").select("sig", "lo", "mark", "m")
+
+    def paired(rows: DataFrame, *more: str) -> DataFrame:
+        """rows with before: those of its entry's up to AT_ONCE classes that come first."""
+        return rows.withColumn("before", F.when(F.col("m") <= AT_ONCE, F.collect_list(F.struct("lo", "mark", *more)).over(in_order.rowsBetween(1 - AT_ONCE, -1))))
+
+    def able(x: str, y: str):
+        """Whether entries with these marks may link: sizes are near enough, and the smaller set's is marked."""
+        x, y = F.col(x), F.col(y)
+        p, q = F.shiftright(x, 1), F.shiftright(y, 1)
+        return (F.least(p, q) * 100 >= percent * F.greatest(p, q)) & (F.when(p < q, x % 2).when(q < p, y % 2).otherwise(F.greatest(x % 2, y % 2)) == 1)
+
+    def pairs_of(rows: DataFrame, *more: str) -> DataFrame:
+        """The pairs of rows with before that may link, and that differ in the columns more."""
+        met = rows.where("before is not null").select("lo", "mark", *more, F.explode("before").alias("x"))
+        for c in ("lo", *more):
+            met = met.where(F.col(c) != F.col(f"x.{c}"))
+        met = met.withColumn("other_mark", F.col("x.mark")).where(able("mark", "other_mark"))
+        return met.select(F.least("lo", "x.lo").alias("lo_a"), F.greatest("lo", "x.lo").alias("lo_b"))
+
+    entries = table(paired(entries), "entries")
+    frequent.unpersist(), copied.unpersist()
+    candidates = _Candidates(given, sets, classes, n, percent, scratch)
+    links = candidates.verified(pairs_of(entries))
+    large = entries.where("before is null").select("sig", "lo", "mark")
+    known, pivots = None, 4
+    if not large.isEmpty():
+        degree = large.groupBy("lo").agg(F.count("*").alias("degree"))
+        large = table(large.join(degree, "lo"), "large")
+    while not large.isEmpty():
+        known = components(links, scratch)
+        # Of classes with one lo (as good as never more than one) any component does: all are verified.
+        of_lo = known.join(classes.select("class", "lo"), known["node"] == classes["class"]).groupBy("lo").agg(F.min("component").alias("component"))
+        count = known.count()
+        alone = F.struct(F.lit(False).alias("linked"), F.col("lo").alias("k"))
+        at = large.join(_small(of_lo, count), "lo", "left").withColumn("component", F.coalesce(F.when(F.col("component").isNotNull(), F.struct(F.lit(True).alias("linked"), F.col("component").alias("k"))), alone))
+        at = table(at, "at")
+        left = at.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", "m")
+        left = table(left, "left")
+        live = at.join(_small(left, left.count()), "sig")
+        few = paired(live.where(F.col("m") <= AT_ONCE).select("sig", "lo", "mark", "m", "component"), "component")
+        # Pivots: the first of each salt, then the first of these.
+        many = live.where(F.col("m") > AT_ONCE)
+        first = Window.partitionBy("sig", F.pmod(F.xxhash64("lo"), F.lit(SALTS))).orderBy(F.desc("degree"), "lo")
+        chosen = many.select("sig", "lo", "mark", "degree", "component").withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots)
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("degree"), "lo"))).where(F.col("k") <= pivots)
+        chosen = table(chosen.select("sig", F.col("lo").alias("pivot"), F.col("mark").alias("pivot_mark"), F.col("component").alias("own")), "pivots")
+        n_chosen = chosen.count()
+        met = many.join(_small(chosen, n_chosen, 2), "sig").where(able("mark", "pivot_mark") & (F.col("lo") != F.col("pivot")) & (F.col("component") != F.col("own")))
+        met = met.select(F.least("lo", "pivot").alias("lo_a"), F.greatest("lo", "pivot").alias("lo_b"))
+        links = links.unionByName(candidates.verified(met.unionByName(pairs_of(few, "component"))))
+        gone = chosen.select("sig", F.col("pivot").alias("lo"))
+        large = table(many.select("sig", "lo", "mark", "degree").join(_small(gone, n_chosen), ["sig", "lo"], "left_anti"), "large")
+        pivots *= 4
+
+    known = components(links, scratch)
+    by_class = classes.join(known, classes["class"] == known["node"], "left").select("hi", "lo", "id", F.coalesce("component", "class").alias("component"))
+    by_class = table(by_class, "labelled")
     least_id = by_class.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = by_class.join(least_id, "component").select("class", "component_id")
-    out = narrow.join(by_class, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return shared_table(by_class.join(least_id, "component").select("hi", "lo", "component", "component_id"), "component-ids")
+
+
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the smallest id, and of several such rows the least in all columns.
+
+    Rows without an id or without words stay. Rows that share an id but not a
+    text are told apart by their texts.
+    """
+    found = shared_table(near_duplicates(docs, n, percent, id_col, text_col, class_col="class").select(F.col(id_col).alias("id"), "component_id", "class"), "found")
+    known = found.where("id is not null and class is not null")
+    if known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        gone = shared_table(known.where("id <> component_id").select(F.col("id").alias(id_col)), "gone")
+        return docs.join(_small(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
+    stay = shared_table(known.groupBy("class.component").agg(F.min(F.struct("id", "class.hi", "class.lo")).alias("x")).select("x.*"), "stay")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = rows.mapInArrow(_classified(n), f"id {docs.schema[id_col].dataType.simpleString()}, hi long, lo long, row {rows.schema['row'].dataType.simpleString()}")
+    chosen = rows.join(_small(stay, stay.count(), 2), ["id", "hi", "lo"]).groupBy("id", "hi", "lo").agg(F.min("row").alias("row")).select("row.*")
+    return chosen.unionByName(rows.where("id is null or lo is null").select("row.*"))

@@ -1,32 +1,55 @@
-"""Tables and checkpoints in the folder that the whole cluster shares."""
+"""Tables in the folder that the whole cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests on one machine) a new one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, or set as Spark's checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wayrisk-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, object]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
     The files go when the session ends, as the returned frame is lazy.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    table, path = _written(df, label)
+    _files(df.sparkSession, path).deleteOnExit(path)
+    return table
+
+
+class Scratch:
+    """Shared tables that go at the end of a with block; nothing that is returned may depend on them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        table, path = _written(df, label)
+        self.paths.append(path)
+        return table
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            _files(self.spark, path).delete(path, True)
