@@ -2,19 +2,23 @@
 
 Terms are hashed byte trigrams and a few shape terms (repeats, capitals,
 symbols and so on) of the whole text. A bounded, documented sample of labelled
-rows (`sample` rows, those with the smallest hash of their id) is factored by
-SVD; the sample's latent vectors and their labels are broadcast (sample x dims
-floats). Every document's exact cosines with all of them are computed in
-blocks, and the labels of its nearest neighbours vote with a weight that grows
-with similarity. Labels, language, source and id never enter a score.
+rows (`sample` rows, those with the smallest hash of their id and text) is
+factored by SVD in one task, which meets `sample` rows of terms whatever the
+size of the corpus; the driver and all tasks get the projection, and the sample's
+latent vectors and labels (sample x dims floats). Every document's exact cosines
+with all of them are computed in blocks, and the labels of its nearest
+neighbours vote with a weight that grows with similarity. Labels, language,
+source and id never enter a score.
 
 Defined results: a null, empty or blank text scores 0; without labelled rows
 every other text scores 0.5. Repeated rows score alike; several labels of one
-id count each; null labels are not learned from.
+id count each; null labels are not learned from. Where rows share an id, each
+of their texts may be learned from, within `sample` in all.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayrisk.llm.shared import shared_table
+
 GRAMS = 2048
 SHAPES = 10
 BLOCK = 256
@@ -61,11 +67,15 @@ class Model:
     def __init__(self, rows: np.ndarray, labels: np.ndarray, dims: int, shape_weight: float, neighbours: int, sharpness: float):
         self.shape_weight, self.neighbours, self.sharpness = shape_weight, neighbours, sharpness
         self.idf = np.log((1 + len(rows)) / (1 + (rows[:, :GRAMS] > 0).sum(0))).astype(np.float32) + 1
-        weighed = self.weigh(rows)
         # The right singular vectors from the Gram matrix, whose size is fixed.
-        values, vectors = np.linalg.eigh((weighed.T @ weighed).astype(np.float64))
+        gram = np.zeros((GRAMS + SHAPES, GRAMS + SHAPES))
+        for i in range(0, len(rows), BLOCK):
+            weighed = self.weigh(rows[i : i + BLOCK])
+            gram += weighed.T @ weighed
+        values, vectors = np.linalg.eigh(gram)
         self.basis = vectors[:, np.argsort(-values)[:dims]].astype(np.float32)
-        self.vectors, self.labels = self.latent(rows), labels.astype(np.float32)
+        self.vectors = np.vstack([self.latent(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)])
+        self.labels = labels.astype(np.float32)
 
     def weigh(self, rows: np.ndarray) -> np.ndarray:
         g = np.log1p(rows[:, :GRAMS]) * self.idf
@@ -95,14 +105,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48,
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "label", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0).cast(pa.string()), b.column(1), pa.array([terms(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["id", "label", "terms"])
 
-    rows = sorted(given.mapInArrow(run, "id string, label int, terms binary").collect())
-    if not rows:
-        return None
-    return Model(np.stack([np.frombuffer(r.terms, np.float32) for r in rows]), np.array([r.label for r in rows]), dims, shape_weight, neighbours, sharpness)
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if found:
+            rows = np.stack([np.frombuffer(t, np.float32) for _, _, t in found])
+            model = Model(rows, np.array([label for _, label, _ in found]), dims, shape_weight, neighbours, sharpness)
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # Written, as the order's limit and the repartition would each count terms anew. Where rows share ids there may be more than `sample`.
+    rows = shared_table(given.mapInArrow(counted, "id string, label int, terms binary"), "terms")
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("terms")).limit(sample)
+    found = chosen.repartition(1).mapInArrow(learned, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
