@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +79,52 @@ def test_mix_takes_what_targets_say(spark):
             total[s] = total.get(s, 0) + r.size
     assert all(abs(total[s] - sizes_half) <= 20 for s, sizes_half in (("all", 400 * 4 / 2 - 2),) if s in total)
     assert mixing.mix(df.limit(0), F.array("source"), mixing.n_words(F.col("text")), quotas).count() == 0
+    odd = spark.createDataFrame([(None, "a b", ["x"]), (None, "a b", ["x"]), (1, "a b c", None), (2, "a", [None, "x"])], "doc_id long, text string, sources array<string>")
+    got = [(r.id, len(r.copies)) for r in mixing.mix(odd, F.col("sources"), mixing.n_words(F.col("text")), lambda s: dict(s)).collect()]
+    assert sorted(got, key=str) == [(1, 0), (2, 2), (None, 1), (None, 1)]
+
+
+def brute_cost(patterns, quotas, repeats):
+    """Least repetition cost and most words given, by trying the words one by one (successive cheapest paths over unit words)."""
+    units = [(k, p) for p, n in patterns.items() for k in range(repeats) for _ in range(n)]
+    free = [s for s, q in quotas.items() for _ in range(q)]
+    match = {}
+
+    def augment(u, seen):
+        for j, s in enumerate(free):
+            if s in units[u][1] and j not in seen:
+                seen.add(j)
+                if j not in match or augment(match[j], seen):
+                    match[j] = u
+                    return True
+        return False
+
+    # Matching cheaper units first is the matroid's greedy, so it is optimal.
+    cost = sum(units[u][0] for u in sorted(range(len(units)), key=lambda u: units[u][0]) if augment(u, set()))
+    return len(match), cost
+
+
+def test_flow_is_the_cheapest():
+    rng = random.Random(3)
+    for _ in range(60):
+        names = ["a", "b", "c", None][: rng.randrange(1, 5)]
+        patterns = {tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1)), key=str)): rng.randrange(0, 5) for _ in range(4)}
+        quotas = {s: rng.randrange(0, 12) for s in names}
+        flow = mixing.min_cost_flow(patterns, quotas, 3)
+        given = {p: sum(f.values()) for p, f in flow.items()}
+        assert all(given[p] <= 3 * n for p, n in patterns.items())
+        assert all(sum(f.get(s, 0) for f in flow.values()) <= quotas[s] for s in names)
+        cost = sum(k * min(n, max(0, given[p] - k * n)) for p, n in patterns.items() for k in range(3))
+        assert (sum(given.values()), cost) == brute_cost(patterns, quotas, 3)
+
+
+def test_flow_of_many_patterns_ends_in_seconds():
+    rng = random.Random(4)
+    names = [f"s{i:03}" for i in range(400)]
+    patterns = {tuple(sorted(rng.sample(names, rng.randrange(1, 6)))): rng.randrange(1, 1000) for _ in range(20_000)}
+    total, began = sum(patterns.values()), time.time()
+    flow = mixing.min_cost_flow(patterns, {s: total * rng.choice([1, 2, 5]) // 1000 for s in names}, 3)
+    assert sum(sum(f.values()) for f in flow.values()) > 0.9 * total * 0.8 and time.time() - began < 60
 
 
 def test_zigzag_begins_as_the_standard_says():
