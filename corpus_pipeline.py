@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each by one operator of wayrisk.llm.
 
 Every stage takes the documents that the one before kept and returns the
-columns of documents, but for the last, which returns the packed pieces.
+columns of documents, but for the last, which returns the packed pieces. An
+empty table gives no rows in any stage; further columns of documents are kept.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ LEAST_QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality is at least LEAST_QUALITY."""
+    """Documents whose predicted quality is at least LEAST_QUALITY; null, empty and blank texts score 0 and go, ties stay."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, name="_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return quality.score(rows, model).where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,22 +32,18 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows without an id stay."""
-    found = jaccard_join.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("m")).first()
-    if ids.n == ids.m:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Of each group of near duplicates the document with the smallest id (of rows that share it, the least row).
+
+    Rows without an id and texts without words stay.
+    """
+    return jaccard_join.without_near_copies(docs, n=5, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it."""
-    mixed = mixing.mix(docs, F.array("source"), mixing.n_words(F.col("text")), lambda sizes: mixing.targets(sizes, SOURCE_WEIGHTS))
-    copies = mixed.groupBy(F.col("id").alias("_id")).agg(F.max(F.size("copies")).alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    """Each document as many times as the mix of sources takes it; rows that share an id are taken alike, texts without words never."""
+    mix = mixing.plan(docs, F.array("source"), mixing.n_words(F.col("text")), lambda sizes: mixing.targets(sizes, SOURCE_WEIGHTS))
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    return mixing.taken(rows, mix).select("row", F.explode("copies")).select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
