@@ -27,7 +27,7 @@ texts. The components of links are wanted, not each link. So classes of larger
 entries meet in rounds: an entry's pivots (those of its classes that have the
 most such entries, as an original has more than its altered copies) meet its
 classes that they are not yet connected with, and leave. The number of pivots
-grows fourfold by round, entries whose classes are all connected go, and entries that
+grows sixteenfold by round, entries whose classes are all connected go, and entries that
 are down to AT_ONCE classes are paired at once. So no link between components is
 lost, a group of near copies costs in proportion to its size, and rounds grow
 with the logarithm of the largest entry.
@@ -59,6 +59,7 @@ MOST_FREQUENT = 1 << 21  # which are broadcast, 8 bytes each
 BITS = 512  # of a parity bitmap; WIDE_BITS for sets from WIDE_FROM tokens on
 WIDE_BITS, WIDE_FROM = 8192, 900
 AT_ONCE = 8  # an entry of at most so many classes has all its pairs verified
+PIVOTS = 4  # of an entry in the first round, sixteen times as many in each that follows
 GROUPS = 16
 SMALL = 24  # above it, pairs always suffice: size - GROUPS >= size - ceil(0.8 * size) + 1
 CHUNK_TOKENS = 4_000_000
@@ -293,19 +294,20 @@ def _small(df: DataFrame, rows: int, width: int = 1) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (its smallest node) of the nodes of links (a, b), by contraction: every node joins its smallest neighbour's neighbour until no link is left."""
     edges = scratch.table(links.select("a", "b").where("a <> b").distinct(), "links")
-    labels = None
-    while not edges.isEmpty():
+    labels, named = None, 2 * edges.count()
+    left = named
+    while left:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = scratch.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "parents")
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = scratch.table(parent.join(up, "p").select(F.col("a").alias("node"), F.col("pp").alias("component")), "parents")
-        if labels is None:
-            labels = parent
-        else:
-            step = parent.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            labels = scratch.table(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
-        pa_, pb = parent.select(F.col("node").alias("a"), F.col("component").alias("x")), parent.select(F.col("node").alias("b"), F.col("component").alias("y"))
-        edges = scratch.table(edges.join(pa_, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        parent = parent.join(_small(up, left), "p").select(F.col("a").alias("node"), F.col("pp").alias("component"))
+        step = parent.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        labels = parent if labels is None else labels.join(_small(step, left), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        labels = scratch.table(labels, "labels")
+        x, y = parent.select(F.col("node").alias("a"), F.col("component").alias("x")), parent.select(F.col("node").alias("b"), F.col("component").alias("y"))
+        edges = edges.join(_small(x, left), "a").join(_small(y, left), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = scratch.table(edges.distinct(), "links")
+        left = 2 * edges.count()
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -320,22 +322,23 @@ class _Candidates:
         """The links (a, b) between classes among pairs (lo_a, lo_b), written."""
         table, percent = self.scratch.table, self.percent
         pairs = table(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
+        n_pairs = pairs.count()
+        if not n_pairs:
             return pairs.select(F.col("lo_a").alias("a"), F.col("lo_b").alias("b"))
         named = pairs.select(F.explode(F.array("lo_a", "lo_b")).alias("lo")).distinct()
-        met = table(self.classes.join(named, "lo", "left_semi"), "met")
-        count = met.count()
-        own = self.sets.join(_small(met.select("class", "id", "hi", "lo"), count), ["id", "hi", "lo"]).select("class", "size", "lo", "bits").dropDuplicates(["class"])
+        met = self.classes.join(_small(named, 2 * n_pairs), "lo", "left_semi").select("class", "id", "hi", "lo")
+        own = self.sets.join(_small(met, 2 * n_pairs), ["id", "hi", "lo"]).select("class", "id", "hi", "lo", "size", "bits").dropDuplicates(["class"])
         own = table(own, "bits")
         a, b = (own.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "lo", "bits"))) for c in "ab")
         differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
         able = (F.size("bits_a") != F.size("bits_b")) | (differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
-        able = table(pairs.join(_small(b, count, 8), "lo_b").join(_small(a, count, 8), "lo_a").where(able).select("a", "b"), "able")
-        if able.isEmpty():
+        able = table(pairs.join(_small(b, 2 * n_pairs, 32), "lo_b").join(_small(a, 2 * n_pairs, 32), "lo_a").where(able).select("a", "b"), "able")
+        n_able = able.count()
+        if not n_able:
             return able
         # Only the texts of these pairs are shuffled.
-        wanted = table(met.join(able.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi"), "wanted")
-        texts = self.given.join(_small(wanted, wanted.count()), "id").select("class", "hi", "lo", "text")
+        wanted = own.select("class", "id", "hi", "lo").join(_small(able.select(F.explode(F.array("a", "b")).alias("class")).distinct(), 2 * n_able), "class", "left_semi")
+        texts = self.given.join(_small(wanted, 2 * n_able, 2), "id").select("class", "hi", "lo", "text")
         texts = table(texts.mapInArrow(_own_text(self.n), "class long, text string").dropDuplicates(["class"]), "texts")
         a, b = (texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = able.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
@@ -417,21 +420,19 @@ def _components_of(given: DataFrame, sets: DataFrame, n: int, percent: int, scra
     candidates = _Candidates(given, sets, classes, n, percent, scratch)
     links = candidates.verified(pairs_of(entries))
     large = entries.where("before is null").select("sig", "lo", "mark")
-    known, pivots = None, 4
+    known, found, pivots = None, links, PIVOTS
     if not large.isEmpty():
         degree = large.groupBy("lo").agg(F.count("*").alias("degree"))
-        large = table(large.join(degree, "lo"), "large")
+        large = table(large.join(degree, "lo").withColumn("component", F.struct(F.lit(False).alias("linked"), F.col("lo").alias("k"))), "large")
     while not large.isEmpty():
-        known = components(links, scratch)
-        # Of classes with one lo (as good as never more than one) any component does: all are verified.
-        of_lo = known.join(classes.select("class", "lo"), known["node"] == classes["class"]).groupBy("lo").agg(F.min("component").alias("component"))
-        count = known.count()
-        alone = F.struct(F.lit(False).alias("linked"), F.col("lo").alias("k"))
-        at = large.join(_small(of_lo, count), "lo", "left").withColumn("component", F.coalesce(F.when(F.col("component").isNotNull(), F.struct(F.lit(True).alias("linked"), F.col("component").alias("k"))), alone))
-        at = table(at, "at")
-        left = at.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", "m")
+        if known is None or not found.isEmpty():
+            known = components(links, scratch)
+            # Of classes with one lo (as good as never more than one) any component does: all are verified.
+            of_lo = known.join(classes.select("class", "lo"), known["node"] == classes["class"]).select("lo", F.struct(F.lit(True).alias("linked"), F.col("component").alias("k")).alias("now"))
+            large = table(large.join(_small(of_lo, known.count()), "lo", "left").select("sig", "lo", "mark", "degree", F.coalesce("now", "component").alias("component")), "at")
+        left = large.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", "m")
         left = table(left, "left")
-        live = at.join(_small(left, left.count()), "sig")
+        live = large.join(_small(left, left.count()), "sig")
         few = paired(live.where(F.col("m") <= AT_ONCE).select("sig", "lo", "mark", "m", "component"), "component")
         # Pivots: the first of each salt, then the first of these.
         many = live.where(F.col("m") > AT_ONCE)
@@ -442,12 +443,14 @@ def _components_of(given: DataFrame, sets: DataFrame, n: int, percent: int, scra
         n_chosen = chosen.count()
         met = many.join(_small(chosen, n_chosen, 2), "sig").where(able("mark", "pivot_mark") & (F.col("lo") != F.col("pivot")) & (F.col("component") != F.col("own")))
         met = met.select(F.least("lo", "pivot").alias("lo_a"), F.greatest("lo", "pivot").alias("lo_b"))
-        links = links.unionByName(candidates.verified(met.unionByName(pairs_of(few, "component"))))
+        found = candidates.verified(met.unionByName(pairs_of(few, "component")))
+        links = links.unionByName(found)
         gone = chosen.select("sig", F.col("pivot").alias("lo"))
-        large = table(many.select("sig", "lo", "mark", "degree").join(_small(gone, n_chosen), ["sig", "lo"], "left_anti"), "large")
-        pivots *= 4
+        large = table(many.select("sig", "lo", "mark", "degree", "component").join(_small(gone, n_chosen), ["sig", "lo"], "left_anti"), "large")
+        pivots *= 16
 
-    known = components(links, scratch)
+    if known is None or not found.isEmpty():
+        known = components(links, scratch)
     by_class = classes.join(known, classes["class"] == known["node"], "left").select("hi", "lo", "id", F.coalesce("component", "class").alias("component"))
     by_class = table(by_class, "labelled")
     least_id = by_class.groupBy("component").agg(F.min("id").alias("component_id"))
