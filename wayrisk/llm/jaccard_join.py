@@ -26,7 +26,7 @@ most as many bits as the sets in tokens; the others are verified on the whole
 texts. The components of links are wanted, not each link. So classes of larger
 entries meet in rounds: an entry's pivots (those of its classes that have the
 most such entries, as an original has more than its altered copies) meet its
-classes that they are not yet connected with, and leave. The number of pivots
+classes that they are not yet connected with and whose bitmaps are near, and leave. The number of pivots
 grows sixteenfold by round, entries whose classes are all connected go, and entries that
 are down to AT_ONCE classes are paired at once. So no link between components is
 lost, a group of near copies costs in proportion to its size, and rounds grow
@@ -49,7 +49,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.llm.shared import Scratch, shared_table
@@ -62,12 +62,12 @@ AT_ONCE = 8  # an entry of at most so many classes has all its pairs verified
 PIVOTS = 4  # of an entry in the first round, sixteen times as many in each that follows
 GROUPS = 16
 SMALL = 24  # above it, pairs always suffice: size - GROUPS >= size - ceil(0.8 * size) + 1
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 CHUNK_LEAST = 2
-MEMO_WORDS = 300_000
-MEMO_CLASSES = 200_000
+MEMO_WORDS = 150_000
+MEMO_CLASSES = 100_000
 COPIED, MOST_COPIED = 64, 50_000  # of the most copied classes, from COPIED rows on, only one row is indexed
-BROADCAST_ROWS = 1_000_000  # of two or three numbers each; larger sides are shuffled
+BROADCAST_ROWS = 500_000  # of two or three numbers each; larger sides are shuffled
 SALTS = 32  # to which the classes of an entry are dealt while its pivots are sought
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,14 +149,13 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return np.concatenate(out), np.concatenate(marked)
 
 
-def parity(tokens: np.ndarray) -> list[int]:
+def parity(tokens: np.ndarray, bits: int) -> list[int]:
     """The parity of the number of tokens by hash value, a bit each."""
-    bits = WIDE_BITS if len(tokens) >= WIDE_FROM else BITS
     return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64).tolist()
 
 
 def _sets(n: int):
-    """(id, text) to (id, size, hi, lo, bits), and with some rows a chunk's most common tokens."""
+    """(id, text) to (id, size, hi, lo, bits, wide), and with some rows a chunk's most common tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, gathered, many, seen = WordHashes(), [], 0, set()
@@ -170,12 +169,13 @@ def _sets(n: int):
             return token[keep].view(np.int64).tolist(), count[keep].tolist()
 
         for b in batches:
-            size, kind, bits, tokens, counts = [], [], [], [], []
+            size, kind, bits, wide, tokens, counts = [], [], [], [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), n, hashes)
                 size.append(len(s))
                 kind.append(class_of(s) if len(s) else (None, None))
-                bits.append(parity(s) if len(s) else None)
+                bits.append(parity(s, BITS) if len(s) else None)
+                wide.append(parity(s, WIDE_BITS) if len(s) >= WIDE_FROM else None)
                 if len(s) and kind[-1] not in seen:
                     if len(seen) >= MEMO_CLASSES:
                         seen.clear()
@@ -192,7 +192,7 @@ def _sets(n: int):
                 got, many = common(), 0
                 tokens[-1], counts[-1] = tokens[-1] + got[0], counts[-1] + got[1]
             longs = pa.list_(pa.int64())
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in kind], pa.int64()), pa.array([k[1] for k in kind], pa.int64()), pa.array(bits, longs), pa.array(tokens, longs), pa.array(counts, longs)], ["id", "size", "hi", "lo", "bits", "tokens", "counts"])
+            yield pa.record_batch([b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in kind], pa.int64()), pa.array([k[1] for k in kind], pa.int64()), *(pa.array(x, longs) for x in (bits, wide, tokens, counts))], ["id", "size", "hi", "lo", "bits", "wide", "tokens", "counts"])
 
     return run
 
@@ -311,6 +311,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def differing(a: list[Column], b: list[Column]) -> Column:
+    """How many bits differ."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+
+def longs(bits: str) -> list[Column]:
+    return [F.get(bits, i) for i in range(BITS // 64)]
+
+
 class _Candidates:
     """Verification of candidate pairs (a, b: the classes' lo) of the sets of a table."""
 
@@ -327,11 +336,11 @@ class _Candidates:
             return pairs.select(F.col("lo_a").alias("a"), F.col("lo_b").alias("b"))
         named = pairs.select(F.explode(F.array("lo_a", "lo_b")).alias("lo")).distinct()
         met = self.classes.join(_small(named, 2 * n_pairs), "lo", "left_semi").select("class", "id", "hi", "lo")
-        own = self.sets.join(_small(met, 2 * n_pairs), ["id", "hi", "lo"]).select("class", "id", "hi", "lo", "size", "bits").dropDuplicates(["class"])
+        own = self.sets.join(_small(met, 2 * n_pairs), ["id", "hi", "lo"]).select("class", "id", "hi", "lo", "size", "bits", "wide").dropDuplicates(["class"])
         own = table(own, "bits")
-        a, b = (own.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "lo", "bits"))) for c in "ab")
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
-        able = (F.size("bits_a") != F.size("bits_b")) | (differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
+        a, b = (own.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "lo", "bits", "wide"))) for c in "ab")
+        widely = F.aggregate(F.zip_with("wide_a", "wide_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+        able = (F.greatest(differing(longs("bits_a"), longs("bits_b")), widely) * (100 + percent)) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
         able = table(pairs.join(_small(b, 2 * n_pairs, 32), "lo_b").join(_small(a, 2 * n_pairs, 32), "lo_a").where(able).select("a", "b"), "able")
         n_able = able.count()
         if not n_able:
@@ -357,7 +366,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    sets = shared_table(given.mapInArrow(_sets(n), f"id {id_type}, size int, hi long, lo long, bits array<long>, tokens array<long>, counts array<long>"), "sets")
+    sets = shared_table(given.mapInArrow(_sets(n), f"id {id_type}, size int, hi long, lo long, bits array<long>, wide array<long>, tokens array<long>, counts array<long>"), "sets")
     narrow = sets.select("id", "size", "hi", "lo")
     with Scratch(spark) as scratch:
         components_of = _components_of(given, sets, n, percent, scratch)
@@ -420,16 +429,20 @@ def _components_of(given: DataFrame, sets: DataFrame, n: int, percent: int, scra
     candidates = _Candidates(given, sets, classes, n, percent, scratch)
     links = candidates.verified(pairs_of(entries))
     large = entries.where("before is null").select("sig", "lo", "mark")
-    known, found, pivots = None, links, PIVOTS
+    known, found, pivots, bit_cols = None, links, PIVOTS, [f"b{i}" for i in range(BITS // 64)]
     if not large.isEmpty():
-        degree = large.groupBy("lo").agg(F.count("*").alias("degree"))
-        large = table(large.join(degree, "lo").withColumn("component", F.struct(F.lit(False).alias("linked"), F.col("lo").alias("k"))), "large")
+        # Bitmaps of classes with one lo (as good as never more than one) are left out, so that these are all verified.
+        degree = table(large.groupBy("lo").agg(F.count("*").alias("degree")), "degrees")
+        own = known_rows.select("id", "hi", "lo", "bits").join(classes.select("id", "hi", "lo"), ["id", "hi", "lo"], "left_semi")
+        own = own.join(_small(degree.select("lo"), degree.count()), "lo", "left_semi").groupBy("lo").agg(F.count_distinct("hi").alias("n"), F.min("bits").alias("bits"))
+        bits = degree.join(own, "lo").select("lo", "degree", *(F.when(F.col("n") == 1, x).alias(f"b{i}") for i, x in enumerate(longs("bits"))))
+        large = table(large.join(bits, "lo").withColumn("component", F.struct(F.lit(False).alias("linked"), F.col("lo").alias("k"))), "large")
     while not large.isEmpty():
         if known is None or not found.isEmpty():
             known = components(links, scratch)
             # Of classes with one lo (as good as never more than one) any component does: all are verified.
             of_lo = known.join(classes.select("class", "lo"), known["node"] == classes["class"]).select("lo", F.struct(F.lit(True).alias("linked"), F.col("component").alias("k")).alias("now"))
-            large = table(large.join(_small(of_lo, known.count()), "lo", "left").select("sig", "lo", "mark", "degree", F.coalesce("now", "component").alias("component")), "at")
+            large = table(large.join(_small(of_lo, known.count()), "lo", "left").select("sig", "lo", "mark", "degree", *bit_cols, F.coalesce("now", "component").alias("component")), "at")
         left = large.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", "m")
         left = table(left, "left")
         live = large.join(_small(left, left.count()), "sig")
@@ -437,16 +450,18 @@ def _components_of(given: DataFrame, sets: DataFrame, n: int, percent: int, scra
         # Pivots: the first of each salt, then the first of these.
         many = live.where(F.col("m") > AT_ONCE)
         first = Window.partitionBy("sig", F.pmod(F.xxhash64("lo"), F.lit(SALTS))).orderBy(F.desc("degree"), "lo")
-        chosen = many.select("sig", "lo", "mark", "degree", "component").withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots)
+        chosen = many.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots)
         chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("degree"), "lo"))).where(F.col("k") <= pivots)
-        chosen = table(chosen.select("sig", F.col("lo").alias("pivot"), F.col("mark").alias("pivot_mark"), F.col("component").alias("own")), "pivots")
+        chosen = table(chosen.select("sig", F.col("lo").alias("pivot"), F.col("mark").alias("pivot_mark"), F.col("component").alias("own"), *(F.col(c).alias(f"p{c}") for c in bit_cols)), "pivots")
         n_chosen = chosen.count()
-        met = many.join(_small(chosen, n_chosen, 2), "sig").where(able("mark", "pivot_mark") & (F.col("lo") != F.col("pivot")) & (F.col("component") != F.col("own")))
+        differ = differing([F.col(c) for c in bit_cols], [F.col(f"p{c}") for c in bit_cols])
+        near = F.coalesce(differ * (100 + percent) <= (F.shiftright("mark", 1) + F.shiftright("pivot_mark", 1)) * (100 - percent), F.lit(True))
+        met = many.join(_small(chosen, n_chosen, 8), "sig").where(able("mark", "pivot_mark") & (F.col("lo") != F.col("pivot")) & (F.col("component") != F.col("own")) & near)
         met = met.select(F.least("lo", "pivot").alias("lo_a"), F.greatest("lo", "pivot").alias("lo_b"))
         found = candidates.verified(met.unionByName(pairs_of(few, "component")))
         links = links.unionByName(found)
         gone = chosen.select("sig", F.col("pivot").alias("lo"))
-        large = table(many.select("sig", "lo", "mark", "degree", "component").join(_small(gone, n_chosen), ["sig", "lo"], "left_anti"), "large")
+        large = table(many.drop("m").join(_small(gone, n_chosen), ["sig", "lo"], "left_anti"), "large")
         pivots *= 16
 
     if known is None or not found.isEmpty():

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from wayrisk.llm.shared import shared_table
 from wayrisk.llm.token_counts import safe_pattern
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 LONGEST_MEMO = 64
 
 

@@ -112,8 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48,
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         if found:
-            rows = np.stack([np.frombuffer(t, np.float32) for _, _, t in found])
-            model = Model(rows, np.array([label for _, label, _ in found]), dims, shape_weight, neighbours, sharpness)
+            labels = np.array([label for _, label, _ in found])
+            rows = np.empty((len(found), GRAMS + SHAPES), np.float32)
+            for i in range(len(found)):
+                rows[i], found[i] = np.frombuffer(found[i][2], np.float32), ()
+            model = Model(rows, labels, dims, shape_weight, neighbours, sharpness)
             yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # Written, as the order's limit and the repartition would each count terms anew. Where rows share ids there may be more than `sample`.
