@@ -183,3 +183,21 @@ def test_balance_never_returns_an_unbalanced_table(spark):
         macro.balance(cells, rows, cols, 1e-6, most_rounds=2)
     sums = {r.row: r.t for r in macro.balance(cells, rows, cols, 1e-6).groupBy("row").agg(F.sum("value").alias("t")).collect()}
     assert sums == {"r1": pytest.approx(1.0, abs=1e-4), "r2": pytest.approx(1.2, abs=1e-4)}
+
+
+def test_nearest_leaves_out_what_has_no_place_and_reaches_any_distance(spark):
+    nan = float("nan")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, nan, 1.0), (4, 9e5, 0.0)], "point_id long, x double, y double")
+    nodes = spark.createDataFrame([(7, 3.0, 4.0), (8, None, None), (9, nan, 0.0)], "node_id long, x double, y double")
+    assert sorted((r.point_id, r.node_id) for r in spatial.nearest_node(points, nodes, 1.0).collect()) == [(1, 7), (4, 7)]
+    assert spatial.nearest_node(points, nodes.where("node_id > 7"), 1.0).count() == 0
+    a = points.withColumn("r", F.lit("a"))
+    by = spatial.nearest_node(a, nodes.withColumn("r", F.lit("a")), 1.0, region="r").collect()
+    assert sorted((r.point_id, r.node_id) for r in by if r.node_id) == [(1, 7), (4, 7)] and len(by) == 4
+    line = "array(named_struct('x', 10.0D, 'y', -5.0D), named_struct('x', 10.0D, 'y', 5.0D)) AS points"
+    lines = spark.range(1).selectExpr("5L AS edge_id", line, "'n' AS name")
+    got = {r.point_id: r.distance for r in spatial.nearest_line(points, lines, 1.0).collect()}
+    assert got == {1: 10.0, 4: 9e5 - 10}
+    assert spatial.nearest_line(points, lines, 1.0, 5.0).count() == 0 and spatial.nearest_line(points, lines.limit(0), 1.0).count() == 0
+    named = points.withColumn("name", F.when(F.col("point_id") == 1, "n").otherwise("m"))
+    assert [r.point_id for r in spatial.nearest_line(named, lines, 1.0, same="name").collect()] == [1]

@@ -139,8 +139,8 @@ def distinct_links(edges: DataFrame, name: str) -> DataFrame:
     return edges.withColumn("_k", F.row_number().over(Window.partitionBy(name, pair).orderBy("edge_id"))).where("_k = 1").drop("_k")
 
 
-def class_of_nearest(nodes: DataFrame, edges: DataFrame, tile: float, reach: float, kind: str) -> DataFrame:
-    """Each node's class from its nearest edge."""
+def class_of_nearest(nodes: DataFrame, edges: DataFrame, tile: float, kind: str, reach: float | None = None) -> DataFrame:
+    """Each node's class from its nearest edge (no farther than reach, if given)."""
     near = nearest_line(nodes.select(F.col("node_id").alias("point_id"), "x", "y"), edges, tile, reach)
     return nodes.join(near.join(edges.select("edge_id", kind), "edge_id").select(F.col("point_id").alias("node_id"), kind), "node_id", "left")
 

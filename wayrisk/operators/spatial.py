@@ -33,18 +33,28 @@ def tile_pairs(a: DataFrame, a_id: str, a_box: Column, b: DataFrame, b_id: str,
     return x.join(y, ["tx", "ty"]).where(near).select(a_id, b_id).distinct()
 
 
+def _finite(*names: str) -> Column:
+    """Whether these coordinates are numbers that a distance can be taken of."""
+    each = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in names]
+    return each[0] if len(each) == 1 else each[0] & _finite(*names[1:])
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, cell: float, point_id: str = "point_id", node_id: str = "node_id", region: str | None = None) -> DataFrame:
     """(point_id, node_id, distance) of each point's nearest node, ties to the smaller id.
 
     Rounds over doubling cells: a point meets the nodes of the nine cells around
     it, and a hit within one cell's width is certain. Only points without one go
     on, so most work is done at the finest grid. region: only nodes of the same
-    region count, and points of a region without nodes get a null.
+    region count, and points of a region without nodes get a null. Points
+    and nodes without finite coordinates do not meet: such points get a null
+    where regions are asked for, and no row otherwise.
     """
     on = [region] if region else []
     p = points.select(point_id, "x", "y", *on)
     n = nodes.select(F.col(node_id), F.col("x").alias("nx"), F.col("y").alias("ny"), *on)
-    able = p.join(n.select(region).distinct(), region, "left_semi") if region else (p if not n.isEmpty() else p.limit(0))
+    n = n.where(_finite("nx", "ny"))
+    finite = p.where(_finite("x", "y"))
+    able = finite.join(n.select(region).distinct(), region, "left_semi") if region else (finite if not n.isEmpty() else finite.limit(0))
     left, found, size = able, None, cell
     while True:
         here = left.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
@@ -61,16 +71,37 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float, point_id: str
     return p.select(point_id).join(found, point_id, "left") if region else found
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, tile: float, reach: float, point_id: str = "point_id", line_id: str = "edge_id", same: str | None = None) -> DataFrame:
-    """Each point's nearest line within reach (also: of the same road name), with distance and place along it; ties to the smaller id."""
+def nearest_line(points: DataFrame, lines: DataFrame, tile: float, reach: float | None = None, point_id: str = "point_id", line_id: str = "edge_id", same: str | None = None) -> DataFrame:
+    """Each point's nearest line (also: of the same road name), with distance and place along it; ties to the smaller id.
+
+    reach: no farther than this. Without it, rounds over doubling distances and
+    tiles: a line within the round's distance is certain, and only points
+    without one go on. Points without finite coordinates, and those for which
+    there is no line, are left out.
+    """
+    left = points.where(_finite("x", "y")).select(point_id, "x", "y", *([same] if same else []))
+    lines = lines.where(F.size("points") > 0)
     if same:
-        pairs = points.select(point_id, same).join(lines.select(line_id, same), same).select(point_id, line_id)
-    else:
-        pairs = tile_pairs(points, point_id, point_box(), lines, line_id, G.bounds(F.col("points")), tile, reach)
-    full = pairs.join(points.select(point_id, "x", "y"), point_id).join(lines.select(line_id, "points"), line_id)
-    near = full.withColumn("_p", G.project(F.col("points"), F.col("x"), F.col("y"))).where(F.col("_p.distance") <= reach)
-    best = near.groupBy(point_id).agg(F.min(F.struct(F.col("_p.distance").alias("distance"), F.col(line_id), F.col("_p.along").alias("along"), F.col("_p.x").alias("px"), F.col("_p.y").alias("py"))).alias("_m"))
-    return best.select(point_id, f"_m.{line_id}", "_m.distance", "_m.along", "_m.px", "_m.py")
+        left = left.join(lines.select(same).distinct(), same, "left_semi")
+    elif lines.isEmpty():
+        left = left.limit(0)
+    found, d = None, reach or tile
+    while True:
+        pairs = tile_pairs(left, point_id, point_box(), lines, line_id, G.bounds(F.col("points")), max(tile, d), d)
+        full = pairs.join(left, point_id).join(lines.select(line_id, "points", *([F.col(same).alias("_same")] if same else [])), line_id)
+        if same:
+            full = full.where(F.col(same) == F.col("_same"))
+        near = full.withColumn("_p", G.project(F.col("points"), F.col("x"), F.col("y"))).where(F.col("_p.distance") <= d)
+        best = near.groupBy(point_id).agg(F.min(F.struct(F.col("_p.distance").alias("distance"), F.col(line_id), F.col("_p.along").alias("along"), F.col("_p.x").alias("px"), F.col("_p.y").alias("py"))).alias("_m"))
+        best = best.select(point_id, f"_m.{line_id}", "_m.distance", "_m.along", "_m.px", "_m.py")
+        if reach is not None:
+            return best
+        best = best.checkpoint()
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, point_id, "left_anti").checkpoint()
+        if left.isEmpty():
+            return found
+        d *= 2
 
 
 def containing_polygon(points: DataFrame, polygons: DataFrame, tile: float, point_id: str = "point_id", poly_id: str = "poly_id") -> DataFrame:

@@ -101,10 +101,10 @@ def j13_nearest_in_region(t: Tables):
 LINE_D = PLACES + ", " + STREETS + f""", q AS (SELECT point_id, edge_id, x, y, xa + {NEAR} * (xb - xa) AS px, ya + {NEAR} * (yb - ya) AS py FROM places, streets), ld AS (SELECT point_id, edge_id, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM q)"""
 
 
-@query(f"""WITH {LINE_D}, k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, edge_id) AS k FROM ld WHERE d <= 30) SELECT point_id, edge_id, round(d, 6) AS distance FROM k WHERE k = 1""")
+@query(f"""WITH {LINE_D}, k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, edge_id) AS k FROM ld) SELECT point_id, edge_id, round(d, 6) AS distance FROM k WHERE k = 1""")
 def j14_nearest_line(t: Tables):
-    """Nearest street within reach of each place."""
-    return spatial.nearest_line(places(t), streets(t), 50.0, 30.0).select("point_id", "edge_id", F.round("distance", 6).alias("distance"))
+    """Nearest street of each place."""
+    return spatial.nearest_line(places(t), streets(t), 50.0).select("point_id", "edge_id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"""WITH {LINE_D} SELECT point_id, edge_id, round(d, 6) AS distance FROM ld WHERE d <= 5""")
@@ -259,10 +259,10 @@ def n9_merged_names(t: Tables):
     return network.merged_names(streets(t), 50.0, 1e-9).select("edge_id", "names")
 
 
-@query(f"""WITH {LINE_D}, k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, edge_id) AS k FROM ld WHERE d <= 30) SELECT p.point_id AS node_id, s.region::INTEGER AS region FROM places p LEFT JOIN k ON p.point_id = k.point_id AND k = 1 LEFT JOIN streets s ON k.edge_id = s.edge_id""")
+@query(f"""WITH {LINE_D}, k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, edge_id) AS k FROM ld) SELECT p.point_id AS node_id, s.region::INTEGER AS region FROM places p LEFT JOIN k ON p.point_id = k.point_id AND k = 1 LEFT JOIN streets s ON k.edge_id = s.edge_id""")
 def n10_class_of_nearest(t: Tables):
     """N10."""
-    return network.class_of_nearest(places(t).select(F.col("point_id").alias("node_id"), "x", "y"), streets(t), 50.0, 30.0, "region").select("node_id", "region")
+    return network.class_of_nearest(places(t).select(F.col("point_id").alias("node_id"), "x", "y"), streets(t), 50.0, "region").select("node_id", "region")
 
 
 @query(f"""WITH {PLACES}, {DEPOTS}, d AS (SELECT point_id, node_id, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM places p, depots q), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, node_id) AS k FROM d)

@@ -26,7 +26,8 @@ def s4_s5_p7_file_scenarios(t: Tables):
 @query(f"""WITH {OD_LOG}, w AS (SELECT o, d, sum(tons) AS tons FROM od GROUP BY o, d) SELECT o AS origin, d::VARCHAR AS destination, tons FROM w WHERE tons > 0""")
 def s3_melt_zone_matrix(t: Tables):
     """S3: a wide nation x nation matrix molten to rows."""
-    wide = od_log(t).groupBy("o").pivot("d", list(range(25))).agg(F.sum("tons"))
+    zones = [r.n_nationkey for r in t.nation.select("n_nationkey").distinct().orderBy("n_nationkey").collect()]
+    wide = od_log(t).groupBy("o").pivot("d", zones).agg(F.sum("tons"))
     return S.melt_zones(wide, "o")
 
 
