@@ -39,6 +39,24 @@ def test_topk_with_few_or_no_candidates(spark):
     assert topk_search.topk(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_large_components_and_empty_vectors(spark):
+    rng = np.random.default_rng(4)
+    scale = lambda i: 10.0 ** (i % 5 * 4)
+    vectors = [[float(x) for x in rng.normal(size=3) * scale(i)] for i in range(60)] + [[1e300, -1e300, 1.0], [1e17, 1e17, 1e17], [1e17, 1e17, 1e17 + 64]]
+    rows = list(enumerate(vectors)) + [(200, []), (300, []), (301, [])]
+    got = {}
+    for r in topk_search.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.pop(200) == [(300, 0), (301, 0)] and got.pop(300) == [(200, 0), (301, 0)]
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in enumerate(vectors)}
+    for q, best in got.items():
+        if q == 60:  # past 38 digits
+            continue
+        dots = {i: sum(a * b for a, b in zip(ints[q], v, strict=True)) for i, v in ints.items() if i not in (q, 60)}
+        want = [(i, min(max(s, -(2**63)), 2**63 - 1)) for s, i in sorted(((s, i) for i, s in dots.items()), key=lambda x: (-x[0], x[1]))]
+        assert [x for x in best if x[0] != 60][:9] == want[:9]
+
+
 def test_targets_fill_up_to_three_times(spark):
     t = mixing.targets({"a": 10, "b": 1000, "c": 1000, None: 90}, [5, 2, 1])
     assert t["a"] == 30 and t[None] == pytest.approx(270) and sum(t.values()) == pytest.approx(2100)
@@ -182,11 +200,23 @@ def test_shards_are_balanced_and_slots_gapless(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_equal_texts_share_a_shard_while_one_has_room(spark):
+    texts = [f"group {i % 40} " * 9 for i in range(4000)] + [f"single text {i}" for i in range(9000)] + ["hot " * 20] * 6000
+    rows = sharding.shard(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    shards, load, slots = {}, [0] * 8, [[] for _ in range(8)]
+    for r in rows:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert [t[:4] for t, s in shards.items() if len(s) > 1] == ["hot "]
+    assert len(rows) == len(texts) and max(load) <= 1.003 * sum(load) / 8 and all(sorted(s) == list(range(len(s))) for s in slots)
+
+
 def test_bounded_walk_moves_little():
     rng = np.random.default_rng(3)
-    chunks = [(i * 4, -1, int(b), 1) for i, b in enumerate(rng.integers(50, 150, 4096))]
-    a = {c[0]: c[2] for c in sharding.walk(chunks, 8, 128, 7, 1.05)}
-    b = {c[0]: c[2] for c in sharding.walk(chunks, 9, 128, 7, 1.05)}
+    chunks = [((i * 4, -1), int(b), [(-1, int(b), 1)]) for i, b in enumerate(rng.integers(50, 150, 4096))]
+    a = {c[0]: c[3] for c in sharding.walk(chunks, 8, 128, 7, 1.05)}
+    b = {c[0]: c[3] for c in sharding.walk(chunks, 9, 128, 7, 1.05)}
     assert sum(a[k] != b[k] for k in a) < 0.5 * len(a)
 
 

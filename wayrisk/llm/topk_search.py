@@ -10,11 +10,13 @@ Vectors that are equal stand for one another: a class keeps the k + 1 smallest
 ids of its members, as no others can be among k results. So a third of all rows
 with the same vector costs no more than one row. Queries are classes too.
 
-Defined results: vectors null or empty, or with null or non-finite components,
-or with a null id take no part; vectors of different lengths do not meet. Ties
-go to the smaller id; fewer than k candidates give fewer results; an empty
-table gives no rows. Repeated ids are distinct rows with the same id. Scores
-are exact while they stay below 2**53.
+Defined results: vectors null, with null or non-finite components, or with a
+null id take no part; empty vectors meet one another with score 0, and vectors
+of different lengths do not meet. Ties go to the smaller id; fewer than k
+candidates give fewer results; an empty table gives no rows. Repeated ids are
+distinct rows with the same id. Scores rank exactly while they and the products
+in them have at most 38 digits, beyond as doubles up to MOST_SCORE, where they
+tie; the column of longs holds the nearest long.
 """
 
 from __future__ import annotations
@@ -23,21 +25,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.llm.shared import shared_table
 
 BLOCK = 1024  # vectors of a block of the approximation file; also queries of a block, on average
 CELL_BITS = 8
+MOST = 1e150  # of a component's magnitude: larger ones count as this, so that sums of products stay finite
+MOST_SCORE = 9e37  # where 38 digits are not enough
+EXACT = 2.0**53
+
+
+def components(vec: Column, scale: int) -> Column:
+    """floor(scale * x) of each component, as whole doubles: from 2**52 on a double is whole, so no long can overflow."""
+    y = lambda c: c.cast("double") * scale
+    return F.transform(vec, lambda c: F.when(F.abs(y(c)) < 2.0**52, F.floor(y(c)).cast("double")).otherwise(F.greatest(F.least(y(c), F.lit(MOST)), F.lit(-MOST))))
+
+
+def takes_part(id_col: str, vec_col: str) -> Column:
+    return F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & ~F.exists(vec_col, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
 
 
 def vector_classes(vectors: DataFrame, id_col: str, vec_col: str, scale: int, keep: int) -> DataFrame:
-    """class (smallest id), v (floor(scale * x)) and ids (the `keep` smallest, sorted) of each distinct vector."""
-    x = F.transform(F.col(vec_col), lambda c: F.floor(c.cast("double") * scale))
-    fit = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vec_col) > 0)
-    fit &= ~F.exists(vec_col, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.where(fit).select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
+    """class (smallest id), v (components: floor(scale * x)) and ids (the `keep` smallest, sorted) of each distinct vector."""
+    rows = vectors.where(takes_part(id_col, vec_col)).select(F.col(id_col).cast("long").alias("id"), components(F.col(vec_col), scale).alias("v"))
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("k") <= keep)
     return first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("class"), "v", "ids")
 
@@ -45,16 +57,16 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str, scale: int, ke
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (class, v) to blocks of at most BLOCK rows of equal length: classes, dim, base and step of the cells, cells."""
     for b in batches:
-        by_dim: dict[int, list[tuple[int, list[int]]]] = {}
+        by_dim: dict[int, list[tuple[int, list[float]]]] = {}
         for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by_dim.setdefault(len(v), []).append((c, v))
         for dim, rows in by_dim.items():
             for i in range(0, len(rows), BLOCK):
                 part = rows[i : i + BLOCK]
-                m = np.array([v for _, v in part], np.int64)
+                m = np.array([v for _, v in part], np.float64)
                 lo, hi = m.min(0), m.max(0)
-                step = np.maximum(1, -(-(hi - lo + 1) // (1 << CELL_BITS)))
-                cells = ((m - lo) // step).astype(np.uint8)
+                step = np.maximum(1, np.ceil((hi - lo + 1) / (1 << CELL_BITS)))
+                cells = np.minimum((m - lo) // step, (1 << CELL_BITS) - 1).astype(np.uint8)
                 yield pa.record_batch([pa.array([x]) for x in ([c for c, _ in part], dim, lo.tobytes(), step.tobytes(), cells.tobytes())], _BLOCK_ARROW)
 
 
@@ -80,20 +92,24 @@ def _bounds(k: int):
         for b in batches:
             for r in b.to_pylist():
                 d = r["dim"]
-                q = np.array([x["v"] for x in r["qs"]], np.float64).reshape(-1, d)
-                base, step = np.frombuffer(r["base"], np.int64), np.frombuffer(r["step"], np.int64)
-                cells = np.frombuffer(r["cells"], np.uint8).reshape(-1, d)
+                q = np.array([x["v"] for x in r["qs"]], np.float64).reshape(len(r["qs"]), d)
+                base, step = np.frombuffer(r["base"], np.float64), np.frombuffer(r["step"], np.float64)
+                cells = np.frombuffer(r["cells"], np.uint8).reshape(len(r["classes"]), d)
                 classes, qclasses = np.array(r["classes"]), np.array([x["class"] for x in r["qs"]])
-                # A component lies in [edge, edge + step - 1]; doubles hold these sums of integers exactly.
-                edge = (base + cells * step).astype(np.float64)
-                width = (step - 1).astype(np.float64)
+                # A component lies in [edge, edge + step - 1]; doubles hold sums of integers below EXACT exactly.
+                edge = base + cells * step
+                width = step - 1
                 at_edge = q @ edge.T
                 low = at_edge + (np.minimum(q, 0) @ width)[:, None]
                 high = at_edge + (np.maximum(q, 0) @ width)[:, None]
+                size = np.abs(q) @ (np.abs(base) + step * (1 << CELL_BITS))
+                if (size >= EXACT).any():  # rounding of edges, products and sums, generously
+                    slack = np.where(size < EXACT, 0.0, size * (d + 8) * 2.0**-51)[:, None]
+                    low, high = low - slack, high + slack
                 n = min(k, len(classes))
                 kth = np.partition(low, len(classes) - n, axis=1)[:, len(classes) - n] if len(classes) > k else np.full(len(q), -np.inf)
                 i, j = np.nonzero(high >= kth[:, None])
-                yield pa.record_batch([pa.array(qclasses[i]), pa.array(classes[j]), pa.array(low[i, j].astype(np.int64)), pa.array(high[i, j].astype(np.int64))], ["qclass", "class", "low", "high"])
+                yield pa.record_batch([pa.array(qclasses[i]), pa.array(classes[j]), pa.array(low[i, j]), pa.array(high[i, j])], ["qclass", "class", "low", "high"])
 
     return run
 
@@ -106,9 +122,7 @@ def topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_
     spark = vectors.sparkSession
     need = k + 1
     classes = shared_table(vector_classes(vectors, id_col, vec_col, scale, need), "vectors")
-    fit = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & (F.size(vec_col) > 0)
-    fit &= ~F.exists(vec_col, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    asked = vectors.where(is_query & fit).select(F.col(id_col).cast("long").alias("query_id"), F.transform(F.col(vec_col), lambda c: F.floor(c.cast("double") * scale)).alias("v"))
+    asked = vectors.where(is_query & takes_part(id_col, vec_col)).select(F.col(id_col).cast("long").alias("query_id"), components(F.col(vec_col), scale).alias("v"))
     asked = shared_table(asked.join(classes.select("v", "class"), "v").select("query_id", F.col("class").alias("qclass")), "asked")
     qids = asked.select(F.col("qclass").alias("class")).distinct()
     qclasses = shared_table(classes.join(qids, "class", "left_semi").select("class", "v"), "queries")
@@ -121,7 +135,7 @@ def topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_
     cells = approximation_file(classes).withColumn("salt", F.pmod(F.xxhash64(F.col("classes")[0]), F.lit(salts)).cast("int"))
     cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     met = cells.join(asked_blocks, ["dim", "block", "salt"]).drop("block", "salt")
-    found = shared_table(met.mapInArrow(_bounds(need), "qclass long, class long, low long, high long"), "bounds")
+    found = shared_table(met.mapInArrow(_bounds(need), "qclass long, class long, low double, high double"), "bounds")
 
     by_low = Window.partitionBy("qclass").orderBy(F.desc("low"), "class")
     kth = found.withColumn("k", F.row_number().over(by_low)).where(F.col("k") <= need).groupBy("qclass").agg(F.min("low").alias("kth"), F.count("*").alias("n"))
@@ -134,12 +148,19 @@ def topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_
     query = qclasses.select(F.col("class").alias("qclass"), F.col("v").alias("q"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-        return pairs.join(exact, "class").join(query, "qclass").select("qclass", "class", dot.alias("score"))
+        met = pairs.join(exact, "class").join(query, "qclass")
+        sizes = F.aggregate(F.zip_with("q", "v", lambda a, b: F.abs(a * b)), F.lit(0.0), lambda s, x: s + x)
+        dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        # Beyond doubles' exact range by digits; a try_ gives null where 38 of them are not enough.
+        whole = "decimal(38,0)"
+        products = F.zip_with("q", "v", lambda a, b: F.try_multiply(a.try_cast(whole), b.try_cast(whole)).cast(whole))
+        digits = F.aggregate(products, F.lit(0).cast(whole), lambda s, x: F.try_add(s, x).cast(whole))
+        score = F.when(sizes < EXACT, dot.cast(whole)).otherwise(F.coalesce(digits, F.greatest(F.least(dot, F.lit(MOST_SCORE)), F.lit(-MOST_SCORE)).cast(whole)))
+        return met.select("qclass", "class", score.alias("score"))
 
     first = shared_table(scored(able.where(F.col("k") <= helping * need)), "first")
     by_score = Window.partitionBy("qclass").orderBy(F.desc("score"), "class")
-    sure = first.withColumn("k", F.row_number().over(by_score)).where(F.col("k") == need).select("qclass", F.col("score").alias("sure"))
+    sure = first.withColumn("k", F.row_number().over(by_score)).where(F.col("k") == need).select("qclass", F.col("score").cast("double").alias("sure"))
     later = able.where(F.col("k") > helping * need).join(sure, "qclass").where(F.col("high") >= F.col("sure")).select("qclass", "class")
     both = first.unionByName(scored(later))
     # A class brings at least one result each, so the best k + 1 classes hold the best k rows besides the query's own.
@@ -152,4 +173,4 @@ def topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_
     own = F.array_position(F.transform("best", lambda x: x["vec_id"]), F.col("query_id")).cast("int")
     rest = F.when(own > 0, F.concat(F.slice("best", 1, own - 1), F.slice("best", own + 1, need))).otherwise(F.col("best"))
     out = asked.join(lists, "qclass").select("query_id", F.posexplode(F.slice(rest, 1, k)).alias("pos", "x"))
-    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.greatest(F.least("x.score", F.lit(2**63 - 1)), F.lit(-(2**63))).cast("long").alias("score"))
