@@ -82,6 +82,8 @@ def test_every_used_edge_fails(spark):
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     edges, n = c.execute(f"WITH {EDGES} SELECT * FROM edges").df(), c.execute("SELECT max(s_suppkey) FROM supplier").fetchone()[0]
+    pairs = c.execute("SELECT count(*) FROM (SELECT DISTINCT o, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN (SELECT s_nationkey, min(s_suppkey) AS o FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey WHERE o <> l_suppkey)").fetchone()[0]
+    assert paths.demand(Tables(spark, folder)).count() == pairs
     used = {}
     for r in paths.routed(Tables(spark, folder)).where("reachable and tons > 0").collect():
         for e in r.path:
@@ -89,6 +91,8 @@ def test_every_used_edge_fails(spark):
     got = {}
     for r in QUERIES["n18_failures"](spark, folder).collect():
         got.setdefault(r.scenario_id, {})[r.origin_id, r.destination_id] = np.inf if r.no_access else r.new_cost
+        # An edge's cost is its length and a fraction that grows with its number.
+        assert r.no_access or abs(r.new_length - r.new_cost) < 1 and r.length_diff == r.new_length - r.old_length
     assert {e: set(x) for e, x in got.items()} == used
     for e, x in got.items():
         d = least_costs(edges[edges.edge_id != int(e)], n)

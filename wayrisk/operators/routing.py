@@ -34,8 +34,9 @@ class Graph:
         self.index = {n: i for i, n in enumerate(nodes.tolist())}
 
     @classmethod
-    def of(cls, edges: DataFrame, cost: str) -> Graph:
-        rows = edges.select(F.col("from_node").cast("string"), F.col("to_node").cast("string"), F.col("edge_id").cast("string"), F.col(cost).cast("double").alias("cost")).limit(MOST_EDGES + 1).toPandas()
+    def of(cls, edges: DataFrame, cost: str, sums: tuple[str, ...] = ()) -> Graph:
+        """sums: further edge attributes to be summed along paths."""
+        rows = edges.select(F.col("from_node").cast("string"), F.col("to_node").cast("string"), F.col("edge_id").cast("string"), F.col(cost).cast("double").alias("cost"), *(F.col(s).cast("double").alias(f"sum_{s}") for s in sums)).limit(MOST_EDGES + 1).toPandas()
         if len(rows) > MOST_EDGES:
             raise ValueError(f"more than {MOST_EDGES} edges; use relaxed_costs")
         rows = rows.sort_values("edge_id", kind="stable")
@@ -46,6 +47,7 @@ class Graph:
         at = np.searchsorted(start[order], np.arange(len(nodes) + 1))
         graph = cls(nodes, at, to[order], edge[order], cost_[order])
         graph.ids = rows.edge_id.to_numpy(str)
+        graph.sums = {s: rows[f"sum_{s}"].to_numpy() for s in sums}
         return graph
 
     def tree(self, origin: int, without: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,14 +71,18 @@ class Graph:
                     cost[v], by[v], before[v] = d, e, u
         return np.array(cost), np.array(by), np.array(before)
 
-    def path(self, tree, target: int) -> list[str]:
+    def steps(self, tree, target: int) -> list[int]:
+        """Numbers of the path's edges, in order."""
         _, by, before = tree
         out = []
         while by[target] >= 0:
-            out.append(self.ids[by[target]])
+            out.append(by[target])
             target = before[target]
         return out[::-1]
 
+    def path(self, tree, target: int) -> list[str]:
+        return [self.ids[e] for e in self.steps(tree, target)]
+
 
 def shortest_paths(od: DataFrame, edges: DataFrame, cost: str = "cost", name: str = "path") -> DataFrame:
     """Od (origin_id, destination_id, ...) with `path` (edge ids in order), cost and reachable.
@@ -169,25 +175,28 @@ def failure_set(hits: DataFrame, flows: DataFrame, flow: str) -> DataFrame:
     return hits.select("edge_id").distinct().join(flows.where(F.col(flow) > 0), "edge_id", "left_semi")
 
 
-def failures(scenarios: DataFrame, paths: DataFrame, edges: DataFrame, cost: str = "cost", path: str = "path", values: tuple[str, ...] = ("tons",), keep_paths: bool = False) -> DataFrame:
+def failures(scenarios: DataFrame, paths: DataFrame, edges: DataFrame, cost: str = "cost", path: str = "path", values: tuple[str, ...] = ("tons",), keep_paths: bool = False, sums: tuple[str, ...] = ()) -> DataFrame:
     """Pairs whose path a scenario cuts, rerouted around its closed edges.
 
+    sums: edge attributes such as distance and time, given as old_<name> from
+    paths (see with_path_sums) and as new_<name> along the new path.
+
     scenarios: scenario_id, edge_id (one edge or several). A row is a pair under
     a scenario: no_access 1 and no new cost if nothing else connects it. Work is
     dealt by (scenario, origin), so that a busy edge's pairs are spread; a task
     masks edges and never rebuilds the graph.
     """
-    graph = scenarios.sparkSession.sparkContext.broadcast(Graph.of(edges, cost))
+    graph = scenarios.sparkSession.sparkContext.broadcast(Graph.of(edges, cost, sums))
     closed = scenarios.groupBy("scenario_id").agg(F.sort_array(F.collect_set(F.col("edge_id").cast("string"))).alias("closed"))
-    used = paths_by_edge(paths, path, ["origin_id", "destination_id", F.col(cost).alias("old_cost"), *values]).join(scenarios, "edge_id")
+    used = paths_by_edge(paths, path, ["origin_id", "destination_id", F.col(cost).alias("old_cost"), *(F.col(s).cast("double").alias(f"old_{s}") for s in sums), *values]).join(scenarios, "edge_id")
     cut = used.drop("edge_id").dropDuplicates(["scenario_id", "origin_id", "destination_id"]).join(closed, "scenario_id")
-    schema = cut.withColumns({"no_access": F.lit(0), "new_cost": F.lit(None).cast("double"), "new_path": F.lit(None).cast("array<string>")}).drop("closed").schema
+    schema = cut.withColumns({"no_access": F.lit(0), "new_cost": F.lit(None).cast("double"), "new_path": F.lit(None).cast("array<string>")} | {f"new_{s}": F.lit(None).cast("double") for s in sums}).drop("closed").schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, last, tree = graph.value, None, None
         number = {e: i for i, e in enumerate(g.ids.tolist())}
         for b in batches:
-            access, costs, new = [], [], []
+            access, costs, new, along = [], [], [], {s: [] for s in sums}
             for s, o, d, shut in zip(b["scenario_id"], b["origin_id"].astype(str), b["destination_id"].astype(str), b["closed"], strict=True):
                 if (s, o) != last:
                     last, tree = (s, o), g.tree(g.index[o], frozenset(number[e] for e in shut if e in number))
@@ -196,7 +205,10 @@ def failures(scenarios: DataFrame, paths: DataFrame, edges: DataFrame, cost: str
                 access.append(0 if ok else 1)
                 costs.append(float(tree[0][j]) if ok else None)
                 new.append(g.path(tree, j) if ok and keep_paths else None)
-            yield b.drop(columns="closed").assign(no_access=np.array(access, np.int32), new_cost=pd.array(costs, "Float64"), new_path=new)
+                edges_of = g.steps(tree, j) if ok and sums else []
+                for name, x in along.items():
+                    x.append(float(g.sums[name][edges_of].sum()) if ok else None)
+            yield b.drop(columns="closed").assign(no_access=np.array(access, np.int32), new_cost=pd.array(costs, "Float64"), new_path=new, **{f"new_{s}": pd.array(x, "Float64") for s, x in along.items()})
 
     # A number of partitions, as few bytes mean much work here and would else be put into one task.
     n = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -204,11 +216,11 @@ def failures(scenarios: DataFrame, paths: DataFrame, edges: DataFrame, cost: str
     return out if keep_paths else out.drop("new_path")
 
 
-def rerouting_losses(failed: DataFrame, tons: str = "tons") -> DataFrame:
-    """What rerouting adds, per ton and in all; isolated pairs add nothing."""
-    kept = failed.where(F.col(tons) > 0)
-    extra = F.coalesce((1 - F.col("no_access")) * (F.col("new_cost") - F.col("old_cost")), F.lit(0.0))
-    return kept.withColumn("cost_diff", extra).withColumn("tr_loss", F.col(tons) * extra)
+def rerouting_losses(failed: DataFrame, tons: str = "tons", sums: tuple[str, ...] = ()) -> DataFrame:
+    """What rerouting adds, per ton and in all, and <name>_diff of each of sums; isolated pairs add nothing."""
+    extra = lambda name: F.coalesce((1 - F.col("no_access")) * (F.col(f"new_{name}") - F.col(f"old_{name}")), F.lit(0.0))
+    kept = failed.where(F.col(tons) > 0).withColumns({"cost_diff": extra("cost")} | {f"{s}_diff": extra(s) for s in sums})
+    return kept.withColumn("tr_loss", F.col(tons) * F.col("cost_diff"))
 
 
 def isolated_losses(failed: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -228,12 +240,16 @@ def edge_summary(lo: DataFrame, hi: DataFrame, keys: list[str], values: list[str
     return order_all_pairs(left_fill(a, b, keys, how))
 
 
-def multi_modal_edges(layers: list[DataFrame]) -> DataFrame:
-    """Edge tables of several modes as one network: links that are not operational, and rail edges without flow, are closed."""
+def multi_modal_edges(layers: list[DataFrame], rail_flows: DataFrame | None = None, flow: str = "tons") -> DataFrame:
+    """Edge tables of several modes as one network: links that are not operational, and rail edges without flow (edge_id, `flow`), are closed."""
     out = layers[0]
     for x in layers[1:]:
         out = out.unionByName(x, allowMissingColumns=True)
-    return out.where(F.coalesce(F.col("operation_state"), F.lit("operational")) == "operational")
+    out = out.where(F.coalesce(F.col("operation_state"), F.lit("operational")) == "operational")
+    if rail_flows is None:
+        return out
+    used = rail_flows.where(F.col(flow) > 0).select("edge_id", F.lit("rail").alias("mode")).distinct()
+    return out.where("mode is distinct from 'rail'").unionByName(out.join(used, ["edge_id", "mode"], "left_semi"))
 
 
 def extra_failures(flagged: DataFrame, near: DataFrame, edges: DataFrame, kind: str, failed: DataFrame) -> DataFrame:

@@ -217,11 +217,11 @@ def ratios(t: Tables):
 
 
 @query(f"""WITH {RATIOS}, b AS (SELECT id, duration, growth, max(max_bc_ratio) AS hi, max(min_bc_ratio) AS lo, max(length) AS km FROM rs GROUP BY 1, 2, 3)
-    SELECT duration, growth, count(*) FILTER (WHERE hi > 1) AS max_count, round(100 * count(*) FILTER (WHERE hi > 1) / 2000.0, 6)::DOUBLE AS max_percent, coalesce(sum(km) FILTER (WHERE hi > 1), 0)::DOUBLE AS max_km,
-    count(*) FILTER (WHERE lo > 1) AS min_count, round(100 * count(*) FILTER (WHERE lo > 1) / 2000.0, 6)::DOUBLE AS min_percent, coalesce(sum(km) FILTER (WHERE lo > 1), 0)::DOUBLE AS min_km FROM b GROUP BY 1, 2""")
+    SELECT duration, growth, count(*) FILTER (WHERE hi > 1) AS max_count, round(100 * count(*) FILTER (WHERE hi > 1) / (SELECT count(*)::DOUBLE FROM part), 6)::DOUBLE AS max_percent, coalesce(sum(km) FILTER (WHERE hi > 1), 0)::DOUBLE AS max_km,
+    count(*) FILTER (WHERE lo > 1) AS min_count, round(100 * count(*) FILTER (WHERE lo > 1) / (SELECT count(*)::DOUBLE FROM part), 6)::DOUBLE AS min_percent, coalesce(sum(km) FILTER (WHERE lo > 1), 0)::DOUBLE AS min_km FROM b GROUP BY 1, 2""")
 def a24_sensitivity(t: Tables):
     """A24."""
-    return rounded(stats.sensitivity(ratios(t), 2000), "max_percent", "min_percent")
+    return rounded(stats.sensitivity(ratios(t), t.part.count()), "max_percent", "min_percent")
 
 
 @query("""WITH s AS (SELECT l_partkey AS id, max(l_quantity / 40) FILTER (WHERE l_linenumber <= 3) AS b, max(l_quantity / 40) FILTER (WHERE l_linenumber BETWEEN 4 AND 5) AS s FROM lineitem GROUP BY 1), c AS (SELECT coalesce(b, 0) AS b, coalesce(s, 0) AS s FROM s)

@@ -43,51 +43,62 @@ def n17_failure_set(t: Tables):
     return routing.failure_set(hits, t.supplier.select(F.col("s_suppkey").alias("edge_id"), "s_acctbal"), "s_acctbal")
 
 
-def relaxed_sql(rounds: int = 14) -> str:
-    """Least costs from every nation's first supplier, by unrolled relaxation."""
+def relaxed_sql(starts: str, rounds: int = 14) -> str:
+    """Least costs from the suppliers that `starts` selects, by unrolled relaxation."""
     out = EDGES + """, arcs AS (SELECT a, b, min(cost) AS cost FROM (SELECT from_node AS a, to_node AS b, cost FROM edges UNION ALL SELECT to_node, from_node, cost FROM edges) GROUP BY 1, 2),
-        d0 AS (SELECT min(s_suppkey) AS o, min(s_suppkey) AS n, 0.0::DOUBLE AS c FROM supplier GROUP BY s_nationkey)"""
+        d0 AS (SELECT o, o AS n, 0.0::DOUBLE AS c FROM (""" + starts + """))"""
     for i in range(rounds):
         out += f", d{i + 1} AS (SELECT o, n, min(c) AS c FROM (SELECT * FROM d{i} UNION ALL SELECT o, b, c + cost FROM d{i} JOIN arcs ON n = a) GROUP BY 1, 2)"
     return out + f", best AS (SELECT * FROM d{rounds})"
 
 
-def origins(t: Tables):
-    return t.supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("origin_id")).select("origin_id")
+@query(f"WITH {relaxed_sql('SELECT s_suppkey AS o FROM supplier')} SELECT o AS origin_id, n AS node, round(c, 5) AS cost FROM best")
+def n13_relaxed_costs(t: Tables):
+    """N13 by joins: least costs from every supplier to all others."""
+    return routing.relaxed_costs(t.supplier.select(F.col("s_suppkey").alias("origin_id")), road_edges(t)).select("origin_id", "node", F.round("cost", 5).alias("cost"))
 
 
-@query(f"WITH {relaxed_sql()} SELECT o AS origin_id, n AS node, round(c, 5) AS cost FROM best")
-def n13_relaxed_costs(t: Tables):
-    """N13 by joins: least costs from the first supplier of each nation to all others."""
-    return routing.relaxed_costs(origins(t), road_edges(t)).select("origin_id", "node", F.round("cost", 5).alias("cost"))
+def demand(t: Tables):
+    """Tons between each nation's node (its first supplier) and the suppliers that its customers' lines name; a nation without suppliers has no node."""
+    nodes = t.supplier.groupBy(F.col("s_nationkey").alias("zone")).agg(F.min("s_suppkey").alias("origin_id"))
+    zones = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("zone")).join(nodes, "zone").select("o_custkey", "origin_id")
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(zones, "o_custkey").select("l_orderkey", "origin_id")
+    lines = t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("destination_id"), "l_quantity").join(orders, "l_orderkey").where("origin_id <> destination_id")
+    return lines.groupBy("origin_id", "destination_id").agg(F.sum("l_quantity").alias("tons"))
 
 
 def routed(t: Tables):
-    pairs = origins(t).join(F.broadcast(t.supplier.select(F.col("s_suppkey").alias("destination_id"), F.col("s_acctbal").alias("tons")))).where("origin_id <> destination_id")
-    return routing.shortest_paths(pairs.repartition(8), road_edges(t))
+    edges = road_edges(t)
+    return routing.with_path_sums(routing.shortest_paths(demand(t), edges).checkpoint(), edges, ["length"], ["origin_id", "destination_id"])
+
+
+DEMAND = """SELECT z.o, l_suppkey AS d, sum(l_quantity) AS tons FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN (SELECT s_nationkey, min(s_suppkey) AS o FROM supplier GROUP BY 1) z ON c_nationkey = s_nationkey WHERE z.o <> l_suppkey GROUP BY 1, 2"""
 
 
-@query(f"WITH {relaxed_sql()} SELECT s.o AS origin_id, s_suppkey AS destination_id, round(c, 5) AS cost, c IS NOT NULL AS reachable FROM (SELECT DISTINCT o FROM d0) s JOIN supplier ON s_suppkey <> s.o LEFT JOIN best ON best.o = s.o AND best.n = s_suppkey")
+@query(f"WITH {relaxed_sql('SELECT min(s_suppkey) AS o FROM supplier GROUP BY s_nationkey')} SELECT p.o AS origin_id, p.d AS destination_id, p.tons, round(c, 5) AS cost, c IS NOT NULL AS reachable FROM ({DEMAND}) p LEFT JOIN best ON best.o = p.o AND best.n = p.d")
 def n13_shortest_paths(t: Tables):
-    """N13 by Dijkstra in tasks: all pairs of a nation's first supplier and another one."""
-    return routed(t).select("origin_id", "destination_id", F.round("cost", 5).alias("cost"), "reachable")
+    """N13 by Dijkstra in tasks: all pairs with demand."""
+    return routing.shortest_paths(demand(t), road_edges(t)).select("origin_id", "destination_id", "tons", F.round("cost", 5).alias("cost"), "reachable")
 
 
 @query()
 def n14_path_assembly(t: Tables):
-    """Paths at least and largest cost, and costs times tons."""
-    pairs = origins(t).join(F.broadcast(t.supplier.select(F.col("s_suppkey").alias("destination_id"), F.col("s_acctbal").alias("tons")))).where("origin_id <> destination_id")
+    """Paths at least and largest cost, costs times tons, and each path's length."""
     edges = road_edges(t).withColumn("min_gcost", F.col("cost")).withColumn("max_gcost", F.col("cost") * (1 + F.col("edge_id") % 3))
-    return routing.od_path_assembly(pairs, edges)
+    out, key = routing.od_path_assembly(demand(t), edges).checkpoint(), ["origin_id", "destination_id"]
+    for side in ("min", "max"):
+        out = routing.with_path_sums(out, edges.withColumn(f"{side}_length", F.col("length")), [f"{side}_length"], key, f"{side}_edge_path")
+    return out
 
 
 @query()
 def n18_failures(t: Tables):
-    """Every edge that carries flow fails on its own; pairs on it are rerouted or cut off, with their losses."""
+    """Every edge that carries flow fails on its own; pairs on it are rerouted or cut off, with their losses and what they gain in length."""
     paths = routed(t).where("reachable and tons > 0").checkpoint()
     edges = road_edges(t)
     used = routing.failure_set(edges.select(F.col("edge_id").cast("string").alias("edge_id")), routing.edge_flows(paths, "path", ["tons"]), "tons")
-    return routing.rerouting_losses(routing.failures(used.select(F.col("edge_id").alias("scenario_id"), "edge_id"), paths, edges))
+    return routing.rerouting_losses(routing.failures(used.select(F.col("edge_id").alias("scenario_id"), "edge_id"), paths, edges, sums=("length",)), sums=("length",))
 
 
 @query()
@@ -149,12 +160,13 @@ def n24_closest_candidates(t: Tables):
     return routing.closest_candidates(records, stations, road_edges(t), "record")
 
 
-@query("""SELECT 'rail' AS mode, count(*) AS n FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'road', count(*) FROM part""")
+@query("""SELECT 'rail' AS mode, count(*) AS n FROM supplier WHERE s_acctbal > 0 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R') UNION ALL SELECT 'road', count(*) FROM part""")
 def n21_multi_modal_edges(t: Tables):
-    """Edge tables of two modes as one network, closed links left out."""
+    """Edge tables of two modes as one network, closed links and rail edges without flow left out."""
+    flows = t.lineitem.where("l_quantity = 50 and l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("edge_id")).agg(F.sum("l_quantity").alias("tons"))
     rail = t.supplier.select(F.lit("rail").alias("mode"), F.col("s_suppkey").alias("edge_id"), F.when(F.col("s_acctbal") > 0, "operational").otherwise("closed").alias("operation_state"))
     road = t.part.select(F.lit("road").alias("mode"), F.col("p_partkey").alias("edge_id"))
-    return routing.multi_modal_edges([rail, road]).groupBy("mode").agg(F.count("*").alias("n"))
+    return routing.multi_modal_edges([rail, road], flows).groupBy("mode").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT c_custkey AS k, s_suppkey AS j FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal""")

@@ -166,12 +166,12 @@ def p38_p42_risk_rows(t: Tables):
 
 
 @query("""WITH f AS (SELECT DISTINCT l_suppkey AS node_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)
-    SELECT p_partkey AS edge_id, CASE WHEN (p_partkey % 97 + 1) IN (SELECT node_id FROM f) OR (p_partkey % 89 + 1) IN (SELECT node_id FROM f) THEN 'operational' ELSE 'not operational' END AS operation_state FROM part""")
+    SELECT p_partkey AS edge_id, CASE WHEN (p_partkey % n + 1) IN (SELECT node_id FROM f) OR (p_partkey * 7 % n + 1) IN (SELECT node_id FROM f) THEN 'operational' ELSE 'not operational' END AS operation_state FROM part, (SELECT max(s_suppkey) AS n FROM supplier)""")
 def p43_operational_links(t: Tables):
     """Links with an end that carries flow."""
     flow = t.lineitem.where("l_returnflag = 'R' and l_quantity >= 49").select(F.col("l_suppkey").alias("node_id")).distinct()
-    k = F.col("p_partkey")
-    return C.operational_state(t.part.select(k.alias("edge_id"), (k % 97 + 1).alias("from_node"), (k % 89 + 1).alias("to_node")), flow).select("edge_id", "operation_state")
+    k, n = F.col("p_partkey"), F.lit(t.supplier.agg(F.max("s_suppkey")).first()[0])
+    return C.operational_state(t.part.select(k.alias("edge_id"), (k % n + 1).alias("from_node"), (k * 7 % n + 1).alias("to_node")), flow).select("edge_id", "operation_state")
 
 
 @query("""SELECT c_custkey AS k, coalesce(sum(o_totalprice), 0) > 0 AS any, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
@@ -206,11 +206,12 @@ def j5_one_to_many(t: Tables):
     return out.groupBy("node", "name", "hazard").agg(F.sum("l_quantity").alias("exposed"))
 
 
-@query("""SELECT p_partkey AS bridge_id, l_suppkey AS edge_id, flow FROM (SELECT p_partkey, p_partkey % 97 + 1 AS l_suppkey FROM part) JOIN (SELECT l_suppkey, sum(l_quantity) AS flow FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) USING (l_suppkey) WHERE flow > 0""")
+@query("""SELECT p_partkey AS bridge_id, l_suppkey AS edge_id, flow FROM (SELECT p_partkey, p_partkey % n + 1 AS l_suppkey FROM part, (SELECT max(s_suppkey) AS n FROM supplier)) JOIN (SELECT l_suppkey, sum(l_quantity) AS flow FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) USING (l_suppkey) WHERE flow > 0""")
 def j30_bridges(t: Tables):
     """Bridges inherit their edge's flow."""
     edges = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("edge_id")).agg(F.sum("l_quantity").alias("flow"))
-    return joins.inherit_from_edges(t.part.select(F.col("p_partkey").alias("bridge_id"), (F.col("p_partkey") % 97 + 1).alias("edge_id")), edges, "flow").select("bridge_id", "edge_id", "flow")
+    n = F.lit(t.supplier.agg(F.max("s_suppkey")).first()[0])
+    return joins.inherit_from_edges(t.part.select(F.col("p_partkey").alias("bridge_id"), (F.col("p_partkey") % n + 1).alias("edge_id")), edges, "flow").select("bridge_id", "edge_id", "flow")
 
 
 @query("""SELECT p_partkey AS k, lower(p_brand) || '/' || min(r_name) AS industry FROM part JOIN region ON p_size % 5 = r_regionkey GROUP BY p_partkey, p_brand""")
