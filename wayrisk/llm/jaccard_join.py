@@ -149,9 +149,9 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return np.concatenate(out), np.concatenate(marked)
 
 
-def parity(tokens: np.ndarray, bits: int) -> list[int]:
+def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
     """The parity of the number of tokens by hash value, a bit each."""
-    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64).tolist()
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
 def _sets(n: int):
@@ -159,14 +159,15 @@ def _sets(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, gathered, many, seen = WordHashes(), [], 0, set()
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
 
-        def common() -> tuple[list[int], list[int]]:
+        def common() -> tuple[np.ndarray, np.ndarray]:
             if not gathered:
-                return [], []
+                return none
             token, count = np.unique(np.concatenate(gathered), return_counts=True)
             keep = count >= CHUNK_LEAST
             gathered.clear()
-            return token[keep].view(np.int64).tolist(), count[keep].tolist()
+            return token[keep].view(np.int64), count[keep].astype(np.int64)
 
         for b in batches:
             size, kind, bits, wide, tokens, counts = [], [], [], [], [], []
@@ -182,7 +183,7 @@ def _sets(n: int):
                     seen.add(kind[-1])
                     gathered.append(s)
                     many += len(s)
-                got = ([], [])
+                got = none
                 if many >= CHUNK_TOKENS:
                     got, many = common(), 0
                 tokens.append(got[0])
@@ -190,7 +191,7 @@ def _sets(n: int):
             if b.num_rows:
                 # The rest of the batch is a chunk too.
                 got, many = common(), 0
-                tokens[-1], counts[-1] = tokens[-1] + got[0], counts[-1] + got[1]
+                tokens[-1], counts[-1] = np.concatenate([tokens[-1], got[0]]), np.concatenate([counts[-1], got[1]])
             longs = pa.list_(pa.int64())
             yield pa.record_batch([b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in kind], pa.int64()), pa.array([k[1] for k in kind], pa.int64()), *(pa.array(x, longs) for x in (bits, wide, tokens, counts))], ["id", "size", "hi", "lo", "bits", "wide", "tokens", "counts"])
 
