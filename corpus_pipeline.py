@@ -20,8 +20,10 @@ LEAST_QUALITY = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is at least LEAST_QUALITY; null, empty and blank texts score 0 and go, ties stay."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return quality.score(rows, model).where(F.col("score") >= LEAST_QUALITY).select("row.*")
+    name = "score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return quality.score(docs, model, name=name).where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
