@@ -91,6 +91,57 @@ def test_polygon_predicates_and_clips(spark):
     assert one(df.limit(1).select(G.ring_area(F.col("ring")))) == pytest.approx(75.0)
 
 
+def test_overlap_of_any_rings():
+    square = np.array([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], float)
+    notched = np.array([(0, 0), (10, 0), (10, 10), (5, 5), (0, 10), (0, 0)], float)
+    for a, b in ((square, notched), (notched, square), (square[::-1], notched), (square, notched[::-1]), (notched, notched)):
+        assert G.overlap(a, b) == pytest.approx(75.0)
+    rng = np.random.default_rng(5)
+    gx, gy = (g.ravel() for g in np.meshgrid(*[(np.arange(240) + 0.5) / 10] * 2))
+
+    def star(at):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        r = rng.uniform(2, 8, 9)
+        p = np.array([at + r * np.cos(angle), at + r * np.sin(angle)]).T
+        return np.vstack([p, p[:1]])
+
+    def inside(r):
+        odd = np.zeros(len(gx), bool)
+        for (ax, ay), (bx, by) in zip(r[:-1], r[1:], strict=True):
+            odd ^= ((ay > gy) != (by > gy)) & (gx < (bx - ax) * (gy - ay) / (by - ay) + ax)
+        return odd
+
+    for _ in range(25):
+        a, b = star(11), star(13)
+        want = (inside(a) & inside(b)).sum() / 100
+        assert G.overlap(a, b) == pytest.approx(want, abs=2.0) and G.overlap(b, a) == pytest.approx(G.overlap(a, b))
+
+
+def test_polygons_with_holes_and_parts(spark):
+    holed = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"
+    parts = "MULTIPOLYGON (((0 0, 0 10, 10 10, 10 0, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4)), ((20 0, 30 0, 30 10, 20 10, 20 0)))"
+    df = S.read_geometry(spark.createDataFrame([(1, holed), (2, parts), (3, None), (4, "POLYGON EMPTY")], "poly_id long, wkt string")).withColumnRenamed("points", "ring").cache()
+    assert [r[0] for r in df.orderBy("poly_id").select(G.ring_area(F.col("ring"))).collect()] == [96.0, 196.0]
+    assert [r[0]["x"] for r in df.orderBy("poly_id").select(G.centroid(F.col("ring"))).collect()] == pytest.approx([5.0, (96 * 5 + 100 * 25) / 196])
+    # The centre and a place on the hole's border; places on the sides that join the rings, in and between the parts.
+    at = {(5.0, 5.0): (False, False), (4.0, 5.0): (True, True), (2.0, 2.0): (True, True), (15.0, 0.0): (False, False), (5.0, 0.0): (True, True), (25.0, 5.0): (False, True), (20.0, 0.0): (False, True)}
+    for (x, y), want in at.items():
+        assert tuple(r[0] for r in df.orderBy("poly_id").select(G.in_polygon(F.col("ring"), F.lit(x), F.lit(y))).collect()) == want, (x, y)
+    rows = {r.poly_id: np.array([(p.x, p.y) for p in r.ring]) for r in df.collect()}
+    line, clip = np.array([(-5.0, 5.0), (35.0, 5.0)]), np.array([(5, 0), (25, 0), (25, 10), (5, 10), (5, 0)], float)
+    assert [G.inside_length(line, rows[k]) for k in (1, 2)] == pytest.approx([8.0, 18.0])
+    assert [G.overlap(rows[k], clip) for k in (1, 2)] == pytest.approx([48.0, 98.0]) == [G.overlap(clip, rows[k]) for k in (1, 2)]
+    assert G.overlap(rows[1], rows[2]) == pytest.approx(96.0)
+    assert [len(r[0]) for r in df.orderBy("poly_id").select(G.outlines(F.col("ring"))).collect()] == [2, 3]
+
+
+def test_nearest_polygon_is_by_border(spark):
+    rings = [(1, ring((0, 0), (100, 0), (100, 100), (0, 100))), (2, ring((112, 45), (114, 45), (114, 47), (112, 47)))]
+    polygons = spark.createDataFrame(rings, "poly_id long, ring array<struct<x double, y double>>")
+    points = spark.createDataFrame([(1, 104.0, 46.0), (2, 111.0, 46.0), (3, 50.0, 50.0), (4, None, 1.0), (5, -900.0, 0.0)], "point_id long, x double, y double")
+    assert dict(map(tuple, spatial.containing_or_nearest(points, polygons, 10.0).collect())) == {1: 1, 2: 2, 3: 1, 5: 1}
+
+
 def test_merging_and_cutting_lines():
     parts = [np.array([[0, 0], [1, 0]], float), np.array([[2, 0], [1, 0]], float), np.array([[5, 5], [6, 6]], float)]
     assert sorted(len(p) for p in G.merge_chain(parts)) == [2, 3]

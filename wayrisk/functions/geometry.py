@@ -223,21 +223,26 @@ def merge_parts(parts: pd.Series) -> pd.Series:
 
 
 def in_polygon(ring: Column, x: Column, y: Column) -> Column:
-    """Whether the point is in the (closed) ring or on its border."""
+    """Whether the point is in the (closed) ring or on its border; sides that polygon() adds are no border."""
 
     def step(acc, s):
         ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
         cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-        on = (cross == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
-        hit = ((ay > y) != (by > y)) & ((cross > 0) == (by > ay)) & (ay != by)
-        return F.struct((acc["odd"] != hit).alias("odd"), (acc["on"] | on).alias("on"))
+        corner = ((x == ax) & (y == ay)) | ((x == bx) & (y == by))
+        side = (cross == 0) & ~corner & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+        hit = ((ay > y) != (by > y)) & (cross != 0) & ((cross > 0) == (by > ay))
+        # A side that is gone over twice counts as none, in crossings and as border.
+        return F.struct((acc["odd"] != hit).alias("odd"), (acc["side"] != side).alias("side"), (acc["corner"] | corner).alias("corner"))
 
-    return F.aggregate(_segments(ring), F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on")), step, lambda a: a["odd"] | a["on"])
+    start = F.struct(*(F.lit(False).alias(c) for c in ("odd", "side", "corner")))
+    return F.aggregate(_segments(ring), start, step, lambda a: a["odd"] | a["side"] | a["corner"])
 
 
 def inside_length(line: np.ndarray, ring: np.ndarray) -> float:
     """Length of the line's part inside the ring: each segment is cut where it crosses the ring, and pieces are told by their middles."""
-    total, a, b = 0.0, ring[:-1], ring[1:]
+    # Sides run upwards, so that one that is gone over twice gives the same number twice.
+    down = ring[:-1, 1:] > ring[1:, 1:]
+    total, a, b = 0.0, np.where(down, ring[1:], ring[:-1]), np.where(down, ring[:-1], ring[1:])
     for p, q in zip(line[:-1], line[1:], strict=True):
         d, e = q - p, b - a
         det = d[0] * e[:, 1] - d[1] * e[:, 0]
@@ -257,13 +262,46 @@ def inside_length(line: np.ndarray, ring: np.ndarray) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def clipped_length(points: pd.Series, ring: pd.Series) -> pd.Series:
-    """Length of a line inside a ring."""
-    return pd.Series([inside_length(_xy(p), _xy(r)) for p, r in zip(points, ring, strict=True)], dtype=float)
+    """Length of a line inside a ring; null where either is."""
+    return pd.Series([None if p is None or r is None else inside_length(_xy(p), _xy(r)) for p, r in zip(points, ring, strict=True)], dtype=float)
+
+
+def _twice_area(ring: Column) -> Column:
+    """Twice a closed ring's shoelace area, negative where it runs clockwise."""
+    return F.aggregate(_segments(ring), F.lit(0.0), lambda t, s: t + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])
 
 
 def ring_area(ring: Column) -> Column:
     """Shoelace area of a closed ring."""
-    return F.abs(F.aggregate(_segments(ring), F.lit(0.0), lambda t, s: t + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
+    return F.abs(_twice_area(ring)) / 2
+
+
+def polygon(rings: Column, outer: Column) -> Column:
+    """A polygon of several parts or with holes as one closed ring.
+
+    rings: array of closed rings; outer: for each of them whether it bounds a
+    part (true) or a hole. The result goes around the first ring, and from its
+    first point to each other ring, around it and back, parts anticlockwise and
+    holes clockwise. The sides that lead there are gone over in both
+    directions, so areas, centroids, clips and crossings count them as nothing.
+    No rings give an empty array.
+    """
+    turned = F.zip_with(rings, outer, lambda r, o: F.when((_twice_area(r) > 0) == o, r).otherwise(F.reverse(r)))
+    return F.aggregate(turned, F.array().cast(LINE), lambda acc, r: F.when(F.size(acc) == 0, r).otherwise(F.concat(acc, r, F.slice(acc, 1, 1))))
+
+
+def outlines(ring: Column) -> Column:
+    """The rings of which polygon() has made one, as an array of lines; an open line is its own outline."""
+    first = F.get(ring, F.lit(0))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ring), F.lit(1))), lambda i: F.get(ring, i - 1) == first)
+    n = F.greatest(F.size(at) - 1, F.lit(0))
+
+    def between(p, q):
+        inner = F.slice(ring, p + 1, q - p - 1)
+        joined = (F.size(inner) > 1) & (F.get(inner, F.lit(0)) == F.get(inner, F.size(inner) - 1))
+        return F.when(joined, inner).otherwise(F.slice(ring, p, q - p + 1))
+
+    return F.when(n == 0, F.array(ring)).otherwise(F.zip_with(F.slice(at, 1, n), F.slice(at, 2, n), between))
 
 
 def centroid(ring: Column) -> Column:
@@ -277,10 +315,34 @@ def centroid(ring: Column) -> Column:
     return F.aggregate(_segments(ring), zero, step, lambda a: F.when(a["w"] != 0, point(a["x"] / (3 * a["w"]), a["y"] / (3 * a["w"]))).otherwise(F.element_at(ring, 1)))
 
 
+def _signed_area(ring: np.ndarray) -> float:
+    at = ring - ring[0]
+    return float(at[:-1, 0] @ at[1:, 1] - at[1:, 0] @ at[:-1, 1]) / 2
+
+
 def overlap(ring: np.ndarray, clip: np.ndarray) -> float:
-    """Area of ring inside a convex clip ring, by cutting it with each of the clip's sides."""
-    area = lambda r: float(r[:-1, 0] @ r[1:, 1] - r[1:, 0] @ r[:-1, 1]) / 2
-    side = 1.0 if area(clip) > 0 else -1.0
+    """Area that two rings share.
+
+    A convex clip cuts the ring at once. Any other is the sum of the triangles
+    between its first corner and its sides, signed as they turn, and so is its
+    share of the ring; holes and further parts need nothing else.
+    """
+    if len(ring) < 4 or len(clip) < 4:
+        return 0.0
+    side, spoke = np.diff(clip, axis=0), clip[1:-1] - clip[0]
+    after = np.roll(side, -1, axis=0)
+    turns = side[:, 0] * after[:, 1] - side[:, 1] * after[:, 0]
+    fans = spoke[:-1, 0] * spoke[1:, 1] - spoke[:-1, 1] * spoke[1:, 0]
+    each = np.concatenate([turns, fans])
+    if (each >= 0).all() or (each <= 0).all():
+        return abs(_cut(ring, clip))
+    corners = [np.array([clip[0], clip[k + 1], clip[k + 2], clip[0]]) for k in np.flatnonzero(fans)]
+    return abs(sum(np.sign(f) * _cut(ring, t) for f, t in zip(fans[fans != 0], corners, strict=True)))
+
+
+def _cut(ring: np.ndarray, clip: np.ndarray) -> float:
+    """Signed area of ring inside a convex clip ring, by cutting it with each of the clip's sides."""
+    side = 1.0 if _signed_area(clip) > 0 else -1.0
     out = ring[:-1]
     for a, b in zip(clip[:-1], clip[1:], strict=True):
         if not len(out):
@@ -294,13 +356,13 @@ def overlap(ring: np.ndarray, clip: np.ndarray) -> float:
             if dp * dq < 0:
                 new.append(p + dp / (dp - dq) * (out[(i + 1) % len(out)] - p))
         out = np.array(new).reshape(-1, 2)
-    return abs(area(np.vstack([out, out[:1]]))) if len(out) > 2 else 0.0
+    return _signed_area(np.vstack([out, out[:1]])) if len(out) > 2 else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
 def overlap_area(ring: pd.Series, clip: pd.Series) -> pd.Series:
-    """Area of a ring inside a convex clip ring."""
-    return pd.Series([overlap(_xy(a), _xy(b)) for a, b in zip(ring, clip, strict=True)], dtype=float)
+    """Area that two rings share, convex or not; null where either is."""
+    return pd.Series([None if a is None or b is None else overlap(_xy(a), _xy(b)) for a, b in zip(ring, clip, strict=True)], dtype=float)
 
 
 def within_distance(points: Column, x: Column, y: Column, d: float) -> Column:

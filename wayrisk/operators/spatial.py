@@ -112,11 +112,14 @@ def containing_polygon(points: DataFrame, polygons: DataFrame, tile: float, poin
 
 
 def containing_or_nearest(points: DataFrame, polygons: DataFrame, tile: float, point_id: str = "point_id", poly_id: str = "poly_id") -> DataFrame:
-    """The polygon (smallest id) that holds the point, for others the one with the nearest centroid."""
+    """The polygon (smallest id) that holds the point, for others the one whose border is nearest, ties to the smaller id.
+
+    Points without finite coordinates are left out.
+    """
     held = containing_polygon(points, polygons, tile, point_id, poly_id).groupBy(point_id).agg(F.min(poly_id).alias(poly_id))
     rest = points.join(held, point_id, "left_anti")
-    c = G.centroid(F.col("ring"))
-    near = nearest_node(rest, polygons.select(F.col(poly_id), c.alias("c")).select(poly_id, F.col("c.x").alias("x"), F.col("c.y").alias("y")), tile, point_id, poly_id)
+    borders = polygons.select(poly_id, F.explode(G.outlines(F.col("ring"))).alias("points"))
+    near = nearest_line(rest, borders, tile, None, point_id, poly_id)
     return held.unionByName(near.select(point_id, poly_id))
 
 
@@ -163,7 +166,7 @@ def within_reach(points: DataFrame, lines: DataFrame, tile: float, d: float, poi
 
 
 def area_transfer(source: DataFrame, target: DataFrame, value: str, tile: float, region: str | None = None) -> DataFrame:
-    """Value of source polygons dealt to (convex) target polygons in proportion to the area they share, region by region if asked."""
+    """Value of source polygons dealt to target polygons in proportion to the area they share, region by region if asked."""
     pairs = tile_pairs(source, "src_id", G.bounds(F.col("ring")), target, "dst_id", G.bounds(F.col("ring")), tile)
     a = source.select("src_id", F.col("ring").alias("_a"), value, *([F.col(region).alias("_ra")] if region else []))
     b = target.select("dst_id", F.col("ring").alias("_c"), *([F.col(region).alias("_rb")] if region else []))

@@ -134,7 +134,7 @@ def j20_points_hit(t: Tables):
     return spatial.points_hit(places(t), squares(t), 50.0).select("point_id")
 
 
-@query(f"""WITH {INSIDE}, h AS (SELECT point_id, min(poly_id) AS poly_id FROM ins GROUP BY 1), d AS (SELECT point_id, poly_id, sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2) AS d FROM places, boxes WHERE point_id NOT IN (SELECT point_id FROM h)),
+@query(f"""WITH {INSIDE}, h AS (SELECT point_id, min(poly_id) AS poly_id FROM ins GROUP BY 1), d AS (SELECT point_id, poly_id, sqrt(greatest(x0 - x, x - x1, 0) ** 2 + greatest(y0 - y, y - y1, 0) ** 2) AS d FROM places, boxes WHERE point_id NOT IN (SELECT point_id FROM h)),
     k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, poly_id) AS k FROM d) SELECT point_id, poly_id FROM h UNION ALL SELECT point_id, poly_id FROM k WHERE k = 1""")
 def j15_containing_or_nearest(t: Tables):
     """The square that holds a place, else the nearest."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayrisk.functions import geometry as G
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A headed CSV; columns go by position, so a byte-order mark in the header does no harm."""
@@ -59,14 +61,23 @@ def climate_of_file(name: Column) -> Column:
 
 
 def points_of_wkt(wkt: Column) -> Column:
-    """The coordinates of a POINT, LINESTRING or one-ring POLYGON text as array<struct<x, y>>."""
+    """All coordinates of a text, as of a POINT, LINESTRING or ring, as array<struct<x, y>>."""
     pairs = F.regexp_extract_all(wkt, F.lit(r"(-?[0-9.]+(?:[eE]-?[0-9]+)?) +(-?[0-9.]+(?:[eE]-?[0-9]+)?)"), 0)
     return F.transform(pairs, lambda p: F.struct(F.split(p, " +")[0].cast("double").alias("x"), F.split(p, " +")[1].cast("double").alias("y")))
 
 
+def polygon_of_wkt(wkt: Column) -> Column:
+    """A POLYGON or MULTIPOLYGON text, also with holes, as one ring (see geometry.polygon)."""
+    ring = F.lit(r"(\(?)\s*\(([^()]+)\)")
+    rings = F.transform(F.regexp_extract_all(wkt, ring, 2), points_of_wkt)
+    return G.polygon(rings, F.transform(F.regexp_extract_all(wkt, ring, 1), lambda head: head == "("))
+
+
 def read_geometry(df: DataFrame, wkt_col: str = "wkt") -> DataFrame:
-    """Geometry rows as `points`; rows without a geometry are dropped."""
-    return df.where(F.col(wkt_col).isNotNull()).withColumn("points", points_of_wkt(F.col(wkt_col))).where(F.size("points") > 0).drop(wkt_col)
+    """Geometry rows as `points` (polygons as one ring); rows without a geometry are dropped."""
+    wkt = F.col(wkt_col)
+    points = F.when(F.upper(wkt).contains("POLYGON"), polygon_of_wkt(wkt)).otherwise(points_of_wkt(wkt))
+    return df.where(wkt.isNotNull()).withColumn("points", points).where(F.size("points") > 0).drop(wkt_col)
 
 
 def path_list(text: Column) -> Column:
