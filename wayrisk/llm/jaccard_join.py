@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import Scratch, shared_table
+from wayrisk.llm.shared import Scratch, shared_table, small_batches
 
 FREQUENT = 16  # a token is frequent from this count on, or from a higher one that leaves at most MOST_FREQUENT
 MOST_FREQUENT = 1 << 21  # which are broadcast, 8 bytes each
@@ -158,7 +158,8 @@ def _sets(n: int):
     """(id, text) to (id, size, hi, lo, bits, wide), and with some rows a chunk's most common tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, gathered, many, seen = WordHashes(), [], 0, set()
+        hashes, gathered, many, seen, held = WordHashes(), [], 0, set(), None
+        names, longs = ["id", "size", "hi", "lo", "bits", "wide", "tokens", "counts"], pa.list_(pa.int64())
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
 
         def common() -> tuple[np.ndarray, np.ndarray]:
@@ -188,12 +189,18 @@ def _sets(n: int):
                     got, many = common(), 0
                 tokens.append(got[0])
                 counts.append(got[1])
-            if b.num_rows:
-                # The rest of the batch is a chunk too.
-                got, many = common(), 0
-                tokens[-1], counts[-1] = np.concatenate([tokens[-1], got[0]]), np.concatenate([counts[-1], got[1]])
-            longs = pa.list_(pa.int64())
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in kind], pa.int64()), pa.array([k[1] for k in kind], pa.int64()), *(pa.array(x, longs) for x in (bits, wide, tokens, counts))], ["id", "size", "hi", "lo", "bits", "wide", "tokens", "counts"])
+            if not b.num_rows:
+                continue
+            # The last batch is held back, as the rest of the partition is a chunk too.
+            if held:
+                yield pa.record_batch([*held[0], *(pa.array(x, longs) for x in held[1:])], names)
+            plain = [b.column(0), pa.array(size, pa.int32()), pa.array([k[0] for k in kind], pa.int64()), pa.array([k[1] for k in kind], pa.int64()), pa.array(bits, longs), pa.array(wide, longs)]
+            held = plain, tokens, counts
+        if held:
+            plain, tokens, counts = held
+            got = common()
+            tokens[-1], counts[-1] = np.concatenate([tokens[-1], got[0]]), np.concatenate([counts[-1], got[1]])
+            yield pa.record_batch([*plain, pa.array(tokens, longs), pa.array(counts, longs)], names)
 
     return run
 
@@ -365,6 +372,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     sets = shared_table(given.mapInArrow(_sets(n), f"id {id_type}, size int, hi long, lo long, bits array<long>, wide array<long>, tokens array<long>, counts array<long>"), "sets")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import shared_table
+from wayrisk.llm.shared import shared_table, small_batches
 from wayrisk.llm.token_counts import safe_pattern
 
 MEMO_ENTRIES = 200_000
@@ -187,6 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
     two runs of bins for each length, and as many placements as these hold pieces).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = shared_table(token_pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     placed = sorted(place(counts, capacity))

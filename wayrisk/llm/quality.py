@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import shared_table
+from wayrisk.llm.shared import shared_table, small_batches
 
 GRAMS = 2048
 SHAPES = 10
@@ -101,6 +101,7 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48, shape_weight: float = 0.5, neighbours: int = 15, sharpness: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """Learn from at most `sample` labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "label", "text")
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48,
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the column `name` added (or put in place of one so called)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumn(name, F.lit(0.0)).schema
     at, kept = docs.columns.index(text_col), [i for i, c in enumerate(docs.columns) if c != name]

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, or set as Spark's checkpoint folder."""
@@ -15,6 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most BATCH_ROWS texts at once, for the rest of the session, unless it already has a lower bound.
+
+    A batch lies in memory several times, in the executor and in its workers;
+    Spark's own bound is 10,000 rows however long they are. Plans read the
+    setting when they are made, which is after an operator has returned.
+    """
+    now = int(spark.conf.get(BATCH_KEY))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def _written(df: DataFrame, label: str) -> tuple[DataFrame, object]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
