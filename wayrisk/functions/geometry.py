@@ -40,6 +40,12 @@ def _length(s: Column) -> Column:
     return distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
 
 
+def running_lengths(segments: Column) -> Column:
+    """How far along the line each of its segments begins."""
+    step = lambda acc, s: F.struct((acc["at"] + _length(s)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(segments, F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("out")), step, lambda a: a["out"])
+
+
 def line_length(points: Column) -> Column:
     """Planar length."""
     return F.aggregate(_segments(points), F.lit(0.0), lambda t, s: t + _length(s))
@@ -177,8 +183,8 @@ def cut_at(xy: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
 
 @F.pandas_udf(T.ArrayType(LINE))
 def split_line(points: pd.Series, stops: pd.Series) -> pd.Series:
-    """The pieces of a line between the given distances along it."""
-    return pd.Series([[_rows(q) for q in cut_at(_xy(p), np.asarray(s if s is not None else [], float))] for p, s in zip(points, stops, strict=True)])
+    """The pieces of a line between the given distances along it; null for a null line."""
+    return pd.Series([None if p is None else [_rows(q) for q in cut_at(_xy(p), np.asarray(s if s is not None else [], float))] for p, s in zip(points, stops, strict=True)])
 
 
 def add_vertex(points: Column, x: Column, y: Column) -> Column:
@@ -218,8 +224,8 @@ def merge_chain(parts: list[np.ndarray]) -> list[np.ndarray]:
 
 @F.pandas_udf(T.ArrayType(LINE))
 def merge_parts(parts: pd.Series) -> pd.Series:
-    """Touching parts of a multi-part line as one."""
-    return pd.Series([[_rows(q) for q in merge_chain([_xy(p) for p in m])] for m in parts])
+    """Touching parts of a multi-part line as one; null for null, and null parts are none."""
+    return pd.Series([None if m is None else [_rows(q) for q in merge_chain([_xy(p) for p in m if p is not None])] for m in parts])
 
 
 def in_polygon(ring: Column, x: Column, y: Column) -> Column:
@@ -404,18 +410,47 @@ def from_utm(x: Column, y: Column, zone: int = 20, south: bool = True) -> Column
     return point(F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (6 * zone - 183), F.degrees(phi))
 
 
-def sub_points(ring: Column, n: int) -> Column:
-    """An n x n lattice of points in a ring's bounding box; those inside share the ring's value, so that its
-    nearest-node shares come near to those of Voronoi cells."""
-    b = bounds(ring)
-    ks = F.sequence(F.lit(0), F.lit(n * n - 1))
-    grid = F.transform(ks, lambda k: point(b["x0"] + (b["x1"] - b["x0"]) * (k % n + 0.5) / n, b["y0"] + (b["y1"] - b["y0"]) * (F.floor(k / n) + 0.5) / n))
-    return F.filter(grid, lambda p: in_polygon(ring, p["x"], p["y"]))
+def nearer(ring: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The part of an open convex ring that is nearer to `own` than to `other`."""
+    d = (ring - (own + other) / 2) @ (own - other)
+    if (d >= 0).all():
+        return ring
+    after = np.roll(d, -1)
+    out = []
+    for i in range(len(ring)):
+        if d[i] >= 0:
+            out.append(ring[i])
+        if d[i] * after[i] < 0:
+            out.append(ring[i] + d[i] / (d[i] - after[i]) * (ring[(i + 1) % len(ring)] - ring[i]))
+    return np.array(out).reshape(-1, 2)
 
 
-def sub_line(points: Column, along: Column, length: Column) -> Column:
-    """The part of a line within half a length of a distance along it, clamped to the line's ends."""
-    lo, hi = F.greatest(F.lit(0.0), along - length / 2), F.least(line_length(points), along + length / 2)
+def cells_in_tile(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The tile's parts of the Voronoi cells of its candidate nodes.
+
+    A node's part is cut by the bisectors to the others, nearest first, until
+    the next one lies beyond its farthest corner.
+    """
+    first = nodes.iloc[0]
+    size = float(first["size"])
+    x0, y0 = float(first["tx"]) * size, float(first["ty"]) * size
+    tile = np.array([(x0, y0), (x0 + size, y0), (x0 + size, y0 + size), (x0, y0 + size)])
+    nodes = nodes.sort_values("node_id")
+    xy, rows = nodes[["x", "y"]].to_numpy(float), []
+    for i, own in enumerate(xy):
+        away = np.hypot(*(xy - own).T)
+        ring = tile
+        for j in np.argsort(away, kind="stable")[1:]:
+            if not len(ring) or away[j] / 2 > np.hypot(*(ring - own).T).max():
+                break
+            ring = nearer(ring, own, xy[j])
+        if len(ring) > 2:
+            rows.append((int(first["level"]), int(first["tx"]), int(first["ty"]), nodes["node_id"].iloc[i], [{"x": x, "y": y} for x, y in np.vstack([ring, ring[:1]]).tolist()]))
+    return pd.DataFrame(rows, columns=["level", "tx", "ty", "node_id", "ring"])
+
+
+def line_between(points: Column, lo: Column, hi: Column) -> Column:
+    """The part of a line between two distances along it."""
 
     def step(acc, s):
         at = acc["at"] + _length(s)
@@ -425,6 +460,11 @@ def sub_line(points: Column, along: Column, length: Column) -> Column:
     return F.concat(F.array(interpolate(points, lo)), inner, F.array(interpolate(points, hi)))
 
 
+def sub_line(points: Column, along: Column, length: Column) -> Column:
+    """The part of a line within half a length of a distance along it, clamped to the line's ends."""
+    return line_between(points, F.greatest(F.lit(0.0), along - length / 2), F.least(line_length(points), along + length / 2))
+
+
 def band_cells(cells: DataFrame, bands: list[tuple[float, float, str]]) -> DataFrame:
     """Cells with their band's label; cells in no band go. bands: (lo, hi, label), lo <= value < hi."""
     label = F.lit(None).cast("string")

@@ -1,18 +1,22 @@
 """Lookups by rule order, range and name (survey rows J6-J11, J26-J29, W8).
 
 Where file order decides elsewhere, an explicit `seq` column of the lookup
-decides here. Lookups are a few rows beside the facts, so Spark broadcasts
-them when they are; no plan depends on it.
+decides here. Lookups that are a few rows are broadcast by Spark, or behind a
+check of their size; no plan depends on it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions.columns import normal_name
+from wayrisk.operators.ordered import as_of
+from wayrisk.operators.spatial import nearest_k
+
+MOST_STEPS = 10_000  # of a table that each row searches
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -42,8 +46,14 @@ def first_in_range(edges: DataFrame, lookup: DataFrame, key: str, lo: str, hi: s
 
 
 def floor_lookup(df: DataFrame, x: str, steps: DataFrame, at: str, values: list[str]) -> DataFrame:
-    """Values of the largest step at or below x; below the first step null. steps is sorted into one array, so a row needs no join."""
-    table = steps.agg(F.sort_array(F.collect_list(F.struct(at, *values))).alias("_steps"))
+    """Values of the largest step at or below x; below the first step null.
+
+    Up to MOST_STEPS steps are one sorted array that each row searches; more are
+    met in range partitions, where neither side is held in one place.
+    """
+    if steps.limit(MOST_STEPS + 1).count() > MOST_STEPS:
+        return as_of(df, x, steps, at, values)
+    table = steps.where(F.col(at).isNotNull()).agg(F.sort_array(F.collect_list(F.struct(at, *values))).alias("_steps"))
     found = F.element_at(F.filter("_steps", lambda s: s[at] <= F.col(x)), -1)
     out = df.join(F.broadcast(table)).withColumn("_s", F.when(F.exists("_steps", lambda s: s[at] <= F.col(x)), found))
     return out.select(*df.columns, *(F.col("_s")[v].alias(v) for v in values))
@@ -55,42 +65,146 @@ def surface_cost(surface: Column, earth: Column, gravel: Column, paved: Column)
     return F.when(s.isin("tierra", "de tierra"), earth).when(s.isin("ripio", "consolidado"), gravel).otherwise(paved)
 
 
-def first_rule(df: DataFrame, id_col: str, rules: DataFrame, fits: Column, values: list[str], default: float = 0.0, seq: str = "seq") -> DataFrame:
-    """Values of the first rule for which `fits` holds, else the default. The rules are a small broadcast table."""
-    hits = df.alias("f").join(F.broadcast(rules.alias("r")), fits)
-    best = hits.groupBy(F.col(f"f.{id_col}").alias(id_col)).agg(F.min_by(F.struct(*(F.col(f"r.{v}").alias(v) for v in values)), F.col(f"r.{seq}")).alias("_v"))
-    return df.join(best.select(id_col, "_v.*"), id_col, "left").fillna(default, subset=values)
+def first_rule(df: DataFrame, id_col: str, rules: DataFrame, ways: Sequence[Sequence[tuple[str, str]]], values: list[str], default: float = 0.0, seq: str = "seq") -> DataFrame:
+    """Values of the first rule that fits in any of several ways, else the default. A way is pairs of equal columns (row's, rule's), so each is a hash join."""
+    first = F.struct(seq, *values)
+    best = None
+    for way in ways:
+        own = rules.groupBy(*(F.col(r).alias(f"_{i}") for i, (_, r) in enumerate(way))).agg(F.min(first).alias("_v"))
+        keyed = df.select(id_col, *(F.col(c).alias(f"_{i}") for i, (c, _) in enumerate(way)))
+        hits = keyed.join(own, [f"_{i}" for i in range(len(way))]).select(id_col, "_v")
+        best = hits if best is None else best.unionByName(hits)
+    best = best.groupBy(id_col).agg(F.min("_v").alias("_v")).select(id_col, *(F.col(f"_v.{v}").alias(v) for v in values))
+    return df.join(best, id_col, "left").fillna(default, subset=values)
 
 
-def mode_pair_fits() -> Column:
-    """Either order of the link's modes, or its port type with the mode it leads to."""
-    one, other = F.col("r.one_mode"), F.col("r.other_mode")
-    port, start, end = F.col("f.port_type"), F.col("f.from_mode"), F.col("f.to_mode")
-    return ((one == port) & (other == end)) | ((one == end) & (other == start)) | ((one == end) & (other == port)) | ((one == start) & (other == end))
+#: Either order of the link's modes, or its port type with the mode it leads to.
+MODE_PAIRS = [
+    [("port_type", "one_mode"), ("to_mode", "other_mode")],
+    [("to_mode", "one_mode"), ("from_mode", "other_mode")],
+    [("to_mode", "one_mode"), ("port_type", "other_mode")],
+    [("from_mode", "one_mode"), ("to_mode", "other_mode")],
+]
 
 
-def cascade(records: DataFrame, id_col: str, candidates: DataFrame, levels: Sequence[tuple[list[tuple[str, str]], Callable[[], Column] | None]], value: str) -> DataFrame:
-    """Candidates of the first level that has any.
+def contained(texts: DataFrame, text_id: str, text: str, names: DataFrame, name_id: str, name: str, q: int = 3) -> DataFrame:
+    """(text_id, name_id) of all texts that contain a name, by an inverted index of q-grams.
 
-    levels: pairs of equal columns (record's, candidate's) and an optional
-    further condition on record r and candidate c. Each level joins only the
-    records that no earlier level has matched; equal columns make it a hash
-    join, and a level without them meets a broadcast candidate table.
+    A name is looked up by the one of its q-grams that the fewest texts have,
+    and the hits are verified. Shorter names are grams themselves; the empty
+    name is in every text. Null texts and names meet nothing.
+    """
+    t = texts.where(F.col(text).isNotNull()).select(F.col(text_id).alias("_tid"), F.col(text).alias("_text"))
+    n = names.where(F.col(name).isNotNull()).select(F.col(name_id).alias("_nid"), F.col(name).alias("_name"))
+    grams = lambda c, size: F.array_distinct(F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>")))
+    sizes = [r[0] for r in n.select(F.least(F.length("_name"), F.lit(q))).distinct().collect()]  # 0 to q
+    of_text = lambda size: F.array(F.lit("")) if size == 0 else grams(F.col("_text"), size)
+    index = t.select("_tid", F.explode(F.flatten(F.array(*(of_text(s) for s in sizes)))).alias("_gram")) if sizes else t.select("_tid", F.lit("").alias("_gram")).limit(0)
+    own = n.select("_nid", "_name", F.explode(F.when(F.length("_name") == 0, F.array(F.lit(""))).otherwise(grams(F.col("_name"), F.least(F.length("_name"), F.lit(q))))).alias("_gram"))
+    asked = own.select("_gram").distinct()
+    often = index.join(asked, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    # A gram that no text has rules its name out: the inner join below finds nothing for it.
+    rarest = own.join(often, "_gram", "left").groupBy("_nid", "_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_g")).select("_nid", "_name", F.col("_g._gram").alias("_gram"))
+    hits = index.join(rarest, "_gram").join(t, "_tid").where(F.col("_text").contains(F.col("_name")))
+    return hits.select(F.col("_tid").alias(text_id), F.col("_nid").alias(name_id)).distinct()
+
+
+def first_contained(df: DataFrame, id_col: str, text: str, rules: DataFrame, name: str, values: list[str], default: float = 0.0, seq: str = "seq") -> DataFrame:
+    """Values of the first rule whose name is a part of the text, else the default."""
+    found = contained(df, id_col, text, rules, seq, name).join(rules.select(seq, *values), seq)
+    best = found.groupBy(id_col).agg(F.min(F.struct(seq, *values)).alias("_v")).select(id_col, *(F.col(f"_v.{v}").alias(v) for v in values))
+    return df.join(best, id_col, "left").fillna(default, subset=values)
+
+
+INSIDE, AROUND, EITHER = "inside", "around", "either"  # the record's text in the candidate's, the other way round, or one of both
+
+
+def likenesses(records: DataFrame, record: str, own: str, candidates: DataFrame, candidate: str, other: str, how: str) -> DataFrame:
+    """(record, candidate) pairs whose texts contain one another."""
+    parts = []
+    if how in (INSIDE, EITHER):
+        parts.append(contained(candidates, candidate, other, records, record, own).select(record, candidate))
+    if how in (AROUND, EITHER):
+        parts.append(contained(records, record, own, candidates, candidate, other).select(record, candidate))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
+
+
+def cascade(records: DataFrame, id_col: str, candidates: DataFrame, levels: Sequence[tuple[list[tuple[str, str]], tuple[str, str, str] | None]], value: str) -> DataFrame:
+    """Candidates of the first level that has any.
+
+    levels: pairs of equal columns (record's, candidate's), and a likeness: the
+    record's text column, the candidate's, and INSIDE, AROUND or EITHER. Each
+    level takes the records that no earlier one has matched. Equal columns make
+    it a hash join, likenesses an index of q-grams.
     """
     left, found = records, None
-    for rank, (equal, more) in enumerate(levels, 1):
-        c = candidates.alias("c") if equal else F.broadcast(candidates).alias("c")
-        on = [F.col(f"r.{a}") == F.col(f"c.{b}") for a, b in equal] + ([more()] if more else [])
-        hold = on[0]
-        for o in on[1:]:
-            hold = hold & o
-        hits = left.alias("r").join(c, hold).select(F.col(f"r.{id_col}").alias(id_col), F.col(f"c.{value}").alias(value), F.lit(rank).alias("level")).distinct()
-        found = hits if found is None else found.unionByName(hits)
+    for rank, (equal, like) in enumerate(levels, 1):
+        c = candidates.select(F.col(value).alias("_value"), *(F.col(b).alias(f"_{i}") for i, (_, b) in enumerate(equal)))
+        mine = left.select(id_col, *(F.col(a).alias(f"_{i}") for i, (a, _) in enumerate(equal)))
+        keys = [f"_{i}" for i in range(len(equal))]
+        if like is None:
+            hits = mine.join(c, keys).select(id_col, "_value").distinct()
+        else:
+            # Equal texts are looked up once; their records and candidates follow.
+            texts = left.select(F.col(like[0]).alias("_own")).distinct().withColumn("_r", F.col("_own"))
+            others = candidates.select(F.col(like[1]).alias("_other")).distinct().withColumn("_c", F.col("_other"))
+            alike = likenesses(texts, "_r", "_own", others, "_c", "_other", like[2])
+            mine = left.select(id_col, F.col(like[0]).alias("_r"), *(F.col(a).alias(f"_{i}") for i, (a, _) in enumerate(equal)))
+            c = candidates.select(F.col(value).alias("_value"), F.col(like[1]).alias("_c"), *(F.col(b).alias(f"_{i}") for i, (_, b) in enumerate(equal)))
+            hits = mine.join(alike, "_r").join(c, ["_c", *keys]).select(id_col, "_value").distinct()
+        hits = hits.select(id_col, F.col("_value").alias(value), F.lit(rank).alias("level"))
         if rank < len(levels):
-            left = left.join(hits.select(id_col).distinct(), id_col, "left_anti")
+            hits = hits.checkpoint()
+            left = left.join(hits.select(id_col).distinct(), id_col, "left_anti").checkpoint()
+        found = hits if found is None else found.unionByName(hits)
     return found
 
 
+#: Port names that name no port, and the words that stand for any.
+NO_PORT, ANY = ("rada", "rada exterior", "transito"), ("all", "other")
+
+
+def port_cascade(records: DataFrame, nodes: DataFrame, renames: DataFrame, countries: DataFrame) -> DataFrame:
+    """(record, node, named, level): the nodes of each record's port.
+
+    records: record, reference (the port that reports), named (the port named),
+    commodity_group, country; nodes: node, name; renames: od_port,
+    commodity_group, port, seq; countries: port_name, country, node, seq.
+    The named port is renamed by the first of: its rename for the commodity
+    group, its rename for any group, its node among the countries' ports, its
+    country's node for any port. Nodes are those whose name holds the reference
+    (level 1, if the named port and the reference hold one another, or for the
+    node that is named itself), else those whose name and the named port hold
+    one another (level 2), else again those that hold the reference (level 3).
+    Names count without regard to case, accents and outer blanks.
+    """
+    plain = lambda c: normal_name(F.col(c))
+    r = records.select("record", plain("reference").alias("ref"), F.when(plain("named").isin(*NO_PORT), F.lit("Unknown")).otherwise(F.col("named")).alias("named"), plain("commodity_group").alias("grp"), plain("country").alias("land"))
+    r = r.withColumn("key", plain("named"))
+    to = renames.select(plain("od_port").alias("key"), plain("commodity_group").alias("grp"), "port", "seq")
+    lands = countries.select(plain("port_name").alias("key"), plain("country").alias("land"), "node", "seq")
+    first = lambda df, keys, c, name: df.groupBy(*keys).agg(F.min_by(c, "seq").alias(name))
+    r = r.join(first(to, ["key", "grp"], "port", "_1"), ["key", "grp"], "left")
+    r = r.join(first(to.where(F.col("grp").isin(*ANY)), ["key"], "port", "_2"), "key", "left")
+    r = r.join(first(lands, ["key"], "node", "_3"), "key", "left")
+    r = r.join(first(lands.where(F.col("key").isin(*ANY)), ["land"], "node", "_4"), "land", "left")
+    r = r.withColumn("named", F.coalesce("_1", "_2", "_3", "_4", "named")).select("record", "ref", "named", plain("named").alias("key")).checkpoint()
+    n = nodes.select("node", plain("name").alias("name")).checkpoint()
+
+    refs = r.select("ref").distinct().withColumn("_r", F.col("ref"))
+    names = n.select("name").distinct().withColumn("_c", F.col("name"))
+    holds = contained(names, "_c", "name", refs, "_r", "ref").select(F.col("_r").alias("ref"), F.col("_c").alias("name")).checkpoint()
+    at_ref = r.join(holds, "ref").join(n, "name").select("record", "ref", "named", "key", "node")
+    mutual = F.col("ref").contains(F.col("key")) | F.col("key").contains(F.col("ref"))
+    one = at_ref.where(mutual | (F.col("named") == F.col("node"))).select("record", "node", "named", F.lit(1).alias("level")).distinct().checkpoint()
+    left = r.join(one.select("record").distinct(), "record", "left_anti").checkpoint()
+    keys = left.select("key").distinct().withColumn("_r", F.col("key"))
+    alike = likenesses(keys, "_r", "key", names, "_c", "name", EITHER).select(F.col("_r").alias("key"), F.col("_c").alias("name"))
+    two = left.join(alike, "key").join(n, "name").select("record", "node", "named").unionByName(left.join(n, F.col("named") == F.col("node")).select("record", "node", "named")).distinct().withColumn("level", F.lit(2)).checkpoint()
+    last = left.join(two.select("record").distinct(), "record", "left_anti").join(holds, "ref").join(n, "name")
+    return one.unionByName(two).unionByName(last.select("record", "node", "named", F.lit(3).alias("level")).distinct())
+
+
 def pair_in_order(records: DataFrame, places: DataFrame, route: str, by: str, distance: str) -> DataFrame:
     """The k-th record of a route (by start) with its k-th place (by distance), on routes where their numbers agree."""
     w = Window.partitionBy(route)
@@ -109,8 +223,10 @@ def nearer_direction(forward: DataFrame, backward: DataFrame, route: str, by: st
     return forward.withColumn("_way", F.lit(True)).unionByName(backward.withColumn("_way", F.lit(False))).join(best, route).where("_way = _fwd").drop("_way", "_fwd")
 
 
-def marker_reading(points: DataFrame, markers: DataFrame, route: str, distance: Column) -> DataFrame:
-    """Of the two markers of the route nearest to a point, the smaller reading plus its distance in km."""
-    near = points.join(markers, route).withColumn("_d", distance)
-    first = near.withColumn("_k", F.row_number().over(Window.partitionBy("point_id").orderBy("_d", "marker_id"))).where("_k <= 2")
-    return first.groupBy("point_id").agg(F.min_by(F.col("reading") + F.col("_d") / 1000, F.struct("reading", "_k")).alias("reading_km"))
+def marker_reading(points: DataFrame, markers: DataFrame, route: str, cell: float) -> DataFrame:
+    """Of the two markers of the route nearest to a point, the smaller reading plus its distance in km.
+
+    points: point_id, x, y, the route; markers: marker_id, x, y, reading, the route. Points of a route without markers are left out.
+    """
+    near = nearest_k(points, markers, 2, cell, "point_id", "marker_id", route).join(markers.select("marker_id", "reading"), "marker_id")
+    return near.groupBy("point_id").agg(F.min_by(F.col("reading") + F.col("distance") / 1000, F.struct("reading", "k")).alias("reading_km"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions import geometry as G
-from wayrisk.operators.spatial import nearest_line, nearest_node, tile_pairs, within_reach
+from wayrisk.operators.spatial import nearest_line, nearest_node, segments_of, tile_pairs, with_crossed_tiles, within_reach
 
 
 def with_ids(df: DataFrame, name: str, prefix: str, parts: int, *order: str) -> DataFrame:
@@ -55,35 +55,63 @@ def split_at_nodes(edges: DataFrame, nodes: DataFrame, tile: float, tolerance: f
     return cut.unionByName(whole.select(*cut.columns))
 
 
-def link_nodes(nodes: DataFrame, edges: DataFrame, tile: float, d: float, condition: Column | None = None, nearest_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """New nodes on all edges within d of a node (or on the nearest edge), and straight links to them.
+def link_nodes(nodes: DataFrame, edges: DataFrame, tile: float, d: float, condition: Column | None = None, nearest_only: bool = False, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New nodes on all edges within d of a node (or on the nearest one), the edges cut there, and straight links.
 
+    nodes: node_id, x, y; edges: edge_id, from_node, to_node, points. Returned
+    are the new nodes, the pieces of all edges with their ends, and the links.
+    A node that lies on an edge gets no link to it, but cuts it. A link to an
+    edge's end leads to its end node; of several new nodes at one place one is
+    made, and none where there is a node already. Pieces of an edge that is
+    cut are named by its id and their number.
     condition: a further predicate over n (nodes) and e (edges), as another road type.
     """
     p = nodes.select(F.col("node_id").alias("point_id"), "x", "y")
-    near = nearest_line(p, edges, tile, d).select("point_id", "edge_id", "along") if nearest_only else within_reach(p, edges, tile, d).select("point_id", "edge_id", "along")
+    cols = ["point_id", "edge_id", "distance", "along", "px", "py"]
+    near = (nearest_line(p, edges, tile, d) if nearest_only else within_reach(p, edges, tile, d)).select(*cols)
     full = near.join(nodes.alias("n"), F.col("point_id") == F.col("n.node_id")).join(edges.alias("e"), "edge_id")
     full = full.where(condition) if condition is not None else full
-    at = full.select("point_id", "edge_id", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), G.interpolate(F.col("e.points"), F.col("along")).alias("p"))
-    new = at.select(F.concat_ws("_", F.lit("link"), "point_id", "edge_id").alias("node_id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), "edge_id")
-    links = at.select(F.concat_ws("_", F.lit("link"), "point_id", "edge_id").alias("to_node"), F.col("point_id").alias("from_node"), F.array(G.point(F.col("nx"), F.col("ny")), F.col("p")).alias("points"))
-    return new, links
+    size = G.line_length(F.col("e.points"))
+    end = F.when(F.col("along") <= tolerance, F.col("e.from_node")).when(F.col("along") >= size - tolerance, F.col("e.to_node")).cast("string")
+    at = full.select(*cols, F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), end.alias("end")).where(F.col("distance") > tolerance).checkpoint()
+    inner = at.where("end is null")
+    there = nodes.groupBy(F.col("x").alias("px"), F.col("y").alias("py")).agg(F.min(F.col("node_id").cast("string")).alias("there"))
+    name = F.concat_ws("_", F.lit("link"), "point_id", "edge_id")
+    places = inner.groupBy("px", "py").agg(F.min(name).alias("made")).join(there, ["px", "py"], "left").checkpoint()
+    new = places.where("there is null").select(F.col("made").alias("node_id"), F.col("px").alias("x"), F.col("py").alias("y"))
+    to = at.join(places, ["px", "py"], "left").withColumn("to_node", F.coalesce("end", "there", "made")).where(F.col("to_node") != F.col("point_id").cast("string"))
+    links = to.groupBy(F.col("point_id").cast("string").alias("from_node"), "to_node").agg(F.min(F.struct(name.alias("edge_id"), F.array(G.point(F.col("nx"), F.col("ny")), G.point(F.col("px"), F.col("py"))).alias("points"))).alias("l"))
+    links = links.select("l.edge_id", "from_node", "to_node", "l.points")
+
+    on = within_reach(p, edges, tile, tolerance).select("edge_id", F.col("point_id").cast("string").alias("node"), "along")
+    stops = to.where("end is null").select("edge_id", F.col("to_node").alias("node"), "along").unionByName(on).groupBy("edge_id", "node").agg(F.min("along").alias("along"))
+    whole = edges.select("edge_id", F.col("from_node").cast("string").alias("from_node"), F.col("to_node").cast("string").alias("to_node"), "points", G.line_length(F.col("points")).alias("_size"))
+    ends = whole.select("edge_id", "_size", F.explode(F.array(F.struct(F.lit(0.0).alias("along"), F.col("from_node").alias("node")), F.struct(F.col("_size").alias("along"), F.col("to_node").alias("node")))).alias("s")).select("edge_id", "_size", "s.*")
+    within = stops.join(whole.select("edge_id", "_size"), "edge_id").where((F.col("along") > tolerance) & (F.col("along") < F.col("_size") - tolerance))
+    cuts = ends.unionByName(within.select(*ends.columns))
+    by = Window.partitionBy("edge_id").orderBy("along", "node")
+    cuts = cuts.withColumns({"part": F.row_number().over(by), "hi": F.lead("along").over(by), "to": F.lead("node").over(by), "n": F.count("*").over(Window.partitionBy("edge_id"))}).where("hi is not null")
+    rest = [c for c in edges.columns if c not in ("edge_id", "from_node", "to_node", "points")]
+    pieces = cuts.select("edge_id", "part", "n", F.col("along").alias("lo"), "hi", F.col("node").alias("from_node"), F.col("to").alias("to_node")).join(edges.select("edge_id", "points", *rest), "edge_id")
+    one = F.col("n") == 2
+    pieces = pieces.select(F.when(one, F.col("edge_id").cast("string")).otherwise(F.concat_ws("_", "edge_id", "part")).alias("edge_id"), "from_node", "to_node", F.when(one, F.col("points")).otherwise(G.line_between(F.col("points"), F.col("lo"), F.col("hi"))).alias("points"), *rest)
+    return new, pieces, links
 
 
 def crossings(edges: DataFrame, tile: float) -> DataFrame:
-    """Points where two edges cross: (a, b, x, y), a < b. Pairs come from shared tiles; segments are crossed in the JVM."""
-    box = G.bounds(F.col("points"))
-    pairs = tile_pairs(edges.select(F.col("edge_id").alias("a"), "points"), "a", box, edges.select(F.col("edge_id").alias("b"), "points"), "b", box, tile).where("a < b")
-    full = pairs.join(edges.select(F.col("edge_id").alias("a"), F.col("points").alias("_a")), "a").join(edges.select(F.col("edge_id").alias("b"), F.col("points").alias("_b")), "b")
-    full = full.select("a", "b", F.explode(G._segments(F.col("_a"))).alias("s"), "_b").select("a", "b", "s", F.explode(G._segments(F.col("_b"))).alias("t"))
-    dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
-    ex, ey = F.col("t.b.x") - F.col("t.a.x"), F.col("t.b.y") - F.col("t.a.y")
+    """Points where two edges cross: (a, b, x, y), a < b. Segments meet in the tiles that both cross; equal points are one row."""
+    seg = with_crossed_tiles(segments_of(edges), tile)
+    s = seg.select(F.col("edge_id").alias("a"), "tx", "ty", *(F.col(c).alias(f"s{c}") for c in ("ax", "ay", "bx", "by")))
+    t = seg.select(F.col("edge_id").alias("b"), "tx", "ty", *(F.col(c).alias(f"t{c}") for c in ("ax", "ay", "bx", "by")))
+    full = s.join(t, ["tx", "ty"]).where("a < b")
+    dx, dy = F.col("sbx") - F.col("sax"), F.col("sby") - F.col("say")
+    ex, ey = F.col("tbx") - F.col("tax"), F.col("tby") - F.col("tay")
     det = dx * ey - dy * ex
-    wx, wy = F.col("t.a.x") - F.col("s.a.x"), F.col("t.a.y") - F.col("s.a.y")
+    wx, wy = F.col("tax") - F.col("sax"), F.col("tay") - F.col("say")
     flat = 1e-9 * (F.abs(dx) + F.abs(dy)) * (F.abs(ex) + F.abs(ey))  # parallel, but for rounding
     full = full.withColumn("_det", det).where(F.abs("_det") > flat).withColumns({"_u": (wx * ey - wy * ex) / F.col("_det"), "_v": (wx * dy - wy * dx) / F.col("_det")})
     hit = full.where(F.col("_u").between(0, 1) & F.col("_v").between(0, 1))
-    return hit.select("a", "b", (F.col("s.a.x") + F.col("_u") * dx).alias("x"), (F.col("s.a.y") + F.col("_u") * dy).alias("y")).distinct()
+    return hit.select("a", "b", (F.col("sax") + F.col("_u") * dx).alias("x"), (F.col("say") + F.col("_u") * dy).alias("y")).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:

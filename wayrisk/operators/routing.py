@@ -1,10 +1,9 @@
 """Paths, flows and failures (survey rows N13-N19, N21-N25, A9-A11).
 
-Two engines find least-cost paths. `shortest_paths` runs Dijkstra's method in
-tasks, one origin at a time, over a graph that is broadcast behind a check of
-its size. `relaxed_costs` needs no broadcast: it relaxes a frontier by joins,
-for graphs beyond that size. Graphs are undirected; ties go to the smaller
-edge id.
+Two engines find least-cost paths, and both give the same rows. Up to MOST_EDGES
+edges a graph is broadcast and Dijkstra's method runs in tasks, one origin at a
+time; beyond, `relaxation` grows the trees by joins. Graphs are undirected; ties
+go to the path with fewer edges, then to the smaller edge id (as text).
 """
 
 from __future__ import annotations
@@ -15,17 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayrisk.functions.columns import order_all_pairs
+from wayrisk.operators import relaxation
 from wayrisk.operators.joins import left_fill
 
 MOST_EDGES = 2_000_000  # of a broadcast graph: about 100 MB
 
 
 class Graph:
-    """Adjacency arrays of an undirected multigraph."""
+    """Adjacency arrays of an undirected multigraph; edges are numbered in the order of their ids."""
 
     lists = None
 
@@ -34,12 +34,14 @@ class Graph:
         self.index = {n: i for i, n in enumerate(nodes.tolist())}
 
     @classmethod
-    def of(cls, edges: DataFrame, cost: str, sums: tuple[str, ...] = ()) -> Graph:
-        """sums: further edge attributes to be summed along paths."""
-        rows = edges.select(F.col("from_node").cast("string"), F.col("to_node").cast("string"), F.col("edge_id").cast("string"), F.col(cost).cast("double").alias("cost"), *(F.col(s).cast("double").alias(f"sum_{s}") for s in sums)).limit(MOST_EDGES + 1).toPandas()
-        if len(rows) > MOST_EDGES:
-            raise ValueError(f"more than {MOST_EDGES} edges; use relaxed_costs")
-        rows = rows.sort_values("edge_id", kind="stable")
+    def of(cls, edges: DataFrame, cost: str, sums: tuple[str, ...] = ()) -> Graph | None:
+        """None above MOST_EDGES edges. sums: further edge attributes to be summed along paths."""
+        rows = edges.select(F.col("from_node").cast("string"), F.col("to_node").cast("string"), F.col("edge_id").cast("string"), F.col(cost).cast("double").alias("cost"), *(F.col(s).cast("double").alias(f"sum_{s}") for s in sums))
+        if edges.select("edge_id").limit(MOST_EDGES + 1).count() > MOST_EDGES:
+            return None
+        rows = rows.toPandas().sort_values("edge_id", kind="stable")
+        if (rows.cost < 0).any():
+            raise ValueError("negative costs")
         nodes, ends = np.unique(np.concatenate([rows.from_node.to_numpy(str), rows.to_node.to_numpy(str)]), return_inverse=True)
         a, b = ends[: len(rows)], ends[len(rows) :]
         start, to, edge, cost_ = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(len(rows)), 2), np.tile(rows.cost.to_numpy(), 2)
@@ -47,41 +49,142 @@ class Graph:
         at = np.searchsorted(start[order], np.arange(len(nodes) + 1))
         graph = cls(nodes, at, to[order], edge[order], cost_[order])
         graph.ids = rows.edge_id.to_numpy(str)
+        graph.number = {e: i for i, e in enumerate(graph.ids.tolist())}
         graph.sums = {s: rows[f"sum_{s}"].to_numpy() for s in sums}
         return graph
 
-    def tree(self, origin: int, without: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Costs from origin, and the edge and node before each node; edges in `without` are closed."""
-        n = len(self.nodes)
-        cost, by, before = [math.inf] * n, [-1] * n, [-1] * n
-        cost[origin], heap = 0.0, [(0.0, origin)]
+    def _settle(self, heap: list, cost, hops, by, before, inside=None, without: frozenset = frozenset()) -> None:
+        """Dijkstra's loop from what is on the heap, on the nodes `inside` (all if None)."""
         if self.lists is None:  # once a worker: the loop reads lists several times faster than arrays
             self.lists = [x.tolist() for x in (self.at, self.to, self.edge, self.cost)]
         at, to, edge, step = self.lists
         while heap:
-            c, u = heapq.heappop(heap)
-            if c > cost[u]:
+            c, h, u = heapq.heappop(heap)
+            if (c, h) != (cost[u], hops[u]):
                 continue
             for k in range(at[u], at[u + 1]):
                 v, e = to[k], edge[k]
+                if e in without or inside is not None and v not in inside:
+                    continue
                 d = c + step[k]
-                if (d < cost[v] or d == cost[v] and by[v] >= 0 and e < by[v]) and e not in without:
-                    if d < cost[v]:
-                        heapq.heappush(heap, (d, v))
-                    cost[v], by[v], before[v] = d, e, u
-        return np.array(cost), np.array(by), np.array(before)
+                if d < cost[v] or d == cost[v] and (h + 1, e) < (hops[v], by[v]):
+                    if (d, h + 1) != (cost[v], hops[v]):
+                        heapq.heappush(heap, (d, h + 1, v))
+                    cost[v], hops[v], by[v], before[v] = d, h + 1, e, u
+
+    def tree(self, origin: int, without: frozenset = frozenset()) -> Tree:
+        """All least paths from origin; edges in `without` are closed."""
+        n = len(self.nodes)
+        cost, hops, by, before = [math.inf] * n, [0] * n, [-1] * n, [-1] * n
+        cost[origin] = 0.0
+        self._settle([(0.0, 0, origin)], cost, hops, by, before, without=without)
+        return Tree(self, cost, hops, by, before)
+
+    def nearest_two(self, origins: list[int]) -> list[list[tuple[float, int]]]:
+        """Of each node the two nearest of the origins, as (cost, rank among the origins); ties go to the one named first."""
+        if self.lists is None:
+            self.lists = [x.tolist() for x in (self.at, self.to, self.edge, self.cost)]
+        at, to, _, step = self.lists
+        found: list[list[tuple[float, int]]] = [[] for _ in range(len(self.nodes))]
+        heap = [(0.0, rank, u) for rank, u in enumerate(origins)]
+        while heap:
+            c, rank, u = heapq.heappop(heap)
+            if len(found[u]) == 2 or found[u] and found[u][0][1] == rank:
+                continue
+            found[u].append((c, rank))
+            for k in range(at[u], at[u + 1]):
+                if len(found[to[k]]) < 2:
+                    heapq.heappush(heap, (c + step[k], rank, to[k]))
+        return found
+
+
+class Tree:
+    """Least paths from one origin; `without` repairs it around closed edges."""
+
+    places = None
 
-    def steps(self, tree, target: int) -> list[int]:
+    def __init__(self, graph: Graph, cost, hops, by, before):
+        self.graph, self.cost, self.hops, self.by, self.before = graph, cost, hops, by, before
+        self.settled = 0  # nodes that repairs have settled anew
+
+    def steps(self, target: int) -> list[int]:
         """Numbers of the path's edges, in order."""
-        _, by, before = tree
         out = []
-        while by[target] >= 0:
-            out.append(by[target])
-            target = before[target]
+        while self.by[target] >= 0:
+            out.append(self.by[target])
+            target = self.before[target]
         return out[::-1]
 
-    def path(self, tree, target: int) -> list[str]:
-        return [self.ids[e] for e in self.steps(tree, target)]
+    def _walk(self) -> None:
+        """Entry and exit numbers of a depth-first walk: a node's subtree is order[entry:exit]."""
+        children: dict[int, list[int]] = {}
+        for v, u in enumerate(self.before):
+            if u >= 0:
+                children.setdefault(u, []).append(v)
+        self.order, self.entry, self.exit = [], {}, {}
+        stack = [(v, False) for v, e in enumerate(self.by) if e < 0 and math.isfinite(self.cost[v])]
+        while stack:
+            v, left = stack.pop()
+            if left:
+                self.exit[v] = len(self.order)
+                continue
+            self.entry[v] = len(self.order)
+            self.order.append(v)
+            stack.append((v, True))
+            stack += [(w, False) for w in children.get(v, ())]
+        self.places = {e: v for v, e in enumerate(self.by) if e >= 0}  # the node that a tree edge leads to
+
+    def without(self, shut: frozenset) -> Tree:
+        """The tree with these edges closed: only nodes below them are settled anew, from their neighbours outside."""
+        if self.places is None:
+            self._walk()
+        inside: set[int] = set()
+        for e in shut:
+            v = self.places.get(e)
+            if v is not None and v not in inside:
+                inside.update(self.order[self.entry[v] : self.exit[v]])
+        if not inside:
+            return self
+        self.settled += len(inside)
+        cost, hops, by, before = (_Patched(x) for x in (self.cost, self.hops, self.by, self.before))
+        for v in inside:
+            cost[v], hops[v], by[v], before[v] = math.inf, 0, -1, -1
+        g, heap = self.graph, []
+        at, to, edge, step = g.lists
+        for v in inside:
+            best = None
+            for k in range(at[v], at[v + 1]):
+                u, e = to[k], edge[k]
+                if u not in inside and e not in shut and math.isfinite(self.cost[u]):
+                    new = (self.cost[u] + step[k], self.hops[u] + 1, e, u)
+                    best = new if best is None or new < best else best
+            if best is not None:
+                cost[v], hops[v], by[v], before[v] = best
+                heap.append((*best[:2], v))
+        heapq.heapify(heap)
+        g._settle(heap, cost, hops, by, before, inside, shut)
+        return Tree(g, cost, hops, by, before)
+
+
+class _Patched(dict):
+    """A list with some items replaced."""
+
+    def __init__(self, under: list):
+        super().__init__()
+        self.under = under
+
+    def __missing__(self, i: int):
+        return self.under[i]
+
+
+def _dealt(rows: DataFrame, salt: Column, *order: str) -> DataFrame:
+    """Rows of one origin together and in order, unless there are fewer origins than tasks: then each is dealt to several salts.
+
+    To a number of partitions, as few bytes mean much work here and would else be put into one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, 2 * n // max(1, rows.select("origin_id").distinct().limit(2 * n).count()))
+    return rows.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salts))).repartition(n, "origin_id", "_salt").sortWithinPartitions("origin_id", "_salt", *order).drop("_salt")
 
 
 def shortest_paths(od: DataFrame, edges: DataFrame, cost: str = "cost", name: str = "path") -> DataFrame:
@@ -90,7 +193,10 @@ def shortest_paths(od: DataFrame, edges: DataFrame, cost: str = "cost", name: st
     Rows are dealt by origin so that a task grows one tree for each of its
     origins; no path gives a null path and cost, and unknown nodes count so.
     """
-    graph = od.sparkSession.sparkContext.broadcast(Graph.of(edges, cost))
+    local = Graph.of(edges, cost)
+    if local is None:
+        return _joined_paths(od, edges, cost, name)
+    graph = od.sparkSession.sparkContext.broadcast(local)
     schema = od.withColumns({name: F.lit(None).cast("array<string>"), cost: F.lit(None).cast("double"), "reachable": F.lit(True)}).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,12 +211,22 @@ def shortest_paths(od: DataFrame, edges: DataFrame, cost: str = "cost", name: st
                     continue
                 if o != last:
                     last, tree = o, g.tree(i)
-                ok = np.isfinite(tree[0][j])
-                paths.append(g.path(tree, j) if ok else None)
-                costs.append(float(tree[0][j]) if ok else None)
+                ok = math.isfinite(tree.cost[j])
+                paths.append([g.ids[e] for e in tree.steps(j)] if ok else None)
+                costs.append(tree.cost[j] if ok else None)
             yield b.assign(**{name: paths, cost: pd.array(costs, "Float64"), "reachable": [p is not None for p in paths]})
 
-    return od.repartition("origin_id").sortWithinPartitions("origin_id").mapInPandas(run, schema)
+    return _dealt(od, F.col("destination_id")).mapInPandas(run, schema)
+
+
+def _joined_paths(od: DataFrame, edges: DataFrame, cost: str, name: str) -> DataFrame:
+    arcs = relaxation.arcs_of(edges, cost)
+    sources = od.select(F.col("origin_id").cast("string").alias("tree")).distinct().withColumn("node", F.col("tree"))
+    state = relaxation.trees(sources, arcs)
+    found = state.join(relaxation.paths(state), ["tree", "node"]).select(F.col("tree").alias("_o"), F.col("node").alias("_d"), F.col("path").alias(name), F.col("at.cost").alias(cost))
+    rest = od.drop(name, cost, "reachable")
+    out = rest.join(found, (rest["origin_id"].cast("string") == found["_o"]) & (rest["destination_id"].cast("string") == found["_d"]), "left")
+    return out.select(*rest.columns, name, cost, F.col(name).isNotNull().alias("reachable"))
 
 
 def relaxed_costs(origins: DataFrame, edges: DataFrame, cost: str = "cost", most_rounds: int | None = None) -> DataFrame:
@@ -182,40 +298,78 @@ def failures(scenarios: DataFrame, paths: DataFrame, edges: DataFrame, cost: str
     paths (see with_path_sums) and as new_<name> along the new path.
 
     scenarios: scenario_id, edge_id (one edge or several). A row is a pair under
-    a scenario: no_access 1 and no new cost if nothing else connects it. Work is
-    dealt by (scenario, origin), so that a busy edge's pairs are spread; a task
-    masks edges and never rebuilds the graph.
+    a scenario: no_access 1 and no new cost if nothing else connects it. Each
+    origin's tree is grown once and repaired for each scenario: only what hangs
+    below a closed edge is settled anew.
     """
-    graph = scenarios.sparkSession.sparkContext.broadcast(Graph.of(edges, cost, sums))
-    closed = scenarios.groupBy("scenario_id").agg(F.sort_array(F.collect_set(F.col("edge_id").cast("string"))).alias("closed"))
     used = paths_by_edge(paths, path, ["origin_id", "destination_id", F.col(cost).alias("old_cost"), *(F.col(s).cast("double").alias(f"old_{s}") for s in sums), *values]).join(scenarios, "edge_id")
-    cut = used.drop("edge_id").dropDuplicates(["scenario_id", "origin_id", "destination_id"]).join(closed, "scenario_id")
-    schema = cut.withColumns({"no_access": F.lit(0), "new_cost": F.lit(None).cast("double"), "new_path": F.lit(None).cast("array<string>")} | {f"new_{s}": F.lit(None).cast("double") for s in sums}).drop("closed").schema
+    cut = used.drop("edge_id").dropDuplicates(["scenario_id", "origin_id", "destination_id"])
+    local = Graph.of(edges, cost, sums)
+    if local is None:
+        return _joined_failures(scenarios, cut, edges, cost, keep_paths, sums)
+    graph = scenarios.sparkSession.sparkContext.broadcast(local)
+    closed = scenarios.groupBy("scenario_id").agg(F.sort_array(F.collect_set(F.col("edge_id").cast("string"))).alias("closed"))
+    # The closed edges come once for each scenario and origin, in a row before its pairs.
+    others = [c for c in cut.columns if c not in ("scenario_id", "origin_id")]
+    heads = cut.groupBy("scenario_id", "origin_id").agg(F.first(F.struct(*others)).alias("r")).select("scenario_id", "origin_id", "r.*").join(closed, "scenario_id")
+    rows = heads.withColumn("_pair", F.lit(0)).unionByName(cut.withColumn("_pair", F.lit(1)), allowMissingColumns=True)
+    schema = cut.withColumns({"no_access": F.lit(0), "new_cost": F.lit(None).cast("double"), "new_path": F.lit(None).cast("array<string>")} | {f"new_{s}": F.lit(None).cast("double") for s in sums}).schema
+    names = cut.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, last, tree = graph.value, None, None
-        number = {e: i for i, e in enumerate(g.ids.tolist())}
+        g, last, tree, now = graph.value, None, None, None
         for b in batches:
             access, costs, new, along = [], [], [], {s: [] for s in sums}
-            for s, o, d, shut in zip(b["scenario_id"], b["origin_id"].astype(str), b["destination_id"].astype(str), b["closed"], strict=True):
-                if (s, o) != last:
-                    last, tree = (s, o), g.tree(g.index[o], frozenset(number[e] for e in shut if e in number))
+            for o, d, pair, shut in zip(b["origin_id"].astype(str), b["destination_id"].astype(str), b["_pair"], b["closed"], strict=True):
+                if not pair:
+                    if o != last:
+                        last, tree = o, g.tree(g.index[o])
+                    now = tree.without(frozenset(g.number[e] for e in shut if e in g.number))
+                    continue
                 j = g.index[d]
-                ok = np.isfinite(tree[0][j])
+                ok = math.isfinite(now.cost[j])
                 access.append(0 if ok else 1)
-                costs.append(float(tree[0][j]) if ok else None)
-                new.append(g.path(tree, j) if ok and keep_paths else None)
-                edges_of = g.steps(tree, j) if ok and sums else []
+                costs.append(now.cost[j] if ok else None)
+                steps = now.steps(j) if ok and (sums or keep_paths) else []
+                new.append([g.ids[e] for e in steps] if ok and keep_paths else None)
                 for name, x in along.items():
-                    x.append(float(g.sums[name][edges_of].sum()) if ok else None)
-            yield b.drop(columns="closed").assign(no_access=np.array(access, np.int32), new_cost=pd.array(costs, "Float64"), new_path=new, **{f"new_{s}": pd.array(x, "Float64") for s, x in along.items()})
+                    x.append(float(g.sums[name][steps].sum()) if ok else None)
+            yield b[b["_pair"] == 1][names].assign(no_access=np.array(access, np.int32), new_cost=pd.array(costs, "Float64"), new_path=new, **{f"new_{s}": pd.array(x, "Float64") for s, x in along.items()})
 
-    # A number of partitions, as few bytes mean much work here and would else be put into one task.
-    n = int(scenarios.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = cut.repartition(n, "scenario_id", "origin_id").sortWithinPartitions("scenario_id", "origin_id").mapInPandas(run, schema)
+    out = _dealt(rows, F.col("scenario_id"), "scenario_id", "_pair").mapInPandas(run, schema)
     return out if keep_paths else out.drop("new_path")
 
 
+def _joined_failures(scenarios: DataFrame, cut: DataFrame, edges: DataFrame, cost: str, keep_paths: bool, sums: tuple[str, ...]) -> DataFrame:
+    arcs, cut = relaxation.arcs_of(edges, cost), cut.checkpoint()
+    key = {"run": F.col("scenario_id"), "tree": F.col("origin_id").cast("string"), "node": F.col("destination_id").cast("string")}
+    pairs = cut.select(*(c.alias(k) for k, c in key.items())).distinct()
+    state = relaxation.trees(pairs.select("tree", F.col("tree").alias("node")).distinct(), arcs).checkpoint()
+    closed = scenarios.select(F.col("scenario_id").alias("run"), F.col("edge_id").cast("string").alias("edge_id")).distinct()
+    moved = relaxation.repaired(pairs.select("run", "tree").distinct(), closed, state, arcs).checkpoint()
+    mine = moved.withColumnRenamed("origin", "tree").withColumn("touched", F.lit(True))
+    # A pair whose given path is not the tree's may keep the tree's.
+    found = pairs.join(mine, ["run", "tree", "node"], "left").join(state.withColumnRenamed("at", "was"), ["tree", "node"], "left")
+    found = found.select("run", "tree", "node", F.when(F.col("touched"), F.col("at.cost")).otherwise(F.col("was.cost")).alias("new_cost"), F.coalesce("touched", F.lit(False)).alias("touched"))
+    if keep_paths or sums:
+        both = F.struct("run", "origin").alias("tree")
+        inside = moved.where("at is not null").select(both, "node", "at")
+        known = inside.select("tree", F.col("node").alias("prev"), F.lit(True).alias("known"))
+        border = inside.withColumn("prev", F.col("at.prev")).join(known, ["tree", "prev"], "left").select("tree", "node", "at", F.col("known").isNull().alias("_out")).checkpoint()
+        # Down from the last node outside the repaired part, whose own path is the tree's.
+        outer = border.where("_out").select("tree", F.col("at.prev").alias("node"), relaxation.start().alias("at")).distinct()
+        low = relaxation.paths(border.select("tree", "node", "at").unionByName(outer)).select(F.col("tree.run").alias("run"), F.col("tree.origin").alias("tree"), "node", "top", F.col("path").alias("low"))
+        high = relaxation.paths(state).select("tree", F.col("node").alias("top"), F.col("path").alias("high"))
+        found = found.join(low, ["run", "tree", "node"], "left").withColumn("top", F.when(F.col("touched"), F.col("top")).otherwise(F.col("node"))).join(high, ["tree", "top"], "left")
+        found = found.select("run", "tree", "node", "new_cost", F.when(F.col("new_cost").isNotNull(), F.concat("high", F.coalesce("low", F.array().cast("array<string>")))).alias("new_path"))
+        if sums:
+            along = with_path_sums(found.where("new_path is not null"), edges.select(F.col("edge_id").cast("string").alias("edge_id"), *(F.col(s).cast("double").alias(f"new_{s}") for s in sums)), [f"new_{s}" for s in sums], ["run", "tree", "node"], "new_path")
+            found = found.join(along.select("run", "tree", "node", *(f"new_{s}" for s in sums)), ["run", "tree", "node"], "left")
+    out = cut.withColumns({f"_{k}": c for k, c in key.items()})
+    out = out.join(found, (out["_run"] == found["run"]) & (out["_tree"] == found["tree"]) & (out["_node"] == found["node"]))
+    return out.select(*cut.columns, F.col("new_cost").isNull().cast("int").alias("no_access"), "new_cost", *(["new_path"] if keep_paths else []), *(f"new_{s}" for s in sums))
+
+
 def rerouting_losses(failed: DataFrame, tons: str = "tons", sums: tuple[str, ...] = ()) -> DataFrame:
     """What rerouting adds, per ton and in all, and <name>_diff of each of sums; isolated pairs add nothing."""
     extra = lambda name: F.coalesce((1 - F.col("no_access")) * (F.col(f"new_{name}") - F.col(f"old_{name}")), F.lit(0.0))
@@ -252,6 +406,42 @@ def multi_modal_edges(layers: list[DataFrame], rail_flows: DataFrame | None = No
     return out.where("mode is distinct from 'rail'").unionByName(out.join(used, ["edge_id", "mode"], "left_semi"))
 
 
+def layered(network: DataFrame, links: DataFrame) -> DataFrame:
+    """One network of several modes: nodes are `mode:node`, edges `mode:edge_id`.
+
+    network: mode, edge_id, from_node, to_node and attributes; links: edge_id,
+    from_mode, from_node, to_mode, to_node and attributes, as edges of mode
+    `link` that name both modes in `joins`. Columns that one side lacks are null.
+    """
+    named = lambda mode, c: F.concat(mode, F.lit(":"), F.col(c).cast("string")).alias(c)
+    own = network.select(*(c for c in network.columns if c not in ("edge_id", "from_node", "to_node")), *(named(F.col("mode"), c) for c in ("edge_id", "from_node", "to_node")), F.array("mode").alias("joins"))
+    rest = [c for c in links.columns if c not in ("edge_id", "from_node", "to_node", "from_mode", "to_mode")]
+    between = links.select(*rest, F.lit("link").alias("mode"), named(F.lit("link"), "edge_id"), named(F.col("from_mode"), "from_node"), named(F.col("to_mode"), "to_node"), F.array("from_mode", "to_mode").alias("joins"))
+    return own.unionByName(between, allowMissingColumns=True)
+
+
+def mode_closures(network: DataFrame) -> DataFrame:
+    """scenario_id, edge_id: each mode of a layered network closed as a whole, with the links that lead to it."""
+    return network.select(F.explode("joins").alias("scenario_id"), "edge_id")
+
+
+def modal_failures(scenarios: DataFrame, od: DataFrame, network: DataFrame, mode: str, cost: str = "cost", values: tuple[str, ...] = ("tons",), sums: tuple[str, ...] = ()) -> DataFrame:
+    """Flows of one mode, cut by scenarios, rerouted over all modes: the rows of failures() with new_path, the new path's `modes` and `changed`.
+
+    od: origin_id, destination_id (layered nodes of the mode) and values. A
+    pair is lost if no_access is 1, and changed if its new path uses another mode.
+    """
+    paths = shortest_paths(od, network.where(F.col("mode") == mode), cost).where("reachable").checkpoint()
+    if sums:
+        paths = with_path_sums(paths, network, list(sums), ["origin_id", "destination_id"])
+    key = ["scenario_id", "origin_id", "destination_id"]
+    failed = failures(scenarios, paths, network, cost, values=values, keep_paths=True, sums=sums).checkpoint()
+    steps = failed.select(*key, F.explode("new_path").alias("edge_id")).join(network.select("edge_id", "mode"), "edge_id")
+    modes = steps.groupBy(*key).agg(F.array_sort(F.collect_set("mode")).alias("modes"))
+    out = failed.join(modes, key, "left").withColumn("modes", F.coalesce("modes", F.array().cast("array<string>")))
+    return out.withColumn("changed", F.exists("modes", lambda m: m != mode))
+
+
 def extra_failures(flagged: DataFrame, near: DataFrame, edges: DataFrame, kind: str, failed: DataFrame) -> DataFrame:
     """Edges flagged as flooded or near reported points, of one class, that have not failed already."""
     both = flagged.select("edge_id").unionByName(near.select("edge_id")).distinct()
@@ -263,17 +453,55 @@ def speed_range(paths: DataFrame, path: str, speed: str) -> DataFrame:
     return paths.select(F.explode(path).alias("edge_id"), speed).groupBy("edge_id").agg(F.min(speed).alias("min_speed"), F.max(speed).alias("max_speed"))
 
 
+def nearest_stations(origins: DataFrame, asked: DataFrame, edges: DataFrame, cost: str = "cost") -> DataFrame:
+    """Place, destination_id, origin_id, routed_km: of a place's stations (place, origin_id) the nearest other one to each asked (place, destination_id).
+
+    One run from all stations of a place at once finds each node's two nearest
+    of them. Beyond MOST_EDGES edges the pairs are routed one by one.
+    """
+    asked, origins = asked.distinct(), origins.distinct()
+    local = Graph.of(edges, cost)
+    if local is None:
+        near = asked.join(origins, "place").where("origin_id <> destination_id")
+        routed = shortest_paths(near.select("origin_id", "destination_id").distinct(), edges, cost).where("reachable").select("origin_id", "destination_id", F.col(cost).alias("routed_km"))
+        best = near.join(routed, ["origin_id", "destination_id"]).groupBy("place", "destination_id").agg(F.min(F.struct("routed_km", "origin_id")).alias("o"))
+        return best.select("place", "destination_id", "o.origin_id", "o.routed_km")
+    graph = origins.sparkSession.sparkContext.broadcast(local)
+    stations = origins.join(asked.select("place").distinct(), "place", "left_semi").select("place", F.col("origin_id").alias("node"), F.lit(0).alias("asks"))
+    rows = stations.unionByName(asked.select("place", F.col("destination_id").alias("node"), F.lit(1).alias("asks")))
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, place, own, found = graph.value, None, [], None
+        for b in batches:
+            out = []
+            for p, x, asks in zip(b["place"].tolist(), b["node"].tolist(), b["asks"].tolist(), strict=True):
+                if p != place:
+                    place, own, found = p, [], None
+                if not asks:
+                    own.append(x)
+                    continue
+                if found is None:
+                    there = [o for o in own if str(o) in g.index]
+                    found = (there, g.nearest_two([g.index[str(o)] for o in there]))
+                at = g.index.get(str(x))
+                best = [(c, found[0][rank]) for c, rank in found[1][at] if found[0][rank] != x] if at is not None else []
+                if best:
+                    out.append((p, x, best[0][1], best[0][0]))
+            yield pd.DataFrame(out, columns=["place", "destination_id", "origin_id", "routed_km"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"place {rows.schema['place'].dataType.simpleString()}, destination_id {kind}, origin_id {kind}, routed_km double"
+    return rows.repartition(n, "place").sortWithinPartitions("place", "asks", "node").mapInPandas(run, schema)
+
+
 def closest_candidates(records: DataFrame, origins: DataFrame, edges: DataFrame, record: str, cost: str = "cost", share: float = 0.2) -> DataFrame:
     """Of all candidate station pairs of each record the one with the shortest path, flagged when it is off the reported km by over `share`.
 
     records: the record, its place, kms and a destination_id, a row for each
     candidate destination; origins: the candidate stations (place, origin_id).
-    Each pair of stations is routed once; the nearest origin of a place and
-    destination serves all records that share them.
     """
-    near = records.select("place", "destination_id").distinct().join(origins.distinct(), "place").where("origin_id <> destination_id")
-    routed = shortest_paths(near.select("origin_id", "destination_id").distinct(), edges, cost).where("reachable").select("origin_id", "destination_id", F.col(cost).alias("routed_km"))
-    nearest = near.join(routed, ["origin_id", "destination_id"]).groupBy("place", "destination_id").agg(F.min(F.struct("routed_km", "origin_id", "destination_id")).alias("o"))
+    nearest = nearest_stations(origins, records.select("place", "destination_id"), edges, cost).select("place", "destination_id", F.struct("routed_km", "origin_id", "destination_id").alias("o"))
     best = records.join(nearest, ["place", "destination_id"]).groupBy(record).agg(F.min_by(F.struct("o.origin_id", "o.destination_id", "o.routed_km", "kms"), "o").alias("b")).select(record, "b.*")
     return best.withColumn("mismatch", F.abs(F.col("routed_km") - F.col("kms")) > share * F.col("kms"))
 

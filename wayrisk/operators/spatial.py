@@ -1,13 +1,14 @@
 """Spatial joins by tile keys and exact refinement (survey rows J12-J24).
 
 Both sides get the grid tiles that they touch, tiles are equi-joined, pairs are
-made distinct and then refined. The tile size is an argument; large shapes span
+made distinct and then refined. Lines go by their segments, and a segment only
+gets the tiles that it crosses. The tile size is an argument; large shapes span
 many tiles, so they are dealt over tasks too, and Spark splits skewed tiles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions import geometry as G
@@ -33,6 +34,34 @@ def tile_pairs(a: DataFrame, a_id: str, a_box: Column, b: DataFrame, b_id: str,
     return x.join(y, ["tx", "ty"]).where(near).select(a_id, b_id).distinct()
 
 
+def with_crossed_tiles(segments: DataFrame, tile: float, pad: float = 0.0) -> DataFrame:
+    """A row for each tile (tx, ty) within pad of a segment (ax, ay, bx, by): row by row of the grid, the columns that the segment spans there.
+
+    Margins of 1e-9 of the coordinates keep rounding from losing a tile.
+    """
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    slack = 1e-9 * (F.greatest(F.abs(ax), F.abs(ay), F.abs(bx), F.abs(by)) + tile)
+    wide = F.lit(pad) + slack
+    rows = F.sequence(F.floor((F.least(ay, by) - wide) / tile), F.floor((F.greatest(ay, by) + wide) / tile))
+    out = segments.withColumn("ty", F.explode(rows))
+    # The part of the segment within pad of the row, as shares of its way from a to b.
+    at = lambda y: (y - ay) / (by - ay)
+    low, high = F.col("ty") * tile - wide, (F.col("ty") + 1) * tile + wide
+    s, t = F.when(by > ay, at(low)).otherwise(at(high)), F.when(by > ay, at(high)).otherwise(at(low))
+    x0 = F.when(ay == by, ax).otherwise(ax + F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * (bx - ax))
+    x1 = F.when(ay == by, bx).otherwise(ax + F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * (bx - ax))
+    return out.withColumns({"_x0": x0, "_x1": x1}).withColumn("tx", F.explode(F.sequence(F.floor((F.least("_x0", "_x1") - wide) / tile), F.floor((F.greatest("_x0", "_x1") + wide) / tile)))).drop("_x0", "_x1")
+
+
+def segments_of(lines: DataFrame, line_id: str = "edge_id", points: str = "points") -> DataFrame:
+    """line_id, seg, ax, ay, bx, by and start (how far along the line it begins) of all segments; a line of one point is a segment of no length."""
+    pts = F.col(points)
+    each = F.when(F.size(pts) == 1, F.array(F.struct(pts[0].alias("a"), pts[0].alias("b")))).otherwise(G._segments(pts))
+    out = lines.where(F.size(pts) > 0).select(line_id, each.alias("_s")).withColumn("_at", G.running_lengths(F.col("_s")))
+    out = out.select(line_id, F.posexplode(F.arrays_zip("_s", "_at")).alias("seg", "_z"))
+    return out.select(line_id, "seg", *(F.col(f"_z._s.{e}.{c}").alias(e + c) for e in "ab" for c in "xy"), F.col("_z._at").alias("start"))
+
+
 def _finite(*names: str) -> Column:
     """Whether these coordinates are numbers that a distance can be taken of."""
     each = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in names]
@@ -71,6 +100,36 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float, point_id: str
     return p.select(point_id).join(found, point_id, "left") if region else found
 
 
+def nearest_k(points: DataFrame, nodes: DataFrame, k: int, cell: float, point_id: str = "point_id", node_id: str = "node_id", region: str | None = None) -> DataFrame:
+    """(point_id, node_id, distance, k) of each point's k nearest nodes, of its region if asked, ties to the smaller id.
+
+    Rounds over doubling cells, as nearest_node: a point is done once k nodes
+    (or all of its region) lie within the cell's width. Points and nodes
+    without finite coordinates do not meet; fewer than k nodes give fewer rows.
+    """
+    on = [region] if region else []
+    n = nodes.select(F.col(node_id), F.col("x").alias("nx"), F.col("y").alias("ny"), *on).where(_finite("nx", "ny"))
+    p = points.select(point_id, "x", "y", *on).where(_finite("x", "y"))
+    sizes = n.groupBy(*on).agg(F.least(F.count("*"), F.lit(k)).alias("need")).where("need > 0")
+    left = (p.join(sizes, region) if region else p.crossJoin(F.broadcast(sizes))).checkpoint()  # without regions sizes is one row
+    found, size = None, cell
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    while True:
+        here = left.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+        near = n.withColumn("cx", F.explode(F.transform(around, lambda i: F.floor(F.col("nx") / size) + i)))
+        near = near.withColumn("cy", F.explode(F.transform(around, lambda i: F.floor(F.col("ny") / size) + i)))
+        met = here.join(near, ["cx", "cy", *on]).withColumn("distance", G.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).where(F.col("distance") <= size)
+        best = met.withColumn("k", F.row_number().over(Window.partitionBy(point_id).orderBy("distance", node_id))).where(F.col("k") <= k)
+        best = best.select(point_id, node_id, "distance", "k", "need").checkpoint()
+        done = best.where("k = need").select(point_id)
+        sure = best.join(done, point_id, "left_semi").select(point_id, node_id, "distance", "k")
+        found = sure if found is None else found.unionByName(sure)
+        left = left.join(done, point_id, "left_anti").checkpoint()
+        if left.isEmpty():
+            return found
+        size *= 2
+
+
 def nearest_line(points: DataFrame, lines: DataFrame, tile: float, reach: float | None = None, point_id: str = "point_id", line_id: str = "edge_id", same: str | None = None) -> DataFrame:
     """Each point's nearest line (also: of the same road name), with distance and place along it; ties to the smaller id.
 
@@ -144,7 +203,10 @@ def zones_to_provinces(zones: DataFrame, provinces: DataFrame, tile: float) -> D
 
 def line_hits(lines: DataFrame, polygons: DataFrame, tile: float, line_id: str = "edge_id", poly_id: str = "poly_id", short: float = 1.0) -> DataFrame:
     """(edge_id, poly_id, length) of lines that run through a polygon; lines of up to `short` that touch it count whole with length 0."""
-    pairs = tile_pairs(lines, line_id, G.bounds(F.col("points")), polygons, poly_id, G.bounds(F.col("ring")), tile)
+    crossed = with_crossed_tiles(segments_of(lines, line_id), tile).select(line_id, "tx", "ty", "ax", "ay", "bx", "by")
+    boxes = with_tiles(polygons.select(poly_id, G.bounds(F.col("ring")).alias("box")), F.col("box"), tile)
+    near = (F.least("ax", "bx") <= F.col("box.x1")) & (F.greatest("ax", "bx") >= F.col("box.x0")) & (F.least("ay", "by") <= F.col("box.y1")) & (F.greatest("ay", "by") >= F.col("box.y0"))
+    pairs = crossed.join(boxes, ["tx", "ty"]).where(near).select(line_id, poly_id).distinct()
     full = pairs.join(lines.select(line_id, "points"), line_id).join(polygons.select(poly_id, "ring"), poly_id)
     full = full.withColumn("length", G.clipped_length("points", "ring"))
     tiny = (G.line_length(F.col("points")) <= short) & F.exists("points", lambda p: G.in_polygon(F.col("ring"), p["x"], p["y"]))
@@ -158,11 +220,75 @@ def points_hit(points: DataFrame, polygons: DataFrame, tile: float, point_id: st
 
 
 def within_reach(points: DataFrame, lines: DataFrame, tile: float, d: float, point_id: str = "point_id", line_id: str = "edge_id") -> DataFrame:
-    """(point_id, edge_id, distance, along) of all lines within d of a point."""
-    pairs = tile_pairs(points, point_id, point_box(), lines, line_id, G.bounds(F.col("points")), tile, d)
-    full = pairs.join(points.select(point_id, "x", "y"), point_id).join(lines.select(line_id, "points"), line_id)
-    near = full.withColumn("_p", G.project(F.col("points"), F.col("x"), F.col("y"))).where(F.col("_p.distance") <= d)
-    return near.select(point_id, line_id, F.col("_p.distance").alias("distance"), F.col("_p.along").alias("along"))
+    """(point_id, edge_id, distance, along, px, py) of all lines within d of a point, (px, py) being the line's nearest point.
+
+    A point is in one tile and a segment in those within d of it, so they meet
+    once; pairs carry the segment, and only hits are grouped by line.
+    """
+    near = with_crossed_tiles(segments_of(lines, line_id), tile, d)
+    p = points.where(_finite("x", "y")).select(point_id, "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    n = dx * dx + dy * dy
+    t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / n))).otherwise(0.0)
+    met = p.join(near, ["tx", "ty"]).withColumn("_t", t)
+    met = met.withColumns({"px": F.col("ax") + F.col("_t") * dx, "py": F.col("ay") + F.col("_t") * dy}).withColumn("distance", G.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))).where(F.col("distance") <= d)
+    best = met.groupBy(point_id, line_id).agg(F.min(F.struct("distance", "seg", (F.col("start") + F.col("_t") * F.sqrt(n)).alias("along"), "px", "py")).alias("_m"))
+    return best.select(point_id, line_id, "_m.distance", "_m.along", "_m.px", "_m.py")
+
+
+def _split_tiles(nodes: DataFrame, tile: float, most: int) -> DataFrame | None:
+    """level, tx, ty of the tiles (level l: sides tile / 2**l) that hold more than `most` nodes; None if there is none."""
+    found, level, left = None, 0, nodes.select("x", "y")
+    while True:
+        size = tile / 2**level
+        at = left.withColumns({"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size)})
+        full = at.groupBy("tx", "ty").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit(level).alias("level"), "tx", "ty").checkpoint()
+        if full.isEmpty():
+            return found
+        found = full if found is None else found.unionByName(full)
+        left = at.join(full, ["tx", "ty"], "left_semi").select("x", "y")
+        level += 1
+
+
+def voronoi_cells(nodes: DataFrame, tiles: DataFrame, tile: float, most: int = 256) -> DataFrame:
+    """Level, tx, ty, node_id, ring: the part of each node's Voronoi cell in each tile that it reaches, exact.
+
+    tiles: tx, ty. Tiles with more than `most` nodes are quartered until none
+    has. In a tile a node can only have a cell if it is no farther from its
+    middle than the nearest node plus the tile's diagonal; such candidates'
+    bisectors cut the tile. Of nodes at one place the smallest id has the cell.
+    """
+    n = nodes.where(_finite("x", "y")).groupBy("x", "y").agg(F.min("node_id").alias("node_id")).checkpoint()
+    split = _split_tiles(n, tile, most)
+    here = tiles.select(F.lit(0).alias("level"), F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty")).distinct()
+    done = here
+    if split is not None:
+        split, done = split.checkpoint(), None
+        for _ in range(split.agg(F.max("level")).first()[0] + 2):
+            whole = here.join(split, ["level", "tx", "ty"], "left_anti")
+            done = whole if done is None else done.unionByName(whole)
+            both = F.array(F.lit(0), F.lit(1))
+            here = here.join(split, ["level", "tx", "ty"], "left_semi").withColumn("_i", F.explode(both)).withColumn("_j", F.explode(both))
+            here = here.select((F.col("level") + 1).alias("level"), (F.col("tx") * 2 + F.col("_i")).alias("tx"), (F.col("ty") * 2 + F.col("_j")).alias("ty"))
+    size = F.lit(float(tile)) / F.pow(F.lit(2.0), F.col("level"))
+    mid = done.select("level", "tx", "ty", ((F.col("tx") + 0.5) * size).alias("x"), ((F.col("ty") + 0.5) * size).alias("y"), size.alias("size"), F.concat_ws(":", "level", "tx", "ty").alias("point_id")).checkpoint()
+    reach = mid.join(nearest_node(mid, n, tile), "point_id").withColumn("reach", (F.col("distance") + F.col("size") * 2**0.5) * (1 + 1e-9))
+    grid = reach.select("level", "tx", "ty", "size", F.col("x").alias("mx"), F.col("y").alias("my"), "reach")
+    for c, lo in (("cx", "mx"), ("cy", "my")):
+        grid = grid.withColumn(c, F.explode(F.sequence(F.floor((F.col(lo) - F.col("reach")) / tile), F.floor((F.col(lo) + F.col("reach")) / tile))))
+    at = n.withColumns({"cx": F.floor(F.col("x") / tile), "cy": F.floor(F.col("y") / tile)})
+    able = grid.join(at, ["cx", "cy"]).where(G.distance(F.col("mx"), F.col("my"), F.col("x"), F.col("y")) <= F.col("reach"))
+    kind = n.schema["node_id"].dataType.simpleString()
+    return able.select("level", "tx", "ty", "size", "node_id", "x", "y").groupBy("level", "tx", "ty").applyInPandas(G.cells_in_tile, f"level int, tx long, ty long, node_id {kind}, ring array<struct<x:double,y:double>>")
+
+
+def voronoi_shares(polygons: DataFrame, nodes: DataFrame, tile: float, most: int = 256) -> DataFrame:
+    """(poly_id, node_id, share): how much of a polygon's area lies in the Voronoi cell of each node; the shares of a polygon sum to 1."""
+    boxes = with_tiles(polygons.select("poly_id", G.bounds(F.col("ring")).alias("box")), F.col("box"), tile).select("poly_id", "tx", "ty").checkpoint()
+    cells = voronoi_cells(nodes, boxes, tile, most).withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))) for c in ("tx", "ty")})
+    full = boxes.join(cells, ["tx", "ty"]).join(polygons.select("poly_id", F.col("ring").alias("_p")), "poly_id")
+    parts = full.select("poly_id", "node_id", "_p", (G.overlap_area("_p", "ring") / G.ring_area(F.col("_p"))).alias("share")).where("share > 0")
+    return parts.groupBy("poly_id", "node_id").agg(F.sum("share").alias("share"))
 
 
 def area_transfer(source: DataFrame, target: DataFrame, value: str, tile: float, region: str | None = None) -> DataFrame:

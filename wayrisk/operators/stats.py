@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions import columns as C
+from wayrisk.operators.ordered import running
 
 
 def network_statistics(edges: DataFrame, by: list[str], length: str = "length") -> DataFrame:
@@ -96,22 +97,21 @@ def largest_totals(curve: DataFrame, by: str) -> DataFrame:
 def investment_curve(results: DataFrame, parts: list[str], least_ratio: float = 1.0, budget: float | None = None) -> DataFrame:
     """An asset's best ratio, ratios from least_ratio on, running sums of cost and benefit by falling ratio within parts, up to a budget."""
     best = results.withColumn("_k", F.row_number().over(Window.partitionBy(*parts, "id").orderBy(F.desc("bc_ratio"), "cost"))).where((F.col("_k") == 1) & (F.col("bc_ratio") >= least_ratio))
-    w = Window.partitionBy(*parts).orderBy(F.desc("bc_ratio"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    out = best.withColumns({"investment": F.sum("cost").over(w), "total_benefit": F.sum("benefit").over(w)}).drop("_k")
+    best = best.drop("_k")
+    out = running(best, parts, [F.desc("bc_ratio"), F.col("id")], {"investment": F.col("cost"), "total_benefit": F.col("benefit")}).drop("_rank")
     return out.where(F.col("investment") <= budget) if budget is not None else out
 
 
 def percentile_curve(df: DataFrame, parts: list[str], lo: str, hi: str, id_col: str) -> DataFrame:
     """Pairs in order, sorted by the maximum within parts, with the percentile 100 i / n."""
-    pair = C.order_pair(F.col(lo), F.col(hi))
-    w = Window.partitionBy(*parts)
-    ranked = df.withColumn("_p", pair).withColumn("_i", F.row_number().over(w.orderBy("_p.hi", id_col))).withColumn("_n", F.count("*").over(w))
-    return ranked.select(id_col, *parts, F.col("_p.lo").alias(lo), F.col("_p.hi").alias(hi), (100.0 * (F.col("_i") - 1) / F.col("_n")).alias("percentile"))
+    paired = df.withColumn("_pair", C.order_pair(F.col(lo), F.col(hi)))
+    order = running(paired, parts, [F.col("_pair.hi"), F.col(id_col)], rank="_i", total="_of")
+    return order.select(id_col, *parts, F.col("_pair.lo").alias(lo), F.col("_pair.hi").alias(hi), (100.0 * (F.col("_i") - 1) / F.col("_of")).alias("percentile"))
 
 
 def ranked(df: DataFrame, parts: list[str], value: str, id_col: str) -> DataFrame:
     """Rank by falling value within parts (a mode)."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc(value), id_col)))
+    return running(df, parts, [F.desc(value), F.col(id_col)], rank="rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def top(df: DataFrame, n: int, value: Column, *ties: str) -> DataFrame:

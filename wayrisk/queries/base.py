@@ -93,6 +93,7 @@ def road_edges(t: Tables) -> DataFrame:
         ((k * 7 + 3 * F.floor(k / F.col("n"))) % F.col("n") + 1).cast("long").alias("to_node"),
         (F.col("p_size") + k / 1048576).alias("cost"),
         F.col("p_size").cast("double").alias("length"),
+        (F.col("p_size") / F.when(k % 2 == 0, 32).otherwise(64)).alias("time"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("kind"),
     )
@@ -100,7 +101,7 @@ def road_edges(t: Tables) -> DataFrame:
 
 EDGES = """edges AS (
     SELECT p_partkey AS edge_id, p_partkey % n + 1 AS from_node, (p_partkey * 7 + 3 * (p_partkey // n)) % n + 1 AS to_node,
-        p_size + p_partkey / 1048576.0::DOUBLE AS cost, p_size::DOUBLE AS length, p_brand AS brand, p_type AS kind
+        p_size + p_partkey / 1048576.0::DOUBLE AS cost, p_size::DOUBLE AS length, p_size / CASE WHEN p_partkey % 2 = 0 THEN 32.0::DOUBLE ELSE 64.0::DOUBLE END AS time, p_brand AS brand, p_type AS kind
     FROM part, (SELECT max(s_suppkey) AS n FROM supplier))"""
 
 

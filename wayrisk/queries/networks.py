@@ -208,11 +208,44 @@ def n3_n4_n5_snap_split_link(t: Tables):
     nodes = places(t).select(F.col("point_id").alias("node_id"), "x", "y")
     near = network.snapped(nodes, streets(t), 50.0, 2.0)
     pieces = network.split_at_nodes(streets(t), near, 50.0, 1e-6).groupBy("edge_id").agg(F.count("*").alias("n"), F.round(F.sum(G.line_length(F.col("points"))), 6).alias("length"))
-    new, _ = network.link_nodes(nodes, streets(t), 50.0, 2.0)
-    links = new.groupBy("edge_id").agg(F.count("*").alias("links"))
+    near = spatial.within_reach(nodes.withColumnRenamed("node_id", "point_id"), streets(t), 50.0, 2.0)
+    links = near.groupBy("edge_id").agg(F.count("*").alias("links"))
     return pieces.join(links, "edge_id", "left").fillna(0, subset=["links"])
 
 
+HITS = STREETS + """, m AS (SELECT point_id, x, y, edge_id, xa, ya, xb, yb, sqrt((xb - xa) * (xb - xa) + (yb - ya) * (yb - ya)) AS n, """ + NEAR + """ AS t FROM places, streets),
+    h AS (SELECT *, xa + t * (xb - xa) AS px, ya + t * (yb - ya) AS py, t * n AS along FROM m), hits AS MATERIALIZED (SELECT *, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d FROM h)"""
+
+
+@query(f"""WITH {PLACES}, {HITS}, b AS (SELECT point_id, arg_min(px, (d, edge_id)) AS px, arg_min(py, (d, edge_id)) AS py FROM hits WHERE d <= 2 GROUP BY 1)
+    SELECT p.point_id AS node_id, round(coalesce(px, p.x), 6) AS x, round(coalesce(py, p.y), 6) AS y FROM places p LEFT JOIN b ON p.point_id = b.point_id""")
+def n3_snapped(t: Tables):
+    """Places moved to the nearest street within 2."""
+    nodes = places(t).select(F.col("point_id").alias("node_id"), "x", "y")
+    return network.snapped(nodes, streets(t), 50.0, 2.0).select("node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""WITH {PLACES}, {HITS}, c AS (SELECT edge_id, round(along, 9) AS along, n FROM hits WHERE d <= 0.5 AND along > 1e-9 AND along < n - 1e-9 UNION SELECT edge_id, 0, n FROM hits UNION SELECT edge_id, round(n, 9), n FROM hits),
+    q AS (SELECT edge_id, row_number() OVER w - 1 AS part, lead(along) OVER w - along AS length FROM c WINDOW w AS (PARTITION BY edge_id ORDER BY along)) SELECT edge_id, part::INTEGER AS part, round(length, 6) AS length FROM q WHERE length IS NOT NULL""")
+def n4_split(t: Tables):
+    """Streets cut where places lie within 0.5 of them."""
+    nodes = places(t).select(F.col("point_id").alias("node_id"), "x", "y")
+    return network.split_at_nodes(streets(t), nodes, 50.0, 0.5).select("edge_id", F.col("part").cast("int").alias("part"), F.round(G.line_length(F.col("points")), 6).alias("length"))
+
+
+@query(f"""WITH {PLACES}, {HITS}, l AS (SELECT *, CASE WHEN along <= 1e-9 THEN 'd' || edge_id WHEN along >= n - 1e-9 THEN 'd' || (edge_id + 1) ELSE 'link_p' || point_id || '_' || edge_id END AS node FROM hits WHERE d <= 2 AND d > 1e-9),
+    k AS (SELECT DISTINCT 'p' || point_id AS from_node, node AS to_node, min('link_p' || point_id || '_' || edge_id) OVER (PARTITION BY point_id, node) AS edge_id, d FROM l),
+    s AS (SELECT edge_id, along, node FROM l WHERE node LIKE 'link%' UNION SELECT edge_id, along, 'p' || point_id FROM hits WHERE d <= 1e-9 AND along > 1e-9 AND along < n - 1e-9 UNION SELECT edge_id, 0, 'd' || edge_id FROM hits UNION SELECT edge_id, n, 'd' || (edge_id + 1) FROM hits),
+    q AS (SELECT edge_id, row_number() OVER w AS part, count(*) OVER (PARTITION BY edge_id) AS c, node AS from_node, lead(node) OVER w AS to_node, lead(along) OVER w - along AS length FROM s WINDOW w AS (PARTITION BY edge_id ORDER BY along, node))
+    SELECT CASE WHEN c = 2 THEN edge_id::VARCHAR ELSE edge_id || '_' || part END AS edge_id, from_node, to_node, round(length, 6) AS length FROM q WHERE to_node IS NOT NULL UNION ALL SELECT edge_id, from_node, to_node, round(min(d), 6) FROM k GROUP BY 1, 2, 3""")
+def n5_linked(t: Tables):
+    """Streets cut where links from places within 2 meet them, and the links."""
+    nodes = places(t).select(F.concat(F.lit("p"), "point_id").alias("node_id"), "x", "y")
+    lines = streets(t).select("edge_id", F.concat(F.lit("d"), "edge_id").alias("from_node"), F.concat(F.lit("d"), F.col("edge_id") + 1).alias("to_node"), "points")
+    _, pieces, links = network.link_nodes(nodes, lines, 50.0, 2.0)
+    return pieces.unionByName(links).select("edge_id", "from_node", "to_node", F.round(G.line_length(F.col("points")), 6).alias("length"))
+
+
 @query(f"""WITH {STREETS}, c AS (SELECT p.edge_id AS a, q.edge_id AS b, (p.xb - p.xa) * (q.yb - q.ya) - (p.yb - p.ya) * (q.xb - q.xa) AS det, p.xa, p.ya, p.xb - p.xa AS dx, p.yb - p.ya AS dy, q.xa - p.xa AS wx, q.ya - p.ya AS wy, q.xb - q.xa AS ex, q.yb - q.ya AS ey FROM streets p JOIN streets q ON p.edge_id + 1 < q.edge_id),
     u AS (SELECT *, (wx * ey - wy * ex) / det AS u, (wx * dy - wy * dx) / det AS v FROM c WHERE abs(det) > 1e-9 * (abs(dx) + abs(dy)) * (abs(ex) + abs(ey))) SELECT a, b, round(xa + u * dx, 4) AS x, round(ya + u * dy, 4) AS y FROM u WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1""")
 def n6_crossings(t: Tables):
@@ -302,10 +335,8 @@ def n28_n29_overlaps(t: Tables):
 
 @query()
 def g15_shares(t: Tables):
-    """A square's value shared by its lattice points' nearest depots."""
-    p = squares(t).select("poly_id", F.posexplode(G.sub_points(F.col("ring"), 4)).alias("k", "p")).select((F.col("poly_id") * 16 + F.col("k")).alias("point_id"), "poly_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    near = spatial.nearest_node(p, depots(t), 50.0).join(p.select("point_id", "poly_id"), "point_id")
-    return near.groupBy("poly_id", "node_id").agg((F.count("*") / 16).alias("share"))
+    """How much of each square lies in the Voronoi cell of each depot."""
+    return spatial.voronoi_shares(squares(t), depots(t), 50.0)
 
 
 @query()

@@ -67,9 +67,12 @@ def demand(t: Tables):
     return lines.groupBy("origin_id", "destination_id").agg(F.sum("l_quantity").alias("tons"))
 
 
+SUMS = ("length", "time")
+
+
 def routed(t: Tables):
     edges = road_edges(t)
-    return routing.with_path_sums(routing.shortest_paths(demand(t), edges).checkpoint(), edges, ["length"], ["origin_id", "destination_id"])
+    return routing.with_path_sums(routing.shortest_paths(demand(t), edges).checkpoint(), edges, list(SUMS), ["origin_id", "destination_id"])
 
 
 DEMAND = """SELECT z.o, l_suppkey AS d, sum(l_quantity) AS tons FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -82,34 +85,120 @@ def n13_shortest_paths(t: Tables):
     return routing.shortest_paths(demand(t), road_edges(t)).select("origin_id", "destination_id", "tons", F.round("cost", 5).alias("cost"), "reachable")
 
 
-@query()
+def arcs_sql(name: str, edges: str, cost: str = "cost") -> str:
+    """Both directions of all edges. Costs are multiples of 2**-20, so 2**-40 more for each edge makes the path with fewer edges win ties, exactly."""
+    return f"{name} AS MATERIALIZED (SELECT edge_id::VARCHAR AS e, from_node AS a, to_node AS b, {cost} + 1 / 1099511627776.0::DOUBLE AS w FROM {edges} UNION ALL SELECT edge_id::VARCHAR, to_node, from_node, {cost} + 1 / 1099511627776.0::DOUBLE FROM {edges})"
+
+
+def trees_sql(p: str, starts: str, arcs: str, shut: str | None = None, rounds: int = 14) -> str:
+    """Tables `p` (s, o, n, c: the least cost from o to n under scenario s) and `p`_by (the edge and node before each node) for the (s, o) of `starts`; `shut` (s, e) names closed edges."""
+    open_ = f"LEFT JOIN {shut} z ON z.s = x.s AND z.e = r.e WHERE z.s IS NULL" if shut else ""
+    out = f"{p}0 AS MATERIALIZED (SELECT s, o, o AS n, 0.0::DOUBLE AS c FROM ({starts}))"
+    for i in range(rounds):
+        out += f", {p}{i + 1} AS MATERIALIZED (SELECT s, o, n, min(c) AS c FROM (SELECT * FROM {p}{i} UNION ALL SELECT x.s, x.o, r.b, x.c + r.w FROM {p}{i} x JOIN {arcs} r ON x.n = r.a {open_}) GROUP BY 1, 2, 3)"
+    out += f", {p} AS (SELECT * FROM {p}{rounds})"
+    return out + f", {p}_by AS MATERIALIZED (SELECT x.s, x.o, y.n, min(r.e) AS e, arg_min(r.a, r.e) AS u FROM {p} x JOIN {arcs} r ON x.n = r.a JOIN {p} y ON y.s = x.s AND y.o = x.o AND y.n = r.b AND y.c = x.c + r.w {open_} GROUP BY 1, 2, 3)"
+
+
+def walk_sql(p: str, pairs: str) -> str:
+    """`p`_path (s, o, d, path: edge ids in order) of those (s, o, d) of `pairs` that are reachable, by following the edges of `p`_by."""
+    return f"""{p}_walk AS (SELECT s, o, d, d AS n, []::VARCHAR[] AS path FROM {pairs} UNION ALL SELECT w.s, w.o, w.d, b.u, list_concat([b.e], w.path) FROM {p}_walk w JOIN {p}_by b ON w.s = b.s AND w.o = b.o AND w.n = b.n),
+        {p}_path AS MATERIALIZED (SELECT s, o, d, path FROM {p}_walk WHERE n = o)"""
+
+
+def sums_sql(p: str) -> str:
+    return f"{p}_sums AS MATERIALIZED (SELECT s, o, d, sum(length) AS length, sum(time) AS time FROM (SELECT s, o, d, unnest(path) AS e FROM {p}_path) JOIN edges ON e = edge_id::VARCHAR GROUP BY 1, 2, 3)"
+
+
+def exact(c: str) -> str:
+    """A cost without what arcs_sql has added."""
+    return f"floor({c} * 1048576) / 1048576.0::DOUBLE"
+
+
+BASE_PATHS = f"{EDGES}, {arcs_sql('arcs', 'edges')}, pairs AS MATERIALIZED (SELECT 0 AS s, o, d, tons FROM ({DEMAND})), {trees_sql('t', 'SELECT DISTINCT s, o FROM pairs', 'arcs')}, {walk_sql('t', 'pairs')}, {sums_sql('t')}"
+
+
+def _side_sql(side: str, cost: str) -> str:
+    p = side
+    return f"{arcs_sql(p + '_arcs', '(SELECT *, ' + cost + ' AS g FROM edges)', 'g')}, {trees_sql(p, 'SELECT DISTINCT s, o FROM pairs', p + '_arcs')}, {walk_sql(p, 'pairs')}, {sums_sql(p)}"
+
+
+@query(f"""WITH RECURSIVE {EDGES}, pairs AS MATERIALIZED (SELECT 0 AS s, o, d, tons FROM ({DEMAND})), {_side_sql("lo", "cost")}, {_side_sql("hi", "cost * (1 + edge_id % 3)")}
+    SELECT q.o AS origin_id, q.d AS destination_id, q.tons, array_to_string(a.path, '>') AS min_edge_path, array_to_string(b.path, '>') AS max_edge_path, tons * {exact("x.c")} AS min_gcost, tons * {exact("y.c")} AS max_gcost, a.path IS NOT NULL AND b.path IS NOT NULL AS reachable,
+        coalesce(m.length, 0) AS min_length, coalesce(m.time, 0) AS min_time, coalesce(n.length, 0) AS max_length, coalesce(n.time, 0) AS max_time
+    FROM pairs q LEFT JOIN lo x ON x.o = q.o AND x.n = q.d LEFT JOIN hi y ON y.o = q.o AND y.n = q.d LEFT JOIN lo_path a ON a.o = q.o AND a.d = q.d LEFT JOIN hi_path b ON b.o = q.o AND b.d = q.d LEFT JOIN lo_sums m ON m.o = q.o AND m.d = q.d LEFT JOIN hi_sums n ON n.o = q.o AND n.d = q.d""")
 def n14_path_assembly(t: Tables):
-    """Paths at least and largest cost, costs times tons, and each path's length."""
+    """Paths at least and largest cost, costs times tons, and each path's length and time."""
     edges = road_edges(t).withColumn("min_gcost", F.col("cost")).withColumn("max_gcost", F.col("cost") * (1 + F.col("edge_id") % 3))
     out, key = routing.od_path_assembly(demand(t), edges).checkpoint(), ["origin_id", "destination_id"]
     for side in ("min", "max"):
-        out = routing.with_path_sums(out, edges.withColumn(f"{side}_length", F.col("length")), [f"{side}_length"], key, f"{side}_edge_path")
-    return out
+        names = {f"{side}_{s}": F.col(s) for s in SUMS}
+        out = routing.with_path_sums(out, edges.withColumns(names), list(names), key, f"{side}_edge_path")
+    return out.withColumns({c: F.array_join(c, ">") for c in ("min_edge_path", "max_edge_path")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE_PATHS}, used AS MATERIALIZED (SELECT DISTINCT e AS s, o, d FROM (SELECT o, d, unnest(path) AS e FROM t_path)), shut AS MATERIALIZED (SELECT DISTINCT s, s AS e FROM used),
+    {trees_sql("f", "SELECT DISTINCT s, o FROM used", "arcs", "shut")}, {walk_sql("f", "used")}, {sums_sql("f")},
+    x AS (SELECT u.s AS scenario_id, u.o AS origin_id, u.d AS destination_id, q.tons, {exact("t.c")} AS old_cost, coalesce(a.length, 0) AS old_length, coalesce(a.time, 0) AS old_time, (f.c IS NULL)::INTEGER AS no_access, {exact("f.c")} AS new_cost, CASE WHEN f.c IS NOT NULL THEN coalesce(b.length, 0) END AS new_length, CASE WHEN f.c IS NOT NULL THEN coalesce(b.time, 0) END AS new_time
+        FROM used u JOIN pairs q ON q.o = u.o AND q.d = u.d JOIN t ON t.o = u.o AND t.n = u.d JOIN t_sums a ON a.o = u.o AND a.d = u.d LEFT JOIN f ON f.s = u.s AND f.o = u.o AND f.n = u.d LEFT JOIN f_sums b ON b.s = u.s AND b.o = u.o AND b.d = u.d)
+    SELECT *, coalesce(new_cost - old_cost, 0) AS cost_diff, coalesce(new_length - old_length, 0) AS length_diff, coalesce(new_time - old_time, 0) AS time_diff, tons * coalesce(new_cost - old_cost, 0) AS tr_loss FROM x""")
 def n18_failures(t: Tables):
-    """Every edge that carries flow fails on its own; pairs on it are rerouted or cut off, with their losses and what they gain in length."""
+    """Every edge that carries flow fails on its own; pairs on it are rerouted or cut off, with their losses and what they gain in length and time."""
     paths = routed(t).where("reachable and tons > 0").checkpoint()
     edges = road_edges(t)
     used = routing.failure_set(edges.select(F.col("edge_id").cast("string").alias("edge_id")), routing.edge_flows(paths, "path", ["tons"]), "tons")
-    return routing.rerouting_losses(routing.failures(used.select(F.col("edge_id").alias("scenario_id"), "edge_id"), paths, edges, sums=("length",)), sums=("length",))
+    return routing.rerouting_losses(routing.failures(used.select(F.col("edge_id").alias("scenario_id"), "edge_id"), paths, edges, sums=SUMS), sums=SUMS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BASE_PATHS}, shut AS MATERIALIZED (SELECT brand || '|' || kind AS s, edge_id::VARCHAR AS e FROM edges), used AS MATERIALIZED (SELECT DISTINCT z.s, o, d FROM (SELECT o, d, unnest(path) AS e FROM t_path) p JOIN shut z ON z.e = p.e),
+    {trees_sql("f", "SELECT DISTINCT s, o FROM used", "arcs", "shut")},
+    x AS (SELECT u.s AS scenario_id, q.tons, (f.c IS NULL)::INTEGER AS no_access, q.tons * coalesce({exact("f.c")} - {exact("t.c")}, 0) AS tr_loss FROM used u JOIN pairs q ON q.o = u.o AND q.d = u.d JOIN t ON t.o = u.o AND t.n = u.d LEFT JOIN f ON f.s = u.s AND f.o = u.o AND f.n = u.d)
+    SELECT scenario_id, no_access, sum(tons) AS tons, round(sum(tr_loss), 4) AS tr_loss FROM x WHERE tons > 0 GROUP BY 1, 2""")
 def n19_joint_failures(t: Tables):
-    """All edges of a brand's busiest kind fail together; isolated and rerouted losses by scenario."""
+    """All edges of a brand and kind fail together; isolated and rerouted losses by scenario."""
     paths = routed(t).where("reachable").checkpoint()
     scenarios = road_edges(t).select(F.concat_ws("|", "brand", "kind").alias("scenario_id"), F.col("edge_id").cast("string").alias("edge_id"))
     failed = routing.rerouting_losses(routing.failures(scenarios, paths, road_edges(t))).checkpoint()
     lost = routing.isolated_losses(failed, ["scenario_id"], ["tons"]).withColumn("no_access", F.lit(1))
     moved = routing.reroute_losses(failed, ["scenario_id"], ["tons", "tr_loss"]).withColumn("no_access", F.lit(0))
-    return lost.withColumn("tr_loss", F.lit(0.0)).select("scenario_id", "no_access", "tons", "tr_loss").unionByName(moved.select("scenario_id", "no_access", "tons", "tr_loss"))
+    return lost.withColumn("tr_loss", F.lit(0.0)).select("scenario_id", "no_access", "tons", "tr_loss").unionByName(moved.select("scenario_id", "no_access", "tons", F.round("tr_loss", 4).alias("tr_loss")))
+
+
+MODES = """net AS MATERIALIZED (
+    SELECT m || ':' || edge_id AS edge_id, m || ':' || from_node AS from_node, m || ':' || to_node AS to_node, CASE WHEN m = 'rail' THEN cost ELSE cost * 2 END AS cost, m AS mode FROM (SELECT *, CASE WHEN length % 5 = 0 THEN 'rail' ELSE 'road' END AS m FROM edges)
+    UNION ALL SELECT 'link:' || s_suppkey, 'rail:' || s_suppkey, 'road:' || s_suppkey, 1 + s_suppkey / 1048576.0::DOUBLE, 'link' FROM supplier WHERE s_acctbal > 0)"""
+
+
+def modes(t: Tables):
+    """A network of two modes: parts of every fifth size are rail, the others road; suppliers with a balance are stations that link both."""
+    rail = F.col("length") % 5 == 0
+    edges = road_edges(t).select("edge_id", "from_node", "to_node", F.when(rail, F.col("cost")).otherwise(F.col("cost") * 2).alias("cost"), F.when(rail, "rail").otherwise("road").alias("mode"))
+    links = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("edge_id"), F.lit("rail").alias("from_mode"), F.col("s_suppkey").alias("from_node"), F.lit("road").alias("to_mode"), F.col("s_suppkey").alias("to_node"), (1 + F.col("s_suppkey") / 1048576).alias("cost"))
+    return routing.layered(edges, links).checkpoint()
+
+
+def rail_failures(t: Tables):
+    """Each rail edge with flow fails on its own, and all of rail at once with its links."""
+    network = modes(t)
+    od = demand(t).select(F.concat(F.lit("rail:"), "origin_id").alias("origin_id"), F.concat(F.lit("rail:"), "destination_id").alias("destination_id"), "tons")
+    flows = routing.edge_flows(routing.shortest_paths(od, network.where("mode = 'rail'")), "path", ["tons"])
+    single = routing.failure_set(network, flows, "tons").select(F.col("edge_id").alias("scenario_id"), "edge_id")
+    return routing.modal_failures(single.unionByName(routing.mode_closures(network).where("scenario_id = 'rail'")), od, network, "rail")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {MODES}, pairs AS MATERIALIZED (SELECT 0 AS s, 'rail:' || o AS o, 'rail:' || d AS d, tons FROM ({DEMAND})), {arcs_sql("r_arcs", "(SELECT * FROM net WHERE mode = 'rail')")}, {arcs_sql("arcs", "net")},
+    {trees_sql("t", "SELECT DISTINCT s, o FROM pairs", "r_arcs")}, {walk_sql("t", "pairs")}, old AS MATERIALIZED (SELECT o, d, unnest(path) AS e FROM t_path),
+    shut AS MATERIALIZED (SELECT DISTINCT e AS s, e FROM old UNION ALL SELECT 'rail', edge_id FROM net WHERE mode <> 'road'), used AS MATERIALIZED (SELECT DISTINCT z.s, o, d FROM old JOIN shut z ON z.e = old.e),
+    {trees_sql("f", "SELECT DISTINCT s, o FROM used", "arcs", "shut")}, {walk_sql("f", "used")},
+    m AS (SELECT s, o, d, bool_or(mode <> 'rail') AS changed FROM (SELECT s, o, d, unnest(path) AS e FROM f_path) p JOIN net ON e = edge_id GROUP BY 1, 2, 3)
+    SELECT u.s AS scenario_id, count(*) AS pairs, sum((f.c IS NULL)::BIGINT)::BIGINT AS lost, sum(coalesce(m.changed, false)::BIGINT)::BIGINT AS changed, sum(CASE WHEN f.c IS NULL THEN tons ELSE 0 END) AS lost_tons, sum(CASE WHEN m.changed THEN tons ELSE 0 END) AS changed_tons, round(sum(tons * coalesce({exact("f.c")} - {exact("t.c")}, 0)), 4) AS tr_loss
+    FROM used u JOIN pairs q ON q.o = u.o AND q.d = u.d JOIN t ON t.o = u.o AND t.n = u.d LEFT JOIN f ON f.s = u.s AND f.o = u.o AND f.n = u.d LEFT JOIN m ON m.s = u.s AND m.o = u.o AND m.d = u.d GROUP BY 1""")
+def n21_modal_failures(t: Tables):
+    """Rail flows rerouted over rail, road and their links when rail edges fail: pairs and tons that are lost or change their mode, by scenario."""
+    rows = routing.rerouting_losses(rail_failures(t))
+    n = lambda c: F.sum(c.cast("long"))
+    lost = F.col("no_access") == 1
+    return rows.groupBy("scenario_id").agg(F.count("*").alias("pairs"), n(lost).alias("lost"), n(F.col("changed")).alias("changed"), F.sum(F.when(lost, F.col("tons")).otherwise(0.0)).alias("lost_tons"), F.sum(F.when(F.col("changed"), F.col("tons")).otherwise(0.0)).alias("changed_tons"), F.round(F.sum("tr_loss"), 4).alias("tr_loss"))
 
 
 @query("""SELECT l_suppkey AS edge_id, min(s) AS min_speed, max(s) AS max_speed FROM (SELECT l_suppkey, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS s FROM lineitem) GROUP BY 1""")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayrisk.functions import columns as C
-from wayrisk.operators import joins, lookup, od
-from wayrisk.queries.base import OD_LOG, Tables, od_log, query
+from wayrisk.operators import joins, lookup, od, ordered
+from wayrisk.queries.base import DEPOTS, OD_LOG, PLACES, Tables, depots, od_log, places, query
 from wayrisk.sources import tables as S
 
 
@@ -262,7 +262,7 @@ def j10_mode_tariffs(t: Tables):
     m = F.lit("m")
     df = t.orders.select(k.alias("k"), F.concat(m, k % 5).alias("port_type"), F.concat(m, k % 7).alias("from_mode"), F.concat(m, F.col("o_custkey") % 5).alias("to_mode"))
     rules = t.nation.select(n.alias("seq"), F.concat(m, n % 4).alias("one_mode"), F.concat(m, n % 6).alias("other_mode"), (n * 0.5).alias("tariff_min"), (n * 0.75).alias("tariff_max"))
-    return lookup.first_rule(df, "k", rules, lookup.mode_pair_fits(), ["tariff_min", "tariff_max"]).select("k", "tariff_min", "tariff_max")
+    return lookup.first_rule(df, "k", rules, lookup.MODE_PAIRS, ["tariff_min", "tariff_max"]).select("k", "tariff_min", "tariff_max")
 
 
 @query("""SELECT p_partkey AS k, coalesce(min_by(n_nationkey + 0.5, n_nationkey), 1)::DOUBLE AS cost FROM part LEFT JOIN nation ON contains(p_name || ' ' || p_type, left(n_name, 2)) GROUP BY p_partkey""")
@@ -270,7 +270,7 @@ def j11_substring_lookup(t: Tables):
     """The first line whose name is a part of the edge's line."""
     df = t.part.select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", "p_type").alias("line"))
     rules = t.nation.select(F.col("n_nationkey").alias("seq"), F.substring("n_name", 1, 2).alias("line"), (F.col("n_nationkey") + 0.5).alias("cost"))
-    return lookup.first_rule(df, "k", rules, F.col("f.line").contains(F.col("r.line")), ["cost"], 1.0).select("k", "cost")
+    return lookup.first_contained(df, "k", "line", rules, "line", ["cost"], 1.0).select("k", "cost")
 
 
 @query("""WITH r AS (SELECT c_custkey AS record, 'st ' || (c_custkey % 150) AS name, c_nationkey AS line, c_nationkey % 5 AS prov FROM customer),
@@ -283,7 +283,7 @@ def j26_station_cascade(t: Tables):
     c, s = F.col("c_nationkey"), F.col("s_nationkey")
     records = t.customer.select(F.col("c_custkey").alias("record"), F.concat(F.lit("st "), F.col("c_custkey") % 150).alias("name"), c.alias("line"), (c % 5).alias("prov"))
     nodes = t.supplier.select(F.col("s_suppkey").alias("node"), F.concat(F.lit("st "), "s_suppkey").alias("name"), s.alias("line"), (s % 5).alias("prov"))
-    part = lambda: F.col("c.name").contains(F.col("r.name"))
+    part = ("name", "name", lookup.INSIDE)
     name, line, prov = ("name", "name"), ("line", "line"), ("prov", "prov")
     levels = [([name, line, prov], None), ([name, prov], None), ([name, line], None), ([prov], part), ([name], None), ([], part)]
     return lookup.cascade(records, "record", nodes, levels, "node")
@@ -299,14 +299,43 @@ def j28_pair_in_order(t: Tables):
     return lookup.pair_in_order(records, places, "route", "start_km", "distance").select("record_id", "place_id")
 
 
-@query("""WITH d AS (SELECT c_custkey AS point_id, s_suppkey AS marker_id, s_suppkey * 2.0 AS reading, abs(c_custkey % 1000 - s_suppkey * 10) + s_suppkey / 4096.0 AS d FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+@query("""WITH r AS (SELECT c_custkey AS record, 'Puerto ' || (c_custkey % 45) AS ref, CASE WHEN c_custkey % 11 = 0 THEN ' Rada ' WHEN c_custkey % 7 = 0 THEN 'Zona ' || (c_custkey % 9) ELSE 'pto ' || (c_custkey % 120) END AS named, 'g' || (c_custkey % 3) AS grp, 'land ' || c_nationkey AS land FROM customer),
+    n AS (SELECT 'node_' || s_suppkey AS node, lower('PUERTO ' || s_suppkey) AS name FROM supplier),
+    t AS (SELECT lower('Pto ' || (p_partkey % 60)) AS key, CASE WHEN p_partkey % 5 = 0 THEN 'all' ELSE 'g' || (p_partkey % 4) END AS grp, 'Puerto ' || (p_partkey % 50) AS port, p_partkey AS seq FROM part),
+    l AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'all' ELSE 'zona ' || (n_nationkey % 9) END AS key, 'land ' || n_nationkey AS land, 'node_' || (n_nationkey + 1) AS node, n_nationkey AS seq FROM nation),
+    a AS (SELECT record, lower(ref) AS ref, CASE WHEN trim(lower(named)) = 'rada' THEN 'Unknown' ELSE named END AS named, grp, land FROM r),
+    b AS (SELECT record, ref, coalesce((SELECT min_by(port, seq) FROM t WHERE t.key = lower(trim(a.named)) AND t.grp = a.grp), (SELECT min_by(port, seq) FROM t WHERE t.key = lower(trim(a.named)) AND t.grp = 'all'),
+        (SELECT min_by(node, seq) FROM l WHERE l.key = lower(trim(a.named))), (SELECT min_by(node, seq) FROM l WHERE l.land = a.land AND l.key = 'all'), named) AS named FROM a),
+    p AS (SELECT record, ref, named, lower(trim(named)) AS key, node, name FROM b, n),
+    one AS (SELECT record, node, named, 1 AS level FROM p WHERE contains(name, ref) AND (contains(ref, key) OR contains(key, ref) OR named = node)),
+    two AS (SELECT record, node, named, 2 AS level FROM p WHERE record NOT IN (SELECT record FROM one) AND (contains(name, key) OR contains(key, name) OR named = node)),
+    three AS (SELECT record, node, named, 3 AS level FROM p WHERE record NOT IN (SELECT record FROM one) AND record NOT IN (SELECT record FROM two) AND contains(name, ref))
+    SELECT DISTINCT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)""")
+def j27_port_cascade(t: Tables):
+    """Port names to nodes, after four levels of renaming."""
+    c, n, p = F.col("c_custkey"), F.col("n_nationkey"), F.col("p_partkey")
+    named = F.when(c % 11 == 0, F.lit(" Rada ")).when(c % 7 == 0, F.concat(F.lit("Zona "), c % 9)).otherwise(F.concat(F.lit("pto "), c % 120))
+    records = t.customer.select(c.alias("record"), F.concat(F.lit("Puerto "), c % 45).alias("reference"), named.alias("named"), F.concat(F.lit("g"), c % 3).alias("commodity_group"), F.concat(F.lit("land "), "c_nationkey").alias("country"))
+    nodes = t.supplier.select(F.concat(F.lit("node_"), "s_suppkey").alias("node"), F.concat(F.lit("PUERTO "), "s_suppkey").alias("name"))
+    renames = t.part.select(F.concat(F.lit("Pto "), p % 60).alias("od_port"), F.when(p % 5 == 0, "All").otherwise(F.concat(F.lit("G"), p % 4)).alias("commodity_group"), F.concat(F.lit("Puerto "), p % 50).alias("port"), p.alias("seq"))
+    countries = t.nation.select(F.when(n % 2 == 0, "all").otherwise(F.concat(F.lit("zona "), n % 9)).alias("port_name"), F.concat(F.lit("LAND "), n).alias("country"), F.concat(F.lit("node_"), n + 1).alias("node"), n.alias("seq"))
+    return lookup.port_cascade(records, nodes, renames, countries)
+
+
+@query(f"""WITH {PLACES}, {DEPOTS}, d AS (SELECT point_id, node_id AS marker_id, node_id * 2.0 AS reading, sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) AS d FROM places p JOIN depots n ON p.region = n.region),
     k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, marker_id) AS k FROM d) SELECT point_id, round(min_by(reading + d / 1000, reading), 6)::DOUBLE AS reading_km FROM k WHERE k <= 2 GROUP BY point_id""")
 def j29_marker_reading(t: Tables):
-    """Km reading of a point from its two nearest markers."""
-    points = t.customer.select(F.col("c_custkey").alias("point_id"), F.col("c_nationkey").alias("route"))
-    markers = t.supplier.select(F.col("s_suppkey").alias("marker_id"), F.col("s_nationkey").alias("route"), (F.col("s_suppkey") * 2.0).alias("reading"))
-    d = F.abs(F.col("point_id") % 1000 - F.col("marker_id") * 10) + F.col("marker_id") / 4096.0
-    return lookup.marker_reading(points, markers, "route", d).select("point_id", F.round("reading_km", 6).alias("reading_km"))
+    """Km reading of a point from its two nearest markers of the route."""
+    markers = depots(t).select(F.col("node_id").alias("marker_id"), "x", "y", F.col("region").alias("route"), (F.col("node_id") * 2.0).alias("reading"))
+    return lookup.marker_reading(places(t).withColumnRenamed("region", "route"), markers, "route", 50.0).select("point_id", F.round("reading_km", 6).alias("reading_km"))
+
+
+@query("""WITH s AS (SELECT o_totalprice / 4 AS speed, max(o_custkey) AS custkey FROM orders GROUP BY 1) SELECT l_orderkey AS k, l_linenumber AS n, custkey FROM lineitem ASOF LEFT JOIN s ON l_extendedprice >= speed""")
+def j9_floor_of_many(t: Tables):
+    """As many steps as orders: the customer of the dearest order whose quarter is at most a line's price."""
+    steps = t.orders.select((F.col("o_totalprice") / 4).alias("speed"), F.col("o_custkey").alias("custkey"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_extendedprice")
+    return ordered.as_of(rows, "l_extendedprice", steps, "speed", ["custkey"]).drop("l_extendedprice")
 
 
 @query("""SELECT l_partkey AS id, max(l_quantity) AS depth FROM lineitem GROUP BY 1""")
