@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import Scratch, shared_table, small_batches
+from wayrisk.llm.shared import Scratch, all_columns, shared_table, small_batches
 
 FREQUENT = 16  # a token is frequent from this count on, or from a higher one that leaves at most MOST_FREQUENT
 MOST_FREQUENT = 1 << 21  # which are broadcast, 8 bytes each
@@ -245,16 +245,16 @@ def _index(n: int, percent: int, frequent, copied):
 
 
 def _classified(n: int):
-    """(id, text, row) to (id, hi, lo, row)."""
+    """A function of texts that gives their class (hi, lo); both are null without words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
-        for b in batches:
-            sets = [shingles(t.as_py(), n, hashes) for t in b.column(1)]
+        for texts in batches:
+            sets = [shingles(t.as_py(), n, hashes) for t in texts]
             kinds = [class_of(s) if len(s) else (None, None) for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([k[0] for k in kinds], pa.int64()), pa.array([k[1] for k in kinds], pa.int64()), b.column(2)], ["id", "hi", "lo", "row"])
+            yield pa.StructArray.from_arrays([pa.array([k[i] for k in kinds], pa.int64()) for i in (0, 1)], ["hi", "lo"])
 
-    return run
+    return F.arrow_udf(run, "hi long, lo long")
 
 
 def _own_text(n: int):
@@ -482,18 +482,18 @@ def _components_of(given: DataFrame, sets: DataFrame, n: int, percent: int, scra
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id, and of several such rows the least in all columns.
+    """docs with one row of each component: that with the smallest id, and of several such rows the one that comes first as JSON.
 
     Rows without an id or without words stay. Rows that share an id but not a
-    text are told apart by their texts.
+    text are told apart by their texts. All columns stay, of whatever type and name.
     """
     found = shared_table(near_duplicates(docs, n, percent, id_col, text_col, class_col="class").select(F.col(id_col).alias("id"), "component_id", "class"), "found")
     known = found.where("id is not null and class is not null")
     if known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         gone = shared_table(known.where("id <> component_id").select(F.col("id").alias(id_col)), "gone")
-        return docs.join(_small(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
+        return docs.join(_small(gone, gone.count()), id_col, "left_anti").select(*all_columns(docs))
     stay = shared_table(known.groupBy("class.component").agg(F.min(F.struct("id", "class.hi", "class.lo")).alias("x")).select("x.*"), "stay")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
-    rows = rows.mapInArrow(_classified(n), f"id {docs.schema[id_col].dataType.simpleString()}, hi long, lo long, row {rows.schema['row'].dataType.simpleString()}")
-    chosen = rows.join(_small(stay, stay.count(), 2), ["id", "hi", "lo"]).groupBy("id", "hi", "lo").agg(F.min("row").alias("row")).select("row.*")
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*all_columns(docs)).alias("row"), _classified(n)(F.col(text_col)).alias("class")).select("id", "class.hi", "class.lo", "row")
+    chosen = rows.join(_small(stay, stay.count(), 2), ["id", "hi", "lo"]).groupBy("id", "hi", "lo").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return chosen.unionByName(rows.where("id is null or lo is null").select("row.*"))

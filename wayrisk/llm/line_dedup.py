@@ -11,7 +11,8 @@ Defined results: lines are compared without outer blanks; blank lines are never
 boilerplate. A null text stays null with no lines, an empty one stays empty;
 null hosts are one host. Every row stays, with an empty text if all its lines
 go; repeated rows are separate pages. Other columns are kept as they are, but
-for columns named n_lines or n_dropped, which the result has itself.
+for those that are named like the result's two counts, in small or capital
+letters; `counts` gives these other names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import shared_table
+from wayrisk.llm.shared import all_columns, shared_table
 
 
 def _lines(text: Column) -> Column:
@@ -40,16 +41,17 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = 0.08
     return often.groupBy("_host", "_none").agg(F.collect_list("_line").alias("_drop"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, least_pages: int = 3) -> DataFrame:
-    """docs with boilerplate lines taken out of text_col, and n_lines and n_dropped."""
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.08, least_pages: int = 3, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with boilerplate lines taken out of text_col, and the columns `counts`: a page's lines, and how many of them are dropped."""
     # Written first, so that its true size decides whether texts are shuffled to meet it.
     gone = shared_table(boilerplate(docs, F.col(host_col), F.col(text_col), ratio, least_pages), "boilerplate")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(host_col).isNull().alias("_none"))
+    rows = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(host_col).isNull().alias("_none"))
     text = F.col("_row")[text_col]
     lines = F.when(text.isNotNull(), _lines(text))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | (F.trim(x) == ""))
     out = rows.join(gone, ["_host", "_none"], "left").withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
-    cols = [(F.array_join("_kept", "\n") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    own = {c.lower() for c in counts}
+    cols = [(F.array_join("_kept", "\n") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if c.lower() not in own]
     n = F.coalesce(F.size(lines), F.lit(0))
     n = F.when(text.isNull(), 0).otherwise(n)
-    return out.select(*cols, n.alias("n_lines"), (n - F.when(text.isNull(), 0).otherwise(F.size("_kept"))).alias("n_dropped"))
+    return out.select(*cols, n.alias(counts[0]), (n - F.when(text.isNull(), 0).otherwise(F.size("_kept"))).alias(counts[1]))

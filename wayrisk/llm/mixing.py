@@ -28,7 +28,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import shared_table
+from wayrisk.llm.shared import all_columns, shared_table
 
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -204,13 +204,13 @@ def plan(docs: DataFrame, sources: Column, size: Column, quotas, max_repeats: in
 def taken(docs: DataFrame, mix: Mix, name: str = "copies") -> DataFrame:
     """docs with the column `name`: the source that each copy of the row goes to. Needs no shuffle."""
     at = F.struct(_draw(F.col(mix.id_col), mix.seed).alias("draw"), F.col(mix.id_col).alias("id"))
-    row = docs.select(F.struct(*docs.columns).alias("row"), _pattern(mix.sources).alias("pattern"), mix.size.alias("size"), at.alias("at"))
+    row = docs.select(F.struct(*all_columns(docs)).alias("row"), _pattern(mix.sources).alias("pattern"), mix.size.alias("size"), at.alias("at"))
     row = row.join(F.broadcast(mix.cuts), "pattern", "left")
     reached = F.filter("cuts", lambda c: (F.col("at") <= c["last"]) & (F.col("size") > 0))
     # Of each repetition the first end that the document lies before.
     first = F.filter(reached, lambda c, j: (j == 0) | (F.coalesce(F.get(reached, j - 1)["k"], F.lit(-1)) < c["k"]))
     copies = F.coalesce(F.transform(first, lambda c: c["source"]), F.array().cast("array<string>"))
-    return row.withColumn("copies", copies).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != name), F.col("copies").alias(name))
+    return row.withColumn("copies", copies).select(*(F.col("row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()), F.col("copies").alias(name))
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, quotas, max_repeats: int = 3, seed: int = 4, id_col: str = "doc_id") -> DataFrame:

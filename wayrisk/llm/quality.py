@@ -128,21 +128,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 48,
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the column `name` added (or put in place of one so called)."""
+    """docs with the column `name` added (or put in place of one so called). Only texts go to the workers, and only scores come back."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn(name, F.lit(0.0)).schema
-    at, kept = docs.columns.index(text_col), [i for i, c in enumerate(docs.columns) if c != name]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for b in batches:
-            for i in range(0, b.num_rows, BLOCK):
-                part = b.slice(i, BLOCK)
-                rows = np.stack([terms(t.as_py()) for t in part.column(at)])
-                s = model.score(rows) if model else np.where(rows[:, :GRAMS].any(1), 0.5, 0.0)
-                cols = {docs_names[k]: part.column(k) for k in kept} | {name: pa.array(s)}
-                yield pa.record_batch([cols[c] for c in names], names)
-
-    docs_names, names = docs.columns, [f.name for f in schema]
-    return docs.mapInArrow(run, schema)
+        for texts in batches:
+            out = [np.zeros(0)]
+            for i in range(0, len(texts), BLOCK):
+                rows = np.stack([terms(t.as_py()) for t in texts[i : i + BLOCK]])
+                out.append(model.score(rows) if model else np.where(rows[:, :GRAMS].any(1), 0.5, 0.0))
+            yield pa.array(np.concatenate(out))
+
+    return docs.withColumn(name, F.arrow_udf(scores, "double")(F.col(text_col)))

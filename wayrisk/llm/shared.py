@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
@@ -29,6 +30,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """Every column by its quoted name, so that names with dots and blanks are columns too."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, or the name and underlines, whatever no column of df is called (in small or capital letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _written(df: DataFrame, label: str) -> tuple[DataFrame, object]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
