@@ -2,7 +2,8 @@
 
 Every stage takes the documents that the one before kept and returns the
 columns of documents, but for the last, which returns the packed pieces. An
-empty table gives no rows in any stage; further columns of documents are kept.
+empty table gives no rows in any stage; further columns of documents, of any
+name and type, are kept with their values.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayrisk.llm import jaccard_join, line_dedup, mixing, packing, quality
 from wayrisk.llm.queries import SOURCE_WEIGHTS
-from wayrisk.llm.shared import shared_table
+from wayrisk.llm.shared import all_columns, free_name, shared_table
 
 LEAST_QUALITY = 0.3
 
@@ -20,17 +21,16 @@ LEAST_QUALITY = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is at least LEAST_QUALITY; null, empty and blank texts score 0 and go, ties stay."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = "score"
-    while name in map(str.lower, docs.columns):
-        name += "_"
-    return quality.score(docs, model, name=name).where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
+    name = free_name("score", docs)
+    return quality.score(docs, model, name=name).where(F.col(name) >= LEAST_QUALITY).select(*all_columns(docs))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their source's boilerplate lines; n_chars follows the text."""
-    clean = line_dedup.drop_boilerplate(docs)
-    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", chars).select(*docs.columns)
+    lines, dropped = free_name("n_lines", docs), free_name("n_dropped", docs)
+    clean = line_dedup.drop_boilerplate(docs, counts=(lines, dropped))
+    chars = F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", chars).select(*all_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it; rows that share an id are taken alike, texts without words never."""
     mix = mixing.plan(docs, F.array("source"), mixing.n_words(F.col("text")), lambda sizes: mixing.targets(sizes, SOURCE_WEIGHTS))
-    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    rows = docs.select("doc_id", "source", "text", F.struct(*all_columns(docs)).alias("row"))
     return mixing.taken(rows, mix).select("row", F.explode("copies")).select("row.*")
 
 
