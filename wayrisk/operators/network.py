@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions import geometry as G
-from wayrisk.operators.spatial import nearest_line, nearest_node, segments_of, tile_pairs, with_crossed_tiles, within_reach
+from wayrisk.operators.spatial import nearest_line, nearest_node, segments_of, with_crossed_tiles, within_reach
 
 
 def with_ids(df: DataFrame, name: str, prefix: str, parts: int, *order: str) -> DataFrame:
@@ -152,9 +152,9 @@ def merge_chains(edges: DataFrame, firsts: list[str], length: str = "length") ->
 
 
 def merged_names(edges: DataFrame, tile: float, tolerance: float) -> DataFrame:
-    """Names of edges that lie within tolerance (all vertices) of an edge, as a sorted comma list."""
-    box = G.bounds(F.col("points"))
-    pairs = tile_pairs(edges.select(F.col("edge_id").alias("a"), "points"), "a", box, edges.select(F.col("edge_id").alias("b"), "points"), "b", box, tile, tolerance)
+    """Names of edges that lie within tolerance (all vertices) of an edge, as a sorted comma list. Pairs come from first vertices within reach of a line."""
+    first = edges.select(F.col("edge_id").alias("point_id"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
+    pairs = within_reach(first, edges, tile, tolerance).select(F.col("edge_id").alias("a"), F.col("point_id").alias("b"))
     full = pairs.join(edges.select(F.col("edge_id").alias("a"), F.col("points").alias("_a")), "a").join(edges.select(F.col("edge_id").alias("b"), F.col("points").alias("_b"), "name"), "b")
     close = full.where(F.forall("_b", lambda p: G.project(F.col("_a"), p["x"], p["y"])["distance"] <= tolerance))
     names = close.groupBy(F.col("a").alias("edge_id")).agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))

@@ -91,7 +91,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float, point_id: str
         around = around.withColumn("cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("ny") / size) + k)))
         d = G.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))
         best = here.join(around, ["cx", "cy", *on]).groupBy(point_id).agg(F.min(F.struct(d.alias("distance"), F.col(node_id))).alias("_m"))
-        sure = best.where(F.col("_m.distance") <= size).select(point_id, F.col(f"_m.{node_id}").alias(node_id), F.col("_m.distance").alias("distance"))
+        sure = best.where(F.col("_m.distance") <= size).select(point_id, F.col(f"_m.{node_id}").alias(node_id), F.col("_m.distance").alias("distance")).checkpoint()
         found = sure if found is None else found.unionByName(sure)
         left = left.join(sure, point_id, "left_anti").checkpoint()
         if left.isEmpty():

@@ -240,7 +240,9 @@ def n22_extra_failures(t: Tables):
     return routing.extra_failures(flagged, near, edges, "national", failed)
 
 
-@query()
+@query(f"""WITH {relaxed_sql('SELECT s_suppkey AS o FROM supplier')}, served AS (SELECT DISTINCT o_custkey AS k, l_suppkey AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    r AS (SELECT c_custkey AS record, abs(c_acctbal) AS kms, b.o AS origin_id, d AS destination_id, b.c AS routed_km, row_number() OVER (PARTITION BY c_custkey ORDER BY b.c, b.o, d) AS n FROM customer JOIN served ON k = c_custkey JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey <> d JOIN best b ON b.o = s_suppkey AND b.n = d)
+    SELECT record, origin_id, destination_id, routed_km, kms, abs(routed_km - kms) > 0.2 * kms AS mismatch FROM r WHERE n = 1""")
 def n24_closest_candidates(t: Tables):
     """Of each customer's candidate station pairs (all suppliers of its nation, all suppliers of its orders) the nearest, and those far off the reported distance."""
     served = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("record"), F.col("l_suppkey").alias("destination_id")).distinct()

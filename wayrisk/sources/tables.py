@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,17 @@ from pyspark.sql import types as T
 from wayrisk.functions import geometry as G
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder named in spark.checkpoint.dir (or set as Spark's checkpoint folder), for tables that all executors write and read; it goes when the session ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A headed CSV; columns go by position, so a byte-order mark in the header does no harm."""
     return spark.read.schema(schema).option("enforceSchema", True).csv(path, header=True, encoding="UTF-8")
@@ -46,6 +59,12 @@ def scenario_of_file(name: Column) -> Column:
     )
 
 
+def read_hazards(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All headed CSV files below a folder, each row with the scenario that its file's path names."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).csv(path, header=True)
+    return rows.withColumn("_s", scenario_of_file(F.col("_metadata.file_path"))).select(*rows.columns, "_s.*")
+
+
 def with_scenarios(hits: DataFrame, files: DataFrame, file_col: str = "file_name") -> DataFrame:
     """Hazard attributes by file name; files is the lookup of one row for each hazard file."""
     return hits.join(files, file_col, "left")
