@@ -1,10 +1,14 @@
 """Exact top-k search by inner product over a vector-approximation file (operator 2).
 
 Every distinct vector is stored once, quantised to one cell number per
-dimension. A scan of the cells bounds each inner product from below and above;
-vectors whose upper bound is under the k-th lower bound are out. The others are
-read exactly in falling upper bound: a first helping of each query fixes a
-k-th exact score, and only vectors whose bound still reaches it are read after.
+dimension. A scan of the cells bounds each inner product from below and above.
+A task keeps the k highest lower bounds that each query has met so far, and
+passes on only vectors whose upper bound reaches the lowest of these, so what
+leaves a scan is some k rows for each query and task, whatever the table's size.
+Queries are scanned in blocks of at most QUERY_BYTES, which are broadcast: the
+cells stay where they are. The vectors that are left are read exactly in falling
+upper bound: a first helping of each query fixes a k-th exact score, and only
+vectors whose bound still reaches it are read after.
 
 Vectors that are equal stand for one another: a class keeps the k + 1 smallest
 ids of its members, as no others can be among k results. So a third of all rows
@@ -28,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm.shared import shared_table
+from wayrisk.llm.shared import Scratch, shared_table, small_batches
 
-BLOCK = 1024  # vectors of a block of the approximation file; also queries of a block, on average
+BLOCK = 1024  # vectors of a block of the approximation file; also queries that are bounded at once
+QUERY_BYTES = 32 << 20  # of the exact query vectors that are broadcast at once
+HELD = 1 << 20  # candidates that a task gathers before it drops those that better bounds have ruled out
+PAIRS = 1 << 34  # of queries and vectors that a task bounds, about
 CELL_BITS = 8
 MOST = 1e150  # of a component's magnitude: larger ones count as this, so that sums of products stay finite
 MOST_SCORE = 9e37  # where 38 digits are not enough
@@ -79,70 +86,124 @@ def approximation_file(classes: DataFrame) -> DataFrame:
     return classes.select("class", "v").mapInArrow(_packed, _BLOCK)
 
 
-def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
-    """Exact query vectors in blocks of about BLOCK, by hash: block, dim, qs."""
-    block = F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("block")
-    return queries.groupBy(block, F.size("v").alias("dim")).agg(F.collect_list(F.struct("class", "v")).alias("qs"))
-
-
-def _bounds(k: int):
-    """(query block, cell block) to candidates (qclass, class, low, high) that can be among the block's k best."""
+class _Asked:
+    """Exact query vectors of one length, and what a task knows of them."""
+
+    def __init__(self, classes: np.ndarray, q: np.ndarray, need: int):
+        self.classes, self.q, self.need = classes, q, need
+        self.best = np.full((len(q), need), -np.inf)  # the highest lower bounds so far
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def bound(self, base: np.ndarray, step: np.ndarray, cells: np.ndarray, classes: np.ndarray) -> None:
+        # A component lies in [edge, edge + step - 1]; doubles hold sums of integers below EXACT exactly.
+        edge, width, d = base + cells * step, step - 1, len(base)
+        for i in range(0, len(self.q), BLOCK):
+            q = self.q[i : i + BLOCK]
+            at_edge = q @ edge.T
+            low = at_edge + (np.minimum(q, 0) @ width)[:, None]
+            high = at_edge + (np.maximum(q, 0) @ width)[:, None]
+            size = np.abs(q) @ (np.abs(base) + step * (1 << CELL_BITS))
+            if (size >= EXACT).any():  # rounding of edges, products and sums, generously
+                slack = np.where(size < EXACT, 0.0, size * (d + 8) * 2.0**-51)[:, None]
+                low, high = low - slack, high + slack
+            both = np.concatenate([self.best[i : i + BLOCK], low], 1)
+            self.best[i : i + BLOCK] = np.partition(both, both.shape[1] - self.need, axis=1)[:, both.shape[1] - self.need :]
+            r, c = np.nonzero(high >= self.best[i : i + BLOCK].min(1)[:, None])
+            self.found.append((r + i, classes[c], low[r, c], high[r, c]))
+            self.held += len(r)
+        if self.held > HELD:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """Only the candidates that the bounds so far leave."""
+        r, c, low, high = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        keep = high >= self.best.min(1)[r]
+        self.found = [(r[keep], c[keep], low[keep], high[keep])]
+        self.held = int(keep.sum())
+        return self.found[0]
+
+
+def _scan(asked, need: int):
+    """Cell blocks to candidates (qclass, class, low, high) that can be among the task's k best of a query. asked: by length, classes and vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {d: _Asked(c, q, need) for d, (c, q) in asked.value.items()}
         for b in batches:
             for r in b.to_pylist():
-                d = r["dim"]
-                q = np.array([x["v"] for x in r["qs"]], np.float64).reshape(len(r["qs"]), d)
-                base, step = np.frombuffer(r["base"], np.float64), np.frombuffer(r["step"], np.float64)
-                cells = np.frombuffer(r["cells"], np.uint8).reshape(len(r["classes"]), d)
-                classes, qclasses = np.array(r["classes"]), np.array([x["class"] for x in r["qs"]])
-                # A component lies in [edge, edge + step - 1]; doubles hold sums of integers below EXACT exactly.
-                edge = base + cells * step
-                width = step - 1
-                at_edge = q @ edge.T
-                low = at_edge + (np.minimum(q, 0) @ width)[:, None]
-                high = at_edge + (np.maximum(q, 0) @ width)[:, None]
-                size = np.abs(q) @ (np.abs(base) + step * (1 << CELL_BITS))
-                if (size >= EXACT).any():  # rounding of edges, products and sums, generously
-                    slack = np.where(size < EXACT, 0.0, size * (d + 8) * 2.0**-51)[:, None]
-                    low, high = low - slack, high + slack
-                n = min(k, len(classes))
-                kth = np.partition(low, len(classes) - n, axis=1)[:, len(classes) - n] if len(classes) > k else np.full(len(q), -np.inf)
-                i, j = np.nonzero(high >= kth[:, None])
-                yield pa.record_batch([pa.array(qclasses[i]), pa.array(classes[j]), pa.array(low[i, j]), pa.array(high[i, j])], ["qclass", "class", "low", "high"])
+                if (mine := known.get(r["dim"])) is not None:
+                    cells = np.frombuffer(r["cells"], np.uint8).reshape(len(r["classes"]), r["dim"])
+                    mine.bound(np.frombuffer(r["base"], np.float64), np.frombuffer(r["step"], np.float64), cells, np.array(r["classes"], np.int64))
+        for mine in known.values():
+            if mine.found:
+                r, c, low, high = mine.settle()
+                for i in range(0, len(r), HELD):
+                    yield pa.record_batch([pa.array(x[i : i + HELD]) for x in (mine.classes[r], c, low, high)], ["qclass", "class", "low", "high"])
 
     return run
 
 
+def query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The exact query vectors (class, v) by length, QUERY_BYTES at once at most (one vector, if it is longer)."""
+    rows, size = [], 0
+
+    def block() -> dict:
+        by_dim: dict[int, list] = {}
+        for r in rows:
+            by_dim.setdefault(len(r["v"]), []).append(r)
+        return {d: (np.array([r["class"] for r in x], np.int64), np.array([r["v"] for r in x], np.float64).reshape(len(x), d)) for d, x in by_dim.items()}
+
+    for r in queries.toLocalIterator():
+        if rows and size + 8 * len(r["v"]) > QUERY_BYTES:
+            yield block()
+            rows, size = [], 0
+        rows.append(r)
+        size += 8 * len(r["v"])
+    if rows:
+        yield block()
+
+
+def candidates(classes: DataFrame, queries: DataFrame, need: int, scratch: Scratch) -> DataFrame:
+    """qclass, class, low, high: what each scan of the approximation file leaves of each query."""
+    spark = classes.sparkSession
+    small_batches(spark)
+    cells = scratch.table(approximation_file(classes), "cells")
+    counted = cells.select(F.sum(F.size("classes")).alias("vectors"), F.count("*").alias("blocks")).first()
+    out = None
+    for block in query_blocks(queries):
+        n = sum(len(c) for c, _ in block.values())
+        tasks = min(counted["blocks"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * counted["vectors"] // PAIRS)))
+        shared = spark.sparkContext.broadcast(block)
+        found = scratch.table(cells.repartition(max(1, tasks)).mapInArrow(_scan(shared, need), "qclass long, class long, low double, high double"), "bounds")
+        shared.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "qclass long, class long, low double, high double")
+
+
 def topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, helping: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each row for which the Column is_query holds, itself excepted.
 
     helping: multiples of k + 1 that the first exact reading takes of each query.
     """
-    spark = vectors.sparkSession
     need = k + 1
-    classes = shared_table(vector_classes(vectors, id_col, vec_col, scale, need), "vectors")
+    with Scratch(vectors.sparkSession) as scratch:
+        return shared_table(_ranked(vectors, is_query, k, need, id_col, vec_col, scale, helping, scratch.table, scratch), "top-k")
+
+
+def _ranked(vectors: DataFrame, is_query, k: int, need: int, id_col: str, vec_col: str, scale: int, helping: int, table, scratch: Scratch) -> DataFrame:
+    classes = table(vector_classes(vectors, id_col, vec_col, scale, need), "vectors")
     asked = vectors.where(is_query & takes_part(id_col, vec_col)).select(F.col(id_col).cast("long").alias("query_id"), components(F.col(vec_col), scale).alias("v"))
-    asked = shared_table(asked.join(classes.select("v", "class"), "v").select("query_id", F.col("class").alias("qclass")), "asked")
+    asked = table(asked.join(classes.select("v", "class"), "v").select("query_id", F.col("class").alias("qclass")), "asked")
     qids = asked.select(F.col("qclass").alias("class")).distinct()
-    qclasses = shared_table(classes.join(qids, "class", "left_semi").select("class", "v"), "queries")
-
-    # The stated queries against all rows, in blocks. Where there are fewer query blocks
-    # than tasks, each is dealt to several salts, so that all tasks have cell blocks to do.
-    blocks = max(1, -(-qclasses.count() // BLOCK))
-    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
-    asked_blocks = query_blocks(qclasses, blocks).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    cells = approximation_file(classes).withColumn("salt", F.pmod(F.xxhash64(F.col("classes")[0]), F.lit(salts)).cast("int"))
-    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    met = cells.join(asked_blocks, ["dim", "block", "salt"]).drop("block", "salt")
-    found = shared_table(met.mapInArrow(_bounds(need), "qclass long, class long, low double, high double"), "bounds")
+    qclasses = table(classes.join(qids, "class", "left_semi").select("class", "v"), "queries")
+    found = candidates(classes, qclasses, need, scratch)
 
     by_low = Window.partitionBy("qclass").orderBy(F.desc("low"), "class")
     kth = found.withColumn("k", F.row_number().over(by_low)).where(F.col("k") <= need).groupBy("qclass").agg(F.min("low").alias("kth"), F.count("*").alias("n"))
     kth = kth.select("qclass", F.when(F.col("n") == need, F.col("kth")).alias("kth"))
     able = found.join(kth, "qclass").where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("qclass", "class", "high")
     by_high = Window.partitionBy("qclass").orderBy(F.desc("high"), "class")
-    able = shared_table(able.withColumn("k", F.row_number().over(by_high)), "candidates")
+    able = table(able.withColumn("k", F.row_number().over(by_high)), "candidates")
 
     exact = classes.select("class", "v")
     query = qclasses.select(F.col("class").alias("qclass"), F.col("v").alias("q"))
@@ -158,7 +219,7 @@ def topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_
         score = F.when(sizes < EXACT, dot.cast(whole)).otherwise(F.coalesce(digits, F.greatest(F.least(dot, F.lit(MOST_SCORE)), F.lit(-MOST_SCORE)).cast(whole)))
         return met.select("qclass", "class", score.alias("score"))
 
-    first = shared_table(scored(able.where(F.col("k") <= helping * need)), "first")
+    first = table(scored(able.where(F.col("k") <= helping * need)), "first")
     by_score = Window.partitionBy("qclass").orderBy(F.desc("score"), "class")
     sure = first.withColumn("k", F.row_number().over(by_score)).where(F.col("k") == need).select("qclass", F.col("score").cast("double").alias("sure"))
     later = able.where(F.col("k") > helping * need).join(sure, "qclass").where(F.col("high") >= F.col("sure")).select("qclass", "class")
