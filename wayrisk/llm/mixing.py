@@ -145,16 +145,17 @@ class Mix(NamedTuple):
     """
 
     cuts: DataFrame
+    rows: DataFrame  # id, pattern, size and draw of every document
     sources: Column
-    size: Column
+    present: Column  # whether a document has any words
     seed: int
     id_col: str
     sizes: dict
     wanted: dict
 
 
-def plan(docs: DataFrame, sources: Column, size: Column, quotas, max_repeats: int = 3, seed: int = 4, id_col: str = "doc_id") -> Mix:
-    """A Mix of docs. sources: an array of sources; quotas: a function from the words of each source to the words wanted of each.
+def plan(docs: DataFrame, sources: Column, size: Column, quotas, max_repeats: int = 3, seed: int = 4, id_col: str = "doc_id", present: Column | None = None) -> Mix:
+    """A Mix of docs. sources: an array of sources; quotas: a function from the words of each source to the words wanted of each; present: size > 0, if that can be told for less than the size.
 
     Broadcast: one row for each pattern, at most MAX_PATTERNS, with up to
     max_repeats entries for each of its sources.
@@ -198,15 +199,15 @@ def plan(docs: DataFrame, sources: Column, size: Column, quotas, max_repeats: in
     last = last.select("pattern", "draw", "id", F.explode(F.filter("arcs", lambda a: F.col("middle") <= a["upto"])).alias("a"))
     cuts = last.groupBy("pattern", "a").agg(F.max(F.struct("draw", "id")).alias("last"))
     cuts = cuts.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("a.k", "a.i", "last", "a.source"))).alias("cuts"))
-    return Mix(shared_table(cuts, "cuts"), sources, size, seed, id_col, dict(of_source), wanted)
+    return Mix(shared_table(cuts, "cuts"), narrow, sources, size > 0 if present is None else present, seed, id_col, dict(of_source), wanted)
 
 
 def taken(docs: DataFrame, mix: Mix, name: str = "copies") -> DataFrame:
     """docs with the column `name`: the source that each copy of the row goes to. Needs no shuffle."""
     at = F.struct(_draw(F.col(mix.id_col), mix.seed).alias("draw"), F.col(mix.id_col).alias("id"))
-    row = docs.select(F.struct(*all_columns(docs)).alias("row"), _pattern(mix.sources).alias("pattern"), mix.size.alias("size"), at.alias("at"))
+    row = docs.select(F.struct(*all_columns(docs)).alias("row"), _pattern(mix.sources).alias("pattern"), mix.present.alias("present"), at.alias("at"))
     row = row.join(F.broadcast(mix.cuts), "pattern", "left")
-    reached = F.filter("cuts", lambda c: (F.col("at") <= c["last"]) & (F.col("size") > 0))
+    reached = F.filter("cuts", lambda c: (F.col("at") <= c["last"]) & F.col("present"))
     # Of each repetition the first end that the document lies before.
     first = F.filter(reached, lambda c, j: (j == 0) | (F.coalesce(F.get(reached, j - 1)["k"], F.lit(-1)) < c["k"]))
     copies = F.coalesce(F.transform(first, lambda c: c["source"]), F.array().cast("array<string>"))
@@ -216,5 +217,5 @@ def taken(docs: DataFrame, mix: Mix, name: str = "copies") -> DataFrame:
 def mix(docs: DataFrame, sources: Column, size: Column, quotas, max_repeats: int = 3, seed: int = 4, id_col: str = "doc_id") -> DataFrame:
     """id, size, pattern and copies (the source that each copy goes to) of every row of docs."""
     made = plan(docs, sources, size, quotas, max_repeats, seed, id_col)
-    narrow = docs.select(F.col(id_col).alias("id"), size.alias("size"), _pattern(sources).alias("pattern"))
-    return taken(narrow, made._replace(sources=F.transform("pattern", lambda s: F.when(~s["none"], s["name"])), size=F.col("size"), id_col="id"))
+    names = F.transform("pattern", lambda s: F.when(~s["none"], s["name"]))
+    return taken(made.rows.select("id", "size", "pattern"), made._replace(sources=names, present=F.col("size") > 0, id_col="id"))
