@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wayrisk.llm import jaccard_join, line_dedup, mixing, packing, quality, token_counts
+from wayrisk.llm.shared import Scratch
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -240,3 +241,18 @@ def test_pipeline_stages(spark, tmp_path):
     ids = [tuple(r) for r in packed.select("sequence_id", "offset").collect()]
     assert len(ids) == len(set(ids)) and packed.where("piece = 0").count() == df.count()
     assert mixing.n_words is not None
+
+
+def test_a_token_spread_thinly_is_frequent(spark):
+    """A passage on one document in each chunk, never twice in one, is in the frequent class; tokens of one document aren't."""
+    own = lambda i: " ".join(f"u{i}_{k}" for k in range(60))
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, own(i) + (" " + passage if i % 22 == 0 else "")) for i in range(3300)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    sets = docs.mapInArrow(jaccard_join._sets(5, chunk_tokens=1200), "id long, size int, hi long, lo long, bits array<long>, wide array<long>, tokens array<long>, counts array<long>").checkpoint()
+    assert sets.where("size(tokens) > 0").count() > 50
+    with Scratch(spark) as scratch:
+        frequent = set(jaccard_join._frequent(sets, scratch).tolist())
+    hashes = jaccard_join.WordHashes()
+    common = set(jaccard_join.shingles(passage, 5, hashes).tolist())
+    assert len(common & frequent) >= 0.9 * len(common) and len(frequent - common) < 20

@@ -1,10 +1,13 @@
 """N-gram Jaccard join with token-combination prefixes (operator 3).
 
-A text's tokens are its distinct word shingles, as 64-bit hashes. Tokens are in
-two classes: frequent ones (the heavy hitters of every chunk of the corpus,
-summed; counted at least FREQUENT times, or more often where these would be over
-MOST_FREQUENT) and rare ones. The global order puts rare tokens first. Of each
-set as long a prefix is indexed as makes its coverage reach the number of tokens
+A text's tokens are its distinct word shingles, as 64-bit hashes; equality of
+tokens, also in the last check, is equality of hashes. Tokens are in two classes:
+frequent ones (counted at least FREQUENT times, or more often where these would
+be over MOST_FREQUENT) and rare ones. Of each chunk of the corpus the tokens that
+it has twice or more are counted as they are, and of the others every ONE_OF-th,
+drawn by token and chunk, for nearly as many; so the summed counts are near the
+true ones however thinly a token is spread. The global order puts rare tokens
+first. Of each set as long a prefix is indexed as makes its coverage reach the number of tokens
 that a partner may lack, plus one: a rare token covers 1 and is indexed alone;
 frequent tokens, dealt to GROUPS groups by hash, cover one less than a group has
 in the prefix and are indexed as pairs of a group. Two sets that are similar
@@ -62,8 +65,9 @@ AT_ONCE = 8  # an entry of at most so many classes has all its pairs verified
 PIVOTS = 4  # of an entry in the first round, sixteen times as many in each that follows
 GROUPS = 16
 SMALL = 24  # above it, pairs always suffice: size - GROUPS >= size - ceil(0.8 * size) + 1
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_LEAST = 2
+ONE_OF = 8  # of a chunk's other tokens one in so many is counted, as ONE_OF - 1, so that two draws do not make a token frequent
 MEMO_WORDS = 150_000
 MEMO_CLASSES = 100_000
 COPIED, MOST_COPIED = 64, 50_000  # of the most copied classes, from COPIED rows on, only one row is indexed
@@ -154,7 +158,7 @@ def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
-def _sets(n: int):
+def _sets(n: int, chunk_tokens: int = CHUNK_TOKENS):
     """(id, text) to (id, size, hi, lo, bits, wide), and with some rows a chunk's most common tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +170,10 @@ def _sets(n: int):
             if not gathered:
                 return none
             token, count = np.unique(np.concatenate(gathered), return_counts=True)
-            keep = count >= CHUNK_LEAST
+            often = count >= CHUNK_LEAST
+            drawn = ~often & (_mixed(token ^ _mixed(gathered[0][:1])) % np.uint64(ONE_OF) == 0)
             gathered.clear()
-            return token[keep].view(np.int64), count[keep].astype(np.int64)
+            return token[often | drawn].view(np.int64), np.where(often, count, ONE_OF - 1)[often | drawn].astype(np.int64)
 
         for b in batches:
             size, kind, bits, wide, tokens, counts = [], [], [], [], [], []
@@ -185,7 +190,7 @@ def _sets(n: int):
                     gathered.append(s)
                     many += len(s)
                 got = none
-                if many >= CHUNK_TOKENS:
+                if many >= chunk_tokens:
                     got, many = common(), 0
                 tokens.append(got[0])
                 counts.append(got[1])
