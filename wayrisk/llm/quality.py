@@ -67,23 +67,38 @@ class Model:
     def __init__(self, rows: np.ndarray, labels: np.ndarray, dims: int, shape_weight: float, neighbours: int, sharpness: float):
         self.shape_weight, self.neighbours, self.sharpness = shape_weight, neighbours, sharpness
         self.idf = np.log((1 + len(rows)) / (1 + (rows[:, :GRAMS] > 0).sum(0))).astype(np.float32) + 1
-        # The right singular vectors from the Gram matrix, whose size is fixed.
-        gram = np.zeros((GRAMS + SHAPES, GRAMS + SHAPES))
-        for i in range(0, len(rows), BLOCK):
-            weighed = self.weigh(rows[i : i + BLOCK])
-            gram += weighed.T @ weighed
-        values, vectors = np.linalg.eigh(gram)
-        self.basis = vectors[:, np.argsort(-values)[:dims]].astype(np.float32)
-        self.vectors = np.vstack([self.latent(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)])
+        for i in range(0, len(rows), BLOCK):  # weighed in their place, which needs no further memory
+            rows[i : i + BLOCK] = self.weigh(rows[i : i + BLOCK])
+        self.basis = self._subspace(rows, dims).astype(np.float32)
+        self.vectors = np.vstack([self.unit(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)])
         self.labels = labels.astype(np.float32)
 
+    def _subspace(self, rows: np.ndarray, dims: int, more: int = 32, rounds: int = 20) -> np.ndarray:
+        """The `dims` strongest right singular vectors of weighed rows, by subspace iteration from a seeded start; memory for `dims` + `more` vectors."""
+        size = GRAMS + SHAPES
+        q = np.linalg.qr(np.random.default_rng(8).standard_normal((size, min(dims + more, size))))[0]
+        for k in range(rounds + 1):
+            z, small = np.zeros_like(q), 0.0
+            for i in range(0, len(rows), BLOCK):
+                weighed = rows[i : i + BLOCK].astype(np.float64)
+                at = weighed @ q
+                z += weighed.T @ at
+                small += at.T @ at
+            if k == rounds:  # the vectors of the subspace, strongest first
+                values, vectors = np.linalg.eigh(small)
+                return q @ vectors[:, np.argsort(-values)[:dims]]
+            q = np.linalg.qr(z)[0]
+
     def weigh(self, rows: np.ndarray) -> np.ndarray:
         g = np.log1p(rows[:, :GRAMS]) * self.idf
         g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-9)
         return np.hstack([g, self.shape_weight * rows[:, GRAMS:]])
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
-        v = self.weigh(rows) @ self.basis
+        return self.unit(self.weigh(rows))
+
+    def unit(self, weighed: np.ndarray) -> np.ndarray:
+        v = weighed @ self.basis
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
