@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it; rows that share an id are taken alike, texts without words never."""
-    mix = mixing.plan(docs, F.array("source"), mixing.n_words(F.col("text")), lambda sizes: mixing.targets(sizes, SOURCE_WEIGHTS))
+    mix = mixing.plan(docs, F.array("source"), mixing.n_words(F.col("text")), lambda sizes: mixing.targets(sizes, SOURCE_WEIGHTS), present=F.col("text").rlike(mixing.WORD))
     rows = docs.select("doc_id", "source", "text", F.struct(*all_columns(docs)).alias("row"))
     return mixing.taken(rows, mix).select("row", F.explode("copies")).select("row.*")
 
