@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ LINE = T.ArrayType(POINT)
 #: Fixed values of WGS84 and of UTM.
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500000.0, 10000000.0
+CLIP_AT_ONCE = 1 << 19  # segments times sides
 
 
 def point(x, y) -> Column:
@@ -244,32 +247,74 @@ def in_polygon(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(_segments(ring), start, step, lambda a: a["odd"] | a["side"] | a["corner"])
 
 
-def inside_length(line: np.ndarray, ring: np.ndarray) -> float:
-    """Length of the line's part inside the ring: each segment is cut where it crosses the ring, and pieces are told by their middles."""
+def _flat(points: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of all lines of a column, and where each line begins; null lines have none."""
+    xy = points.flatten()
+    both = np.column_stack([xy.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]) if len(xy) else np.empty((0, 2))
+    return both, np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(points), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _sides(xy: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines: the line, the first and the last point of each segment."""
+    n = np.maximum(np.diff(start) - 1, 0)
+    line = np.repeat(np.arange(len(n)), n)
+    at = start[:-1][line] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+    return line, xy[at], xy[at + 1]
+
+
+def _met(a: np.ndarray, b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs of sorted group numbers a[i] == b[j]."""
+    n = np.bincount(b, minlength=groups)
+    first = np.cumsum(n) - n
+    i = np.repeat(np.arange(len(a)), n[a])
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n[a]) - n[a], n[a]) + first[a][i]
+
+
+def inside_lengths(lines: tuple[np.ndarray, np.ndarray], rings: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each pair the length of the line's part inside the ring: each segment is cut where it crosses the ring, and pieces are told by their middles."""
+    pairs = len(lines[1]) - 1
+    s_of, p, q = _sides(*lines)
+    r_of, a, b = _sides(*rings)
     # Sides run upwards, so that one that is gone over twice gives the same number twice.
-    down = ring[:-1, 1:] > ring[1:, 1:]
-    total, a, b = 0.0, np.where(down, ring[1:], ring[:-1]), np.where(down, ring[:-1], ring[1:])
-    for p, q in zip(line[:-1], line[1:], strict=True):
-        d, e = q - p, b - a
-        det = d[0] * e[:, 1] - d[1] * e[:, 0]
-        ok = det != 0
-        w = a[ok] - p
-        t = (w[:, 0] * e[ok, 1] - w[:, 1] * e[ok, 0]) / det[ok]
-        u = (w[:, 0] * d[1] - w[:, 1] * d[0]) / det[ok]
-        cuts = np.unique(np.concatenate([[0.0, 1.0], t[(t > 0) & (t < 1) & (u >= 0) & (u <= 1)]]))
-        mid = p + ((cuts[:-1] + cuts[1:]) / 2)[:, None] * d
-        over = (a[:, 1] > mid[:, 1:]) != (b[:, 1] > mid[:, 1:])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = a[:, 0] + (mid[:, 1:] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-        odd = (over & (mid[:, :1] < at)).sum(1) % 2 == 1
-        total += float((np.diff(cuts)[odd]).sum() * np.hypot(*d))
-    return total
+    down = a[:, 1:] > b[:, 1:]
+    a, b = np.where(down, b, a), np.where(down, a, b)
+    i, j = _met(s_of, r_of, pairs)
+    d, e, w = (q - p)[i], (b - a)[j], a[j] - p[i]
+    det = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / det, (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / det
+        hit = (det != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
+    each = np.arange(len(s_of))
+    seg, at = np.concatenate([each, each, i[hit]]), np.concatenate([np.zeros(len(each)), np.ones(len(each)), t[hit]])
+    order = np.lexsort((at, seg))
+    seg, at = seg[order], at[order]
+    piece = np.nonzero((seg[1:] == seg[:-1]) & (at[1:] > at[:-1]))[0]
+    seg, lo, hi = seg[piece], at[piece], at[piece + 1]
+    mid = p[seg] + ((lo + hi) / 2)[:, None] * (q - p)[seg]
+    k, j = _met(s_of[seg], r_of, pairs)
+    over = (a[j, 1] > mid[k, 1]) != (b[j, 1] > mid[k, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = a[j, 0] + (mid[k, 1] - a[j, 1]) * (b[j, 0] - a[j, 0]) / (b[j, 1] - a[j, 1])
+    odd = np.bincount(k[over & (mid[k, 0] < x)], minlength=len(piece)) % 2 == 1
+    return np.bincount(s_of[seg][odd], ((hi - lo) * np.hypot(*(q - p)[seg].T))[odd], pairs)
 
 
-@F.pandas_udf(T.DoubleType())
-def clipped_length(points: pd.Series, ring: pd.Series) -> pd.Series:
-    """Length of a line inside a ring; null where either is."""
-    return pd.Series([None if p is None or r is None else inside_length(_xy(p), _xy(r)) for p, r in zip(points, ring, strict=True)], dtype=float)
+def inside_length(line: np.ndarray, ring: np.ndarray) -> float:
+    """inside_lengths of one line and ring."""
+    return float(inside_lengths((line, np.array([0, len(line)])), (ring, np.array([0, len(ring)])))[0])
+
+
+@F.arrow_udf(T.DoubleType())
+def clipped_length(points: pa.Array, ring: pa.Array) -> pa.Array:
+    """Length of a line inside a ring; null where either is. All pairs of a batch are cut at once, some CLIP_AT_ONCE of segments and sides together."""
+    sizes = pc.multiply(pc.fill_null(pc.list_value_length(points), 0), pc.fill_null(pc.list_value_length(ring), 0)).to_numpy(zero_copy_only=False)
+    out, at = [np.empty(0)], 0
+    part = np.cumsum(sizes.astype(np.int64)) // CLIP_AT_ONCE
+    for n in np.unique(part, return_counts=True)[1].tolist():
+        out.append(inside_lengths(_flat(points.slice(at, n)), _flat(ring.slice(at, n))))
+        at += n
+    none = pc.or_(points.is_null(), ring.is_null()).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate(out), mask=none)
 
 
 def _twice_area(ring: Column) -> Column:
