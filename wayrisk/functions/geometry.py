@@ -410,10 +410,12 @@ def _cut(ring: np.ndarray, clip: np.ndarray) -> float:
     return _signed_area(np.vstack([out, out[:1]])) if len(out) > 2 else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_area(ring: pd.Series, clip: pd.Series) -> pd.Series:
-    """Area that two rings share, convex or not; null where either is."""
-    return pd.Series([None if a is None or b is None else overlap(_xy(a), _xy(b)) for a, b in zip(ring, clip, strict=True)], dtype=float)
+@F.arrow_udf(T.DoubleType())
+def overlap_area(ring: pa.Array, clip: pa.Array) -> pa.Array:
+    """Area that two rings share, convex or not; null where either is. Rings are slices of the batch's flat coordinates."""
+    (a, i), (b, j) = _flat(ring), _flat(clip)
+    none = pc.or_(ring.is_null(), clip.is_null()).to_numpy(zero_copy_only=False)
+    return pa.array([0.0 if no else overlap(a[i[k] : i[k + 1]], b[j[k] : j[k + 1]]) for k, no in enumerate(none)], pa.float64(), mask=none)
 
 
 def within_distance(points: Column, x: Column, y: Column, d: float) -> Column:

@@ -19,10 +19,11 @@ def scenario_weights(facts: DataFrame, keys: list[str], threshold: float) -> Dat
     facts: keys, probability, min_depth, max_depth, exposure (m) and edge_length
     (km). A weight is the area under the exposure (or its share of the
     threshold) over ascending probability by trapezoids; with one probability it
-    is p times the value. Both steps group by the keys, so the second reuses
-    the first one's partitioning.
+    is p times the value. Of several edge lengths of one key and probability
+    the smallest counts. Each of the two steps has its own exchange; both
+    combine before it.
     """
-    per = facts.groupBy(*keys, "probability").agg(F.min("min_depth").alias("min_depth"), F.max("max_depth").alias("max_depth"), F.sum("exposure").alias("exposure"), F.first("edge_length").alias("edge_length"))
+    per = facts.groupBy(*keys, "probability").agg(F.min("min_depth").alias("min_depth"), F.max("max_depth").alias("max_depth"), F.sum("exposure").alias("exposure"), F.min("edge_length").alias("edge_length"))
     e = C.clamp_exposure(F.col("exposure"), C.exposure_percent(F.col("exposure"), F.col("edge_length")), threshold)
     per = per.withColumn("_e", e)
     points = F.sort_array(F.collect_list(F.struct(F.col("probability").alias("p"), F.col("_e.weight").alias("w"), F.col("_e.exposure").alias("x"))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions.columns import normal_name
-from wayrisk.operators.ordered import as_of
+from wayrisk.operators.ordered import as_of, running
 from wayrisk.operators.spatial import nearest_k
 
 MOST_STEPS = 10_000  # of a table that each row searches
@@ -207,9 +207,8 @@ def port_cascade(records: DataFrame, nodes: DataFrame, renames: DataFrame, count
 
 def pair_in_order(records: DataFrame, places: DataFrame, route: str, by: str, distance: str) -> DataFrame:
     """The k-th record of a route (by start) with its k-th place (by distance), on routes where their numbers agree."""
-    w = Window.partitionBy(route)
-    a = records.withColumn("_k", F.row_number().over(w.orderBy(by, "record_id"))).withColumn("_n", F.count("*").over(w))
-    b = places.withColumn("_k", F.row_number().over(w.orderBy(distance, "place_id"))).withColumn("_n", F.count("*").over(w))
+    a = running(records, [route], [F.col(by), F.col("record_id")], rank="_k", total="_n")
+    b = running(places, [route], [F.col(distance), F.col("place_id")], rank="_k", total="_n")
     return a.join(b, [route, "_k", "_n"]).drop("_k", "_n")
 
 

@@ -145,6 +145,26 @@ def m6_balance(t: Tables):
     return sums[0].unionByName(sums[1])
 
 
+def balance_sql(rounds: int = 40) -> str:
+    """Rounds of row and column scaling of a table without negative cells, written out."""
+    out = """start AS MATERIALIZED (SELECT row, col, value * (1 + (row * 7 + col * 3) % 5) AS p FROM cells), rt AS (SELECT row, sum(value) * 1.25 AS t FROM cells GROUP BY row), ct AS (SELECT col, sum(value) * 1.25 AS t FROM cells GROUP BY col),
+        s0 AS MATERIALIZED (SELECT col, 1.0::DOUBLE AS s FROM ct)"""
+    for i in range(rounds):
+        out += f""", r{i + 1} AS MATERIALIZED (SELECT p.row, any_value(rt.t) / sum(p.p * s.s) AS r FROM start p JOIN s{i} s ON p.col = s.col JOIN rt ON p.row = rt.row GROUP BY p.row),
+        s{i + 1} AS MATERIALIZED (SELECT p.col, any_value(ct.t) / sum(p.p * r.r) AS s FROM start p JOIN r{i + 1} r ON p.row = r.row JOIN ct ON p.col = ct.col GROUP BY p.col)"""
+    return out + f", balanced AS (SELECT p.row, p.col, p.p * r.r * s.s AS value FROM start p JOIN r{rounds} r ON p.row = r.row JOIN s{rounds} s ON p.col = s.col)"
+
+
+@query(f"""WITH {CELLS}, {balance_sql()} SELECT row, col, round(value, 4) AS value FROM balanced""")
+def m6_cells(t: Tables):
+    """M6: the cells of the balanced table."""
+    c = cells(t).checkpoint()
+    rows = c.groupBy("row").agg((F.sum("value") * 1.25).alias("total"))
+    cols = c.groupBy("col").agg((F.sum("value") * 1.25).alias("total"))
+    start = c.withColumn("value", F.col("value") * (1 + (F.col("row") * 7 + F.col("col") * 3) % 5))
+    return macro.balance(start, rows, cols, 1e-11).select("row", "col", F.round("value", 4).alias("value"))
+
+
 @query(f"""WITH {FLOW}, b AS (SELECT origin AS region, destination AS other, sector, sum(value) AS trade FROM tr WHERE origin <> destination GROUP BY 1, 2, 3)
     SELECT region, other, sector, trade, round(trade / sum(trade) OVER (PARTITION BY other, sector), 9) AS import_share FROM b""")
 def m8_trade(t: Tables):

@@ -143,10 +143,11 @@ def a16_p41_exposure_pivot(t: Tables):
     return hazard.exposure_pivot(rows, "return_period", "hazard_type", ["A", "N", "R"], "exposure")
 
 
-@query(f"""WITH {HAZARD}, m AS (SELECT hazard_type, climate_scenario, model, sum(exposure) AS t FROM haz GROUP BY ALL) SELECT hazard_type, climate_scenario, min(t) AS min_length, max(t) AS max_length, round(100 * min(t) / 1e7, 6) AS min_percent, round(100 * max(t) / 1e7, 6) AS max_percent FROM m GROUP BY 1, 2""")
+@query(f"""WITH {HAZARD}, m AS (SELECT hazard_type, climate_scenario, model, sum(exposure) AS t FROM haz GROUP BY ALL) SELECT hazard_type, climate_scenario, min(t) AS min_length, max(t) AS max_length, round(100 * min(t) / any_value(n), 6) AS min_percent, round(100 * max(t) / any_value(n), 6) AS max_percent FROM m, (SELECT sum(p_size * 100.0::DOUBLE) AS n FROM part) GROUP BY 1, 2""")
 def a17_hazard_totals(t: Tables):
-    """A17."""
-    return rounded(hazard.hazard_totals(hazard_facts(t).withColumnRenamed("exposure", "length"), 1e7, ["hazard_type", "climate_scenario"]), "min_percent", "max_percent")
+    """Against the length of the whole network."""
+    network = t.part.agg(F.sum(F.col("p_size") * 100.0)).first()[0]
+    return rounded(hazard.hazard_totals(hazard_facts(t).withColumnRenamed("exposure", "length"), network, ["hazard_type", "climate_scenario"]), "min_percent", "max_percent")
 
 
 @query(f"""WITH {HAZARD} SELECT id, hazard_type, min(probability) AS min_probability, max(probability) AS max_probability, max(exposure) AS exposure FROM haz GROUP BY 1, 2""")
