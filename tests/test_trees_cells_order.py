@@ -56,8 +56,9 @@ def network_of(spark, rows):
 def test_paths_equal_brute_force_by_both_engines(spark, monkeypatch, bound):
     monkeypatch.setattr(routing, "MOST_EDGES", bound)
     rows = graph(1, 25, 60)
+    useless = [("q1", None, "n2", 0.0, 1.0, "r"), ("q2", "n1", "n2", None, 1.0, "r"), ("q3", "n1", "n2", math.nan, 1.0, "r"), (None, "n1", "n2", 0.0, 1.0, "r")]
     pairs = [(o, d, 1.0) for o in ("n1", "n2", "x1", "nowhere") for d in [f"n{i}" for i in range(25)] + ["x3", "nowhere"]]
-    found = routing.shortest_paths(spark.createDataFrame(pairs, "origin_id string, destination_id string, tons double"), network_of(spark, rows)).collect()
+    found = routing.shortest_paths(spark.createDataFrame(pairs, "origin_id string, destination_id string, tons double"), network_of(spark, rows + useless)).collect()
     assert len(found) == len(pairs)
     trees = {o: brute_tree(rows, o) for o in ("n1", "n2", "x1")}
     for r in found:

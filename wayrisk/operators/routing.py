@@ -36,6 +36,7 @@ class Graph:
     @classmethod
     def of(cls, edges: DataFrame, cost: str, sums: tuple[str, ...] = ()) -> Graph | None:
         """None above MOST_EDGES edges. sums: further edge attributes to be summed along paths."""
+        edges = relaxation.usable(edges, cost)
         rows = edges.select(F.col("from_node").cast("string"), F.col("to_node").cast("string"), F.col("edge_id").cast("string"), F.col(cost).cast("double").alias("cost"), *(F.col(s).cast("double").alias(f"sum_{s}") for s in sums))
         if edges.select("edge_id").limit(MOST_EDGES + 1).count() > MOST_EDGES:
             return None

@@ -26,12 +26,13 @@ def point_box(x: str = "x", y: str = "y") -> Column:
     return F.struct(F.col(x).alias("x0"), F.col(y).alias("y0"), F.col(x).alias("x1"), F.col(y).alias("y1"))
 
 
-def tile_pairs(a: DataFrame, a_id: str, a_box: Column, b: DataFrame, b_id: str, b_box: Column, tile: float, pad: float = 0.0) -> DataFrame:
-    """Distinct (a_id, b_id) whose boxes share a tile: ids only, geometry is joined back to the survivors."""
-    x = with_tiles(a.select(a_id, a_box.alias("box")), F.col("box"), tile, pad).withColumnRenamed("box", "_a")
-    y = with_tiles(b.select(b_id, b_box.alias("box")), F.col("box"), tile).withColumnRenamed("box", "_c")
+def tile_pairs(a: DataFrame, a_id: str, a_box: Column, b: DataFrame, b_id: str, b_box: Column, tile: float, pad: float = 0.0, same: str | None = None) -> DataFrame:
+    """Distinct (a_id, b_id) whose boxes share a tile (and the column `same`): ids only, geometry is joined back to the survivors."""
+    on = [same] if same else []
+    x = with_tiles(a.select(a_id, a_box.alias("box"), *on), F.col("box"), tile, pad).withColumnRenamed("box", "_a")
+    y = with_tiles(b.select(b_id, b_box.alias("box"), *on), F.col("box"), tile).withColumnRenamed("box", "_c")
     near = (F.col("_a.x0") - pad <= F.col("_c.x1")) & (F.col("_c.x0") <= F.col("_a.x1") + pad) & (F.col("_a.y0") - pad <= F.col("_c.y1")) & (F.col("_c.y0") <= F.col("_a.y1") + pad)
-    return x.join(y, ["tx", "ty"]).where(near).select(a_id, b_id).distinct()
+    return x.join(y, ["tx", "ty", *on]).where(near).select(a_id, b_id).distinct()
 
 
 def with_crossed_tiles(segments: DataFrame, tile: float, pad: float = 0.0) -> DataFrame:
@@ -144,14 +145,13 @@ def nearest_line(points: DataFrame, lines: DataFrame, tile: float, reach: float
         left = left.join(lines.select(same).distinct(), same, "left_semi")
     elif lines.isEmpty():
         left = left.limit(0)
+    segments = segments_of(lines, line_id)
+    if same:
+        segments = segments.join(lines.select(line_id, same), line_id)
     found, d = None, reach or tile
     while True:
-        pairs = tile_pairs(left, point_id, point_box(), lines, line_id, G.bounds(F.col("points")), max(tile, d), d)
-        full = pairs.join(left, point_id).join(lines.select(line_id, "points", *([F.col(same).alias("_same")] if same else [])), line_id)
-        if same:
-            full = full.where(F.col(same) == F.col("_same"))
-        near = full.withColumn("_p", G.project(F.col("points"), F.col("x"), F.col("y"))).where(F.col("_p.distance") <= d)
-        best = near.groupBy(point_id).agg(F.min(F.struct(F.col("_p.distance").alias("distance"), F.col(line_id), F.col("_p.along").alias("along"), F.col("_p.x").alias("px"), F.col("_p.y").alias("py"))).alias("_m"))
+        met = _segments_near(left, segments, max(tile, d), d, point_id, [same] if same else [])
+        best = met.groupBy(point_id).agg(F.min(F.struct("distance", line_id, "seg", "along", "px", "py")).alias("_m"))
         best = best.select(point_id, f"_m.{line_id}", "_m.distance", "_m.along", "_m.px", "_m.py")
         if reach is not None:
             return best
@@ -219,20 +219,28 @@ def points_hit(points: DataFrame, polygons: DataFrame, tile: float, point_id: st
     return points.join(hits, point_id, "left_semi")
 
 
-def within_reach(points: DataFrame, lines: DataFrame, tile: float, d: float, point_id: str = "point_id", line_id: str = "edge_id") -> DataFrame:
-    """(point_id, edge_id, distance, along, px, py) of all lines within d of a point, (px, py) being the line's nearest point.
+def _segments_near(points: DataFrame, segments: DataFrame, tile: float, d: float, point_id: str, on: list[str]) -> DataFrame:
+    """Rows of segments_of() with the points within d of them: distance, along (the line) and the nearest point (px, py).
 
-    A point is in one tile and a segment in those within d of it, so they meet
-    once; pairs carry the segment, and only hits are grouped by line.
+    A point is in one tile and a segment in those within d of it, so they meet once.
     """
-    near = with_crossed_tiles(segments_of(lines, line_id), tile, d)
-    p = points.where(_finite("x", "y")).select(point_id, "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
+    near = with_crossed_tiles(segments, tile, d)
+    p = points.where(_finite("x", "y")).select(point_id, "x", "y", *on, F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n = dx * dx + dy * dy
     t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / n))).otherwise(0.0)
-    met = p.join(near, ["tx", "ty"]).withColumn("_t", t)
-    met = met.withColumns({"px": F.col("ax") + F.col("_t") * dx, "py": F.col("ay") + F.col("_t") * dy}).withColumn("distance", G.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))).where(F.col("distance") <= d)
-    best = met.groupBy(point_id, line_id).agg(F.min(F.struct("distance", "seg", (F.col("start") + F.col("_t") * F.sqrt(n)).alias("along"), "px", "py")).alias("_m"))
+    met = p.join(near, ["tx", "ty", *on]).withColumn("_t", t)
+    met = met.withColumns({"px": F.col("ax") + F.col("_t") * dx, "py": F.col("ay") + F.col("_t") * dy, "along": F.col("start") + F.col("_t") * F.sqrt(n)})
+    return met.withColumn("distance", G.distance(F.col("px"), F.col("py"), F.col("x"), F.col("y"))).where(F.col("distance") <= d)
+
+
+def within_reach(points: DataFrame, lines: DataFrame, tile: float, d: float, point_id: str = "point_id", line_id: str = "edge_id") -> DataFrame:
+    """(point_id, edge_id, distance, along, px, py) of all lines within d of a point, (px, py) being the line's nearest point.
+
+    Pairs carry the segment, and only hits are grouped by line.
+    """
+    met = _segments_near(points, segments_of(lines, line_id), tile, d, point_id, [])
+    best = met.groupBy(point_id, line_id).agg(F.min(F.struct("distance", "seg", "along", "px", "py")).alias("_m"))
     return best.select(point_id, line_id, "_m.distance", "_m.along", "_m.px", "_m.py")
 
 
@@ -293,11 +301,9 @@ def voronoi_shares(polygons: DataFrame, nodes: DataFrame, tile: float, most: int
 
 def area_transfer(source: DataFrame, target: DataFrame, value: str, tile: float, region: str | None = None) -> DataFrame:
     """Value of source polygons dealt to target polygons in proportion to the area they share, region by region if asked."""
-    pairs = tile_pairs(source, "src_id", G.bounds(F.col("ring")), target, "dst_id", G.bounds(F.col("ring")), tile)
-    a = source.select("src_id", F.col("ring").alias("_a"), value, *([F.col(region).alias("_ra")] if region else []))
-    b = target.select("dst_id", F.col("ring").alias("_c"), *([F.col(region).alias("_rb")] if region else []))
+    pairs = tile_pairs(source, "src_id", G.bounds(F.col("ring")), target, "dst_id", G.bounds(F.col("ring")), tile, same=region)
+    a = source.select("src_id", F.col("ring").alias("_a"), value)
+    b = target.select("dst_id", F.col("ring").alias("_c"))
     full = pairs.join(a, "src_id").join(b, "dst_id")
-    if region:
-        full = full.where("_ra = _rb")
     part = F.col(value) * G.overlap_area("_a", "_c") / G.ring_area(F.col("_a"))
     return full.withColumn("_v", part).groupBy("dst_id").agg(F.sum("_v").alias(value))
