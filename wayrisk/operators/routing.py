@@ -81,6 +81,10 @@ class Graph:
         self._settle([(0.0, 0, origin)], cost, hops, by, before, without=without)
         return Tree(self, cost, hops, by, before)
 
+    def path(self, tree: Tree, target: int) -> list[str]:
+        """Edge ids of a tree's path, in order."""
+        return [self.ids[e] for e in tree.steps(target)]
+
     def nearest_two(self, origins: list[int]) -> list[list[tuple[float, int]]]:
         """Of each node the two nearest of the origins, as (cost, rank among the origins); ties go to the one named first."""
         if self.lists is None:
@@ -108,6 +112,10 @@ class Tree:
         self.graph, self.cost, self.hops, self.by, self.before = graph, cost, hops, by, before
         self.settled = 0  # nodes that repairs have settled anew
 
+    def __getitem__(self, i: int):
+        """Costs, edges or nodes before the nodes."""
+        return (self.cost, self.by, self.before)[i]
+
     def steps(self, target: int) -> list[int]:
         """Numbers of the path's edges, in order."""
         out = []
@@ -213,7 +221,7 @@ def shortest_paths(od: DataFrame, edges: DataFrame, cost: str = "cost", name: st
                 if o != last:
                     last, tree = o, g.tree(i)
                 ok = math.isfinite(tree.cost[j])
-                paths.append([g.ids[e] for e in tree.steps(j)] if ok else None)
+                paths.append(g.path(tree, j) if ok else None)
                 costs.append(tree.cost[j] if ok else None)
             yield b.assign(**{name: paths, cost: pd.array(costs, "Float64"), "reachable": [p is not None for p in paths]})
 
