@@ -40,7 +40,8 @@ lowered; fewer than n words make one shingle; a null, empty or blank text has
 no shingles and is alone in its component. Rows with a null id have no
 component. Repeated rows are copies; rows that share an id but not a text count
 as separate texts of that id, each with its own component. An empty table gives
-no rows.
+no rows. Other columns are left out of near_duplicates and kept by
+without_near_copies, whatever they are named.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ the payload's length.
 
 Defined results: a null text is an empty one; a payload is the UTF-8 text
 followed by blanks up to a positive multiple of 192; equal texts give equal
-bytes and features. Repeated rows are stored each.
+bytes and features. Repeated rows are stored each, also without an id. Other
+columns are left out, whatever they are named.
 """
 
 from __future__ import annotations

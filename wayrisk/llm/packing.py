@@ -8,7 +8,8 @@ falling length, whole runs of equal bins at a time. Pieces take their places by
 their rank among those of the same length.
 
 Defined results: a null or empty text is its end token alone; repeated rows and
-ties are placed one by one; an empty table gives no rows. A document longer
+ties are placed one by one, also without an id; an empty table gives no rows.
+Other columns are left out, whatever they are named. A document longer
 than `capacity` is cut into pieces of `capacity`, a shorter one first.
 """
 

@@ -12,8 +12,10 @@ and a shard. Only a chunk that no shard has room for is dealt out by id, as no
 other way keeps the bound. Slots count through a shard chunk by chunk.
 
 Defined results: a null text has no bytes; every row, repeated or not, gets a
-shard and slot; an empty table gives no rows. A piece larger than all room left
-goes to the least loaded shard.
+shard and slot, also without an id; an empty table gives no rows. A piece larger
+than all room left goes to the least loaded shard. Rows that share a text and an
+id stay together whatever their size. Other columns are left out, whatever they
+are named.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ white-space-free chunks; each worker remembers the counts of recent chunks.
 
 Defined results: null or empty text counts 0 tokens; texts with characters
 outside the proved range, or with one of the special strings, go to the library
-as a whole. Repeated rows are counted each; other columns are ignored.
+as a whole. Repeated rows are counted each, also without an id; other columns are
+ignored, whatever they are named.
 """
 
 from __future__ import annotations

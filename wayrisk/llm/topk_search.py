@@ -20,7 +20,8 @@ of different lengths do not meet. Ties go to the smaller id; fewer than k
 candidates give fewer results; an empty table gives no rows. Repeated ids are
 distinct rows with the same id. Scores rank exactly while they and the products
 in them have at most 38 digits, beyond as doubles up to MOST_SCORE, where they
-tie; the column of longs holds the nearest long.
+tie; the column of longs holds the nearest long. Other columns take no part,
+whatever they are named.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ host is blocked when its distrust is over `threshold` times its trust.
 Defined results: a null url, or one without "://", has an empty host and path,
 fits no rule and is allowed, as any host without trust and distrust. Links are
 absolute or scheme-relative hrefs; links within a host make no edge. Null html
-has no links. Repeated rows count as pages of their own.
+has no links. Repeated rows count as pages of their own. Other columns are left
+out, whatever they are named.
 """
 
 from __future__ import annotations
