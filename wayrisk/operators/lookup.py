@@ -17,6 +17,7 @@ from wayrisk.operators.ordered import as_of, running
 from wayrisk.operators.spatial import nearest_k
 
 MOST_STEPS = 10_000  # of a table that each row searches
+MOST_SENT = 50_000  # names, and grams of names, that are sent to all tasks
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -99,13 +100,19 @@ def contained(texts: DataFrame, text_id: str, text: str, names: DataFrame, name_
     grams = lambda c, size: F.array_distinct(F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>")))
     sizes = [r[0] for r in n.select(F.least(F.length("_name"), F.lit(q))).distinct().collect()]  # 0 to q
     of_text = lambda size: F.array(F.lit("")) if size == 0 else grams(F.col("_text"), size)
-    index = t.select("_tid", F.explode(F.flatten(F.array(*(of_text(s) for s in sizes)))).alias("_gram")) if sizes else t.select("_tid", F.lit("").alias("_gram")).limit(0)
     own = n.select("_nid", "_name", F.explode(F.when(F.length("_name") == 0, F.array(F.lit(""))).otherwise(grams(F.col("_name"), F.least(F.length("_name"), F.lit(q))))).alias("_gram"))
-    asked = own.select("_gram").distinct()
-    often = index.join(asked, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    asked = own.select("_gram").distinct().checkpoint()
+    # Spark takes an exploded index for as small as its table: what may be sent to all tasks is counted here, the rest is never sent.
+    few = asked.limit(MOST_SENT + 1).count() <= MOST_SENT and n.limit(MOST_SENT + 1).count() <= MOST_SENT
+    small = F.broadcast if few else lambda df: df.hint("shuffle_hash")
+    kept = ["_tid", "_text"] if few else ["_tid"]
+    index = t.select(*kept, F.explode(F.flatten(F.array(*(of_text(s) for s in sizes)))).alias("_gram")) if sizes else t.select(*kept, F.lit("").alias("_gram")).limit(0)
+    index = index.join(small(asked), "_gram", "left_semi")
+    often = index.groupBy("_gram").agg(F.count("*").alias("_n"))
     # A gram that no text has rules its name out: the inner join below finds nothing for it.
     rarest = own.join(often, "_gram", "left").groupBy("_nid", "_name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_g")).select("_nid", "_name", F.col("_g._gram").alias("_gram"))
-    hits = index.join(rarest, "_gram").join(t, "_tid").where(F.col("_text").contains(F.col("_name")))
+    hits = index.join(small(rarest), "_gram")
+    hits = (hits if few else hits.hint("merge").join(t, "_tid")).where(F.col("_text").contains(F.col("_name")))
     return hits.select(F.col("_tid").alias(text_id), F.col("_nid").alias(name_id)).distinct()
 
 
@@ -113,7 +120,7 @@ def first_contained(df: DataFrame, id_col: str, text: str, rules: DataFrame, nam
     """Values of the first rule whose name is a part of the text, else the default."""
     found = contained(df, id_col, text, rules, seq, name).join(rules.select(seq, *values), seq)
     best = found.groupBy(id_col).agg(F.min(F.struct(seq, *values)).alias("_v")).select(id_col, *(F.col(f"_v.{v}").alias(v) for v in values))
-    return df.join(best, id_col, "left").fillna(default, subset=values)
+    return df.join(best.hint("merge"), id_col, "left").fillna(default, subset=values)
 
 
 INSIDE, AROUND, EITHER = "inside", "around", "either"  # the record's text in the candidate's, the other way round, or one of both
