@@ -39,11 +39,16 @@ def first_by_name(df: DataFrame, name: str, lookup: DataFrame, value: str, seq:
 
 
 def first_in_range(edges: DataFrame, lookup: DataFrame, key: str, lo: str, hi: str, start: str, end: str, values: list[str], seq: str = "seq") -> DataFrame:
-    """Of the lookup rows with one of the edge's names (array `key`) whose [start, end] holds [lo, hi], the first one's values."""
+    """Of the lookup rows with one of the edge's names (array `key`) whose [start, end] holds [lo, hi], the first one's values.
+
+    Equal ranges of a name are one, and so are equal asks; each is looked up once.
+    """
+    table = lookup.groupBy(key, start, end).agg(F.min(seq).alias("_seq"), F.min_by(F.struct(*values), seq).alias("_v"))
     ids = edges.select("edge_id", F.explode(key).alias(key), lo, hi)
-    hits = ids.join(lookup, key).where((F.col(lo) >= F.col(start)) & (F.col(hi) <= F.col(end)))
-    best = hits.groupBy("edge_id").agg(F.min_by(F.struct(*values), seq).alias("_v")).select("edge_id", "_v.*")
-    return edges.join(best, "edge_id", "left")
+    hits = ids.select(key, lo, hi).distinct().join(table, key).where((F.col(lo) >= F.col(start)) & (F.col(hi) <= F.col(end)))
+    asked = hits.groupBy(key, lo, hi).agg(F.min("_seq").alias("_seq"), F.min_by("_v", "_seq").alias("_v"))
+    best = ids.join(asked, [key, lo, hi]).groupBy("edge_id").agg(F.min_by("_v", "_seq").alias("_v")).select("edge_id", "_v.*")
+    return edges.join(best.hint("merge"), "edge_id", "left")
 
 
 def floor_lookup(df: DataFrame, x: str, steps: DataFrame, at: str, values: list[str]) -> DataFrame:
