@@ -50,8 +50,10 @@ def running_lengths(segments: Column) -> Column:
 
 
 def line_length(points: Column) -> Column:
-    """Planar length."""
-    return F.aggregate(_segments(points), F.lit(0.0), lambda t, s: t + _length(s))
+    """Planar length; two points, as most pieces have, need no walk."""
+    a, b = F.get(points, 0), F.get(points, 1)
+    walk = F.aggregate(_segments(points), F.lit(0.0), lambda t, s: t + _length(s))
+    return F.when(F.size(points) == 2, distance(a["x"], a["y"], b["x"], b["y"])).otherwise(walk)
 
 
 def bounds(points: Column) -> Column:
@@ -546,15 +548,25 @@ def cells_in_tile(nodes: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["level", "tx", "ty", "node_id", "ring"])
 
 
-def line_between(points: Column, lo: Column, hi: Column) -> Column:
-    """The part of a line between two distances along it."""
+def line_between(points: Column, lo: Column, hi: Column, end: Column | None = None) -> Column:
+    """The part of a line between two distances along it (end: its last point, if it is known)."""
 
     def step(acc, s):
         at = acc["at"] + _length(s)
         return F.struct(at.alias("at"), F.when((at > lo) & (at < hi), F.concat(acc["out"], F.array(s["b"]))).otherwise(acc["out"]).alias("out"))
 
     inner = F.aggregate(_segments(points), F.struct(F.lit(0.0).alias("at"), F.slice(points, 1, 0).alias("out")), step, lambda a: a["out"])
-    return F.concat(F.array(interpolate(points, lo)), inner, F.array(interpolate(points, hi)))
+    to = lambda last: last if end is None else F.coalesce(end, last)
+    walk = F.concat(F.array(interpolate(points, lo)), inner, F.array(to(interpolate(points, hi))))
+    # A line of two points needs no walk.
+    a, b = F.get(points, 0), F.get(points, 1)
+    n = distance(a["x"], a["y"], b["x"], b["y"])
+
+    def at(along):
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / n))
+        return point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]))
+
+    return F.when((F.size(points) == 2) & (n > 0) & (lo >= 0) & (hi <= n), F.array(at(lo), to(at(hi)))).otherwise(walk)
 
 
 def sub_line(points: Column, along: Column, length: Column) -> Column:
