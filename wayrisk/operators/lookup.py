@@ -147,9 +147,33 @@ def cascade(records: DataFrame, id_col: str, candidates: DataFrame, levels: Sequ
     levels: pairs of equal columns (record's, candidate's), and a likeness: the
     record's text column, the candidate's, and INSIDE, AROUND or EITHER. Each
     level takes the records that no earlier one has matched. Equal columns make
-    it a hash join, likenesses an index of q-grams.
+    it a hash join, likenesses an index of q-grams. Records with the same
+    columns are one class: levels are found for classes, and their records
+    follow in one last join, whose rows are neither shuffled nor written.
     """
-    left, found = records, None
+    cols = list(dict.fromkeys([a for equal, _ in levels for a, _ in equal] + [like[0] for _, like in levels if like]))
+    rows, classes = _classes(records, id_col, cols)
+    hits = _cascade(classes, "_class", candidates, levels, value)
+    return _expanded(rows, hits).select(id_col, value, "level")
+
+
+def _classes(records: DataFrame, id_col: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records as (id_col, _class), and (_class, cols) of the distinct columns; an id with several rows is a class of its own."""
+    several = F.count("*").over(Window.partitionBy(id_col)) > 1
+    own = F.concat(F.lit("id "), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    like = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    rows = records.select(id_col, *cols).distinct().withColumn("_class", F.when(several, own).otherwise(like)).checkpoint()
+    return rows.select(id_col, "_class").distinct(), rows.select("_class", *cols).distinct()
+
+
+def _expanded(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows (with _class) joined to the distinct hits of their classes. Few bytes mean much work here, so rows are dealt to a number of tasks before they meet their hits."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "_class").hint("shuffle_hash").join(hits.repartition(n, "_class"), "_class")
+
+
+def _cascade(records: DataFrame, id_col: str, candidates: DataFrame, levels: Sequence[tuple[list[tuple[str, str]], tuple[str, str, str] | None]], value: str) -> DataFrame:
+    left, found = records.checkpoint(), None
     for rank, (equal, like) in enumerate(levels, 1):
         c = candidates.select(F.col(value).alias("_value"), *(F.col(b).alias(f"_{i}") for i, (_, b) in enumerate(equal)))
         mine = left.select(id_col, *(F.col(a).alias(f"_{i}") for i, (a, _) in enumerate(equal)))
@@ -200,21 +224,24 @@ def port_cascade(records: DataFrame, nodes: DataFrame, renames: DataFrame, count
     r = r.join(first(to.where(F.col("grp").isin(*ANY)), ["key"], "port", "_2"), "key", "left")
     r = r.join(first(lands, ["key"], "node", "_3"), "key", "left")
     r = r.join(first(lands.where(F.col("key").isin(*ANY)), ["land"], "node", "_4"), "land", "left")
-    r = r.withColumn("named", F.coalesce("_1", "_2", "_3", "_4", "named")).select("record", "ref", "named", plain("named").alias("key")).checkpoint()
+    # Records with the same texts are one class: levels are found for classes, and their records follow in one last join.
+    rows, r = _classes(r.withColumn("named", F.coalesce("_1", "_2", "_3", "_4", "named")).withColumn("key", plain("named")), "record", ["ref", "named", "key"])
+    r = r.checkpoint()
     n = nodes.select("node", plain("name").alias("name")).checkpoint()
 
     refs = r.select("ref").distinct().withColumn("_r", F.col("ref"))
     names = n.select("name").distinct().withColumn("_c", F.col("name"))
     holds = contained(names, "_c", "name", refs, "_r", "ref").select(F.col("_r").alias("ref"), F.col("_c").alias("name")).checkpoint()
-    at_ref = r.join(holds, "ref").join(n, "name").select("record", "ref", "named", "key", "node")
+    at_ref = lambda df: df.join(holds, "ref").join(n, "name").select("_class", "ref", "named", "key", "node")
     mutual = F.col("ref").contains(F.col("key")) | F.col("key").contains(F.col("ref"))
-    one = at_ref.where(mutual | (F.col("named") == F.col("node"))).select("record", "node", "named", F.lit(1).alias("level")).distinct().checkpoint()
-    left = r.join(one.select("record").distinct(), "record", "left_anti").checkpoint()
+    one = at_ref(r).where(mutual | (F.col("named") == F.col("node"))).select("_class", "node", "named", F.lit(1).alias("level")).distinct().checkpoint()
+    left = r.join(one.select("_class").distinct(), "_class", "left_anti").checkpoint()
     keys = left.select("key").distinct().withColumn("_r", F.col("key"))
     alike = likenesses(keys, "_r", "key", names, "_c", "name", EITHER).select(F.col("_r").alias("key"), F.col("_c").alias("name"))
-    two = left.join(alike, "key").join(n, "name").select("record", "node", "named").unionByName(left.join(n, F.col("named") == F.col("node")).select("record", "node", "named")).distinct().withColumn("level", F.lit(2)).checkpoint()
-    last = left.join(two.select("record").distinct(), "record", "left_anti").join(holds, "ref").join(n, "name")
-    return one.unionByName(two).unionByName(last.select("record", "node", "named", F.lit(3).alias("level")).distinct())
+    two = left.join(alike, "key").join(n, "name").select("_class", "node", "named").unionByName(left.join(n, F.col("named") == F.col("node")).select("_class", "node", "named")).distinct().withColumn("level", F.lit(2)).checkpoint()
+    last = at_ref(left.join(two.select("_class").distinct(), "_class", "left_anti"))
+    hits = one.unionByName(two).unionByName(last.select("_class", "node", "named", F.lit(3).alias("level")).distinct())
+    return _expanded(rows, hits).select("record", "node", "named", "level")
 
 
 def pair_in_order(records: DataFrame, places: DataFrame, route: str, by: str, distance: str) -> DataFrame:
